@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, simhash, toxicity, urlfilter
+from . import ann, decontam, langid, lpf_dedup, packing, quality, simhash, tokencount, toxicity, urlfilter
 from .common import fold, small_batches, table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -28,15 +28,50 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(toxicity.score(table(spark, sf_dir, "documents"), model), 5, 0)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lpf_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    rows = packing.pieces(docs, tokenizer("byte_bpe_50k.json"), size=2048, end=1)
+    rows = rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(rows, packing.groups_for(docs), size=2048)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_groups(table(spark, sf_dir, "documents"), [(3, 42)], threshold=2)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontam.contaminated(table(spark, sf_dir, "documents"), decontam.indexes(table(spark, sf_dir, "benchmark")))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.sentencepiece_vocabulary(tokenizer("piece_bpe_32k.model")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = quality.fit(labelled(spark, sf_dir), "quality", where=fold(F.col("doc_id"), 3) != 1)
@@ -52,7 +87,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_urlfilter": op3_urlfilter, "op6_simhash": op6_simhash, "op9_quality": op9_quality, "op10_langid": op10_langid}
+    every = (op1_toxicity, op2_ann, op3_urlfilter, op4_suffix_dedup, op5_packing, op6_simhash, op7_decontamination, op8_token_counts, op9_quality, op10_langid)
+    return {f.__name__: f for f in every}
 
 
 URL_SQL = """
