@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import q_gaps, q_metrics
+from .plans import q_align, q_gaps, q_metrics
 
-MODULES = [q_gaps, q_metrics]
+MODULES = [q_gaps, q_metrics, q_align]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
