@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import q_align, q_gaps, q_metrics
+from .plans import q_align, q_gaps, q_metrics, q_more, q_portfolio, q_segment, q_text
+from .plans.battery import flagship
 
-MODULES = [q_gaps, q_metrics, q_align]
+MODULES = [q_gaps, q_metrics, q_align, q_segment, q_text, q_portfolio, q_more]
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +19,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v for m in MODULES for k, v in m.SQL.items()}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()

@@ -45,7 +45,7 @@ def sum_of(rows: Column) -> Column:
 
 
 def mean_of(rows: Column) -> Column:
-    return let(rows, lambda r: scale(sum_of(r), F.lit(1.0) / F.size(r)))
+    return let(rows, lambda r: scale(sum_of(r), F.try_divide(F.lit(1.0), F.size(r))))
 
 
 def unit(a: Column) -> Column:

@@ -14,7 +14,7 @@ def reliability(signals: DataFrame, mode: str = "entropy", fixed: dict[str, floa
     by = Window.partitionBy("seq_id", "signal")
     x = signals.withColumn("x", F.col("score") - F.min("score").over(by))
     x = x.withColumn("t", F.sum("x").over(by)).withColumn("n", F.count("*").over(by))
-    x = x.withColumn("p", F.col("x") / F.col("t") + 1e-9).withColumn("p", F.col("p") / F.sum("p").over(by))
+    x = x.withColumn("p", F.coalesce(F.try_divide("x", "t"), F.lit(0.0)) + 1e-9).withColumn("p", F.col("p") / F.sum("p").over(by))
     h = F.when((F.max("t") < 1e-9) | (F.max("n") < 2), 1.0).otherwise(-F.sum(F.col("p") * F.log2("p")) / F.log2(F.max("n")))
     rows = x.groupBy("seq_id", "signal").agg(h.alias("entropy"))
     raw = {"entropy": F.exp(-F.col("entropy")), "uniform": F.lit(1.0), "fixed": F.coalesce(*[F.when(F.col("signal") == k, F.lit(float(v))) for k, v in (fixed or {}).items()], F.lit(0.0))}[mode]
@@ -60,14 +60,14 @@ def spikes(events: DataFrame) -> DataFrame:
 
 
 def prosody_gap(units: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
-    """(seq_id, boundary, score) from (seq_id, pos, pause_after, mean_pitch, pitch_std): pause, pitch reset and mean deviation of a pair, each min-maxed."""
+    """(seq_id, boundary, score) from (seq_id, pos, pause_after, mean_pitch, pitch_std): pause, mean deviation of a pair and pitch reset, each min-maxed."""
     w = Window.partitionBy("seq_id").orderBy("pos")
     nxt = lambda c: F.lead(c).over(w)
     reset = F.when(F.col("mean_pitch") > 1e-3, F.abs(nxt("mean_pitch") - F.col("mean_pitch")) / F.col("mean_pitch")).otherwise(F.lit(1.0))
     rows = units.select("seq_id", (F.col("pos") + 1).alias("boundary"), F.col("pause_after").alias("a"), reset.alias("b"), ((F.col("pitch_std") + nxt("pitch_std")) / 2).alias("c"), nxt("pos").alias("_n")).where("_n is not null").drop("_n")
     for name in "abc":
         rows = minmax(rows, name)
-    return rows.select("seq_id", "boundary", (weights[0] * F.col("a") + weights[1] * F.col("b") + weights[2] * F.col("c")).alias("score"))
+    return rows.select("seq_id", "boundary", (weights[0] * F.col("a") + weights[1] * F.col("c") + weights[2] * F.col("b")).alias("score"))
 
 
 def rerank(a: DataFrame, b: DataFrame, w: float) -> DataFrame:

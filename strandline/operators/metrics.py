@@ -122,7 +122,7 @@ def taxonomy_summary(errors: DataFrame) -> DataFrame:
     r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     rows = errors.withColumn("p", p).withColumn("r", r).withColumn("f", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
     s = lambda c: F.sum(c)
-    one = rows.agg((s("tp") / (s("tp") + s("fp"))).alias("micro_precision"), (s("tp") / (s("tp") + s("fn"))).alias("micro_recall"), F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg("f").alias("macro_f1"), F.count_if("over").alias("n_over"), F.count_if("under").alias("n_under"))
+    one = rows.agg(F.coalesce(F.try_divide(s("tp"), s("tp") + s("fp")), F.lit(0.0)).alias("micro_precision"), F.coalesce(F.try_divide(s("tp"), s("tp") + s("fn")), F.lit(0.0)).alias("micro_recall"), F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg("f").alias("macro_f1"), F.count_if("over").alias("n_over"), F.count_if("under").alias("n_under"))
     p, r = F.col("micro_precision"), F.col("micro_recall")
     return one.withColumn("micro_f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 

@@ -177,7 +177,7 @@ SELECT seq_id, boundary, round({MM.format(c="score")}, 6) + 0.0 AS score FROM k
     "prosody_fuse": f"""{T.with_("ev", "timed")}, u AS (SELECT seq_id, pos, coalesce(lead(start) OVER w - start, 0) / {HOUR} AS h, ((pos * 37) % 11)::DOUBLE AS mp, ((pos * 53) % 7)::DOUBLE AS ps FROM timed WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
 r AS (SELECT seq_id, pos + 1 AS boundary, h AS a, CASE WHEN mp > 1e-3 THEN abs(lead(mp) OVER w - mp) / mp ELSE 1 END AS b, (ps + lead(ps) OVER w) / 2 AS c, lead(pos) OVER w AS nx FROM u WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
 z AS (SELECT seq_id, boundary, {MM.format(c="a")} AS a, {MM.format(c="b")} AS b, {MM.format(c="c")} AS c FROM r WHERE nx IS NOT NULL WINDOW q AS (PARTITION BY seq_id))
-SELECT seq_id, boundary::BIGINT AS boundary, round(0.5 * a + 0.3 * b + 0.2 * c, 6) + 0.0 AS score FROM z""",
+SELECT seq_id, boundary::BIGINT AS boundary, round(0.5 * a + 0.3 * c + 0.2 * b, 6) + 0.0 AS score FROM z""",
     "prosody_rerank": f"""WITH {ONE}, {ADJ}, a AS (SELECT seq_id, boundary, {MM.format(c="score")} AS s FROM one WINDOW q AS (PARTITION BY seq_id)), b AS (SELECT seq_id, boundary, {MM.format(c="score")} AS s FROM adj WINDOW q AS (PARTITION BY seq_id))
 SELECT a.seq_id, a.boundary, round(CASE WHEN b.s IS NULL THEN a.s ELSE 0.7 * a.s + 0.3 * b.s END, 6) + 0.0 AS score FROM a LEFT JOIN (SELECT * FROM b WHERE boundary % 4 <> 0) b USING (seq_id, boundary)""",
 }
