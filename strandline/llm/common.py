@@ -64,6 +64,14 @@ def sample_by_class(rows: DataFrame, label: str, key: str, per_class: int, most_
     return rows.where(place < share).limit(2 * per_class * max(1, len(counts)))
 
 
+def sampled_documents(docs: DataFrame, labels: DataFrame, label: str, key: str, per_class: int, where: Column | None = None) -> DataFrame:
+    """The documents of about `per_class` labelled keys of each class 0 and 1, with the label as y. The sample is drawn from the labels alone and is at most
+    4 * per_class rows, so it is broadcast and no text is shuffled."""
+    known = labels.where(F.col(label).isin(0, 1) & (F.lit(True) if where is None else where)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    few = sample_by_class(known, "y", "k", per_class, most_classes=2)
+    return docs.withColumnRenamed(key, "k").drop("y").join(F.broadcast(few), "k")
+
+
 def files_of(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share: under spark.checkpoint.dir, else (only where it is unset, as in tests) a local one."""
     import tempfile

@@ -24,8 +24,9 @@ def classified(scores: DataFrame, modulus: int, held_out: int) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    model = toxicity.fit(labelled(spark, sf_dir), "toxic", where=fold(F.col("doc_id"), 5) != 0)
-    return classified(toxicity.score(table(spark, sf_dir, "documents"), model), 5, 0)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", where=fold(F.col("doc_id"), 5) != 0)
+    return classified(toxicity.score(docs, model), 5, 0)
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

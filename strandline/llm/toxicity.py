@@ -22,7 +22,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, excerpt, sample_by_class
+from .common import batch, excerpt, sampled_documents
 from .quality import sigmoid
 
 #: Bytes of a window, of the step between windows, and of either dictionary.
@@ -151,20 +151,19 @@ def train_scores(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def fit(rows: DataFrame, label: str, text: str = "text", key: str = "doc_id", where: Column | None = None) -> Model:
-    """Train on about PER_CLASS labelled rows of each class. Only excerpts of them, and three numbers of each whole text, reach the driver."""
-    known = rows.where(F.col(label).isin(0, 1) & (F.lit(True) if where is None else where)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
-    few = sample_by_class(known, "y", "k", PER_CLASS)
+def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", where: Column | None = None) -> Model:
+    """Train on about PER_CLASS labelled documents of each class. Only excerpts of them, and three numbers of each whole text, reach the driver."""
+    few = sampled_documents(docs.select(key, F.col(text).alias("t")), labels, label, key, PER_CLASS, where)
     order = lambda rows: sorted(rows, key=lambda r: (r["k"] is None, r["k"] or 0, r["y"]))
     model = train_dictionaries([((r["t"] or "").encode(), r["y"]) for r in order(few.select("k", excerpt(F.col("t"), F.col("k"), EXCERPT).alias("t"), "y").collect())])
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield batch(k=(b.column(0), pa.int64()), y=(b.column(1), pa.int32()), x=([shared.value.features(t or b"").tolist() for t in b.column(2).to_pylist()], pa.list_(pa.float64())))
 
     got = order(few.select(F.col("k").cast("long"), "y", F.col("t").cast("binary")).mapInArrow(run, "k long, y int, x array<double>").collect())
-    return train_scores(model, np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([r["y"] for r in got], np.float64))
+    return train_scores(model, np.array([r["x"] for r in got]).reshape(len(got), 3), np.array([r["y"] for r in got], np.float64))
 
 
 def score(rows: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
