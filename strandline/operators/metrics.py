@@ -84,13 +84,28 @@ def hierarchical_wd(chapters: DataFrame, subtopics: DataFrame, alpha: float = 0.
     return chapters.select("seq_id", F.col("wd").alias("c")).join(subtopics.select("seq_id", F.col("wd").alias("s")), "seq_id").select("seq_id", (alpha * F.col("c") + (1 - alpha) * F.col("s")).alias("h_wd"))
 
 
-def evaluate(hyp: DataFrame, ref: DataFrame, sizes: DataFrame, tolerances: tuple[int, ...] = (1, 2, 3, 5)) -> DataFrame:
-    """All metrics of each sequence."""
-    out = pk_wd(hyp, ref, sizes).join(boundary_similarity(hyp, ref, sizes), "seq_id")
+def evaluate(hyp: DataFrame, ref: DataFrame, sizes: DataFrame, tolerances: tuple[int, ...] = (1, 2, 3, 5), near: int = 2) -> DataFrame:
+    """All metrics of each sequence, equal to the single ones: both sides are gathered once as arrays, and the metrics are expressions over them, so that a bundle
+    costs no shuffle more than one metric. A sequence's boundaries must fit a row, and windows cost its length times its boundaries."""
+    rows = lists(hyp, ref, sizes).withColumn("k", F.greatest(F.lit(1), half_even(F.col("n") / (F.size("ref") + 1) / 2).cast("int")))
+    upto = lambda b: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.size(F.filter(b, lambda x: x <= p)))
+    rows = rows.withColumn("_h", upto("hyp")).withColumn("_r", upto("ref"))
+    ahead = lambda c, i: F.element_at(c, i + F.col("k")) - F.element_at(c, i)
+    starts = F.when(F.col("n") > F.col("k"), F.sequence(F.lit(1), F.col("n") - F.col("k"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_w", F.transform(starts, lambda i: F.struct(ahead("_h", i).alias("h"), ahead("_r", i).alias("r"))))
+    share = lambda wrong: F.coalesce(F.try_divide(F.size(F.filter("_w", wrong)), F.size("_w")), F.lit(0.0))
+    score = lambda x, others: F.aggregate(others, F.lit(0.0), lambda m, y: F.greatest(m, F.when(F.abs(x - y) <= near, 1 - F.abs(x - y) / (near + 1.0)).otherwise(0.0)))
+    mean = lambda a, b: F.aggregate(a, F.lit(0.0), lambda t, x: t + score(x, b)) / F.size(a)
+    h, r = F.size("hyp"), F.size("ref")
+    bs = F.when((h == 0) & (r == 0), 1.0).when((h == 0) | (r == 0), 0.0).otherwise((mean("hyp", "ref") + mean("ref", "hyp")) / 2)
+    out = ["seq_id", "k", share(lambda w: (w["h"] > 0) != (w["r"] > 0)).alias("pk"), share(lambda w: w["h"] != w["r"]).alias("wd"), bs.alias("bs")]
     for t in tolerances:
-        f = tolerance_f1(hyp, ref, sizes, t)
-        out = out.join(f.select("seq_id", *[F.col(c).alias(f"{c}_t{t}") for c in ("precision", "recall", "f1")]), "seq_id")
-    return out
+        rows = matched(rows, t).withColumnRenamed("taken", f"_t{t}")
+        tp = F.size(f"_t{t}")
+        of = lambda d, tp=tp: F.when((h == 0) & (r == 0), 1.0).when((h == 0) | (r == 0), 0.0).otherwise(tp / d)
+        f1 = F.when((h == 0) & (r == 0), 1.0).otherwise(F.coalesce(F.try_divide(2.0 * tp, h + r), F.lit(0.0)))
+        out += [of(h).alias(f"precision_t{t}"), of(r).alias(f"recall_t{t}"), f1.alias(f"f1_t{t}")]
+    return rows.select(*out)
 
 
 def error_taxonomy(hyp: DataFrame, ref: DataFrame, sizes: DataFrame, tolerance: int = 2) -> DataFrame:

@@ -32,5 +32,5 @@ def battery(spark: SparkSession, sf_dir: str, methods: list[str] | None = None)
     key = lambda df: df.withColumn("seq_id", F.struct("seq_id", "method")).drop("method")
     every = lambda df: key(df.crossJoin(F.broadcast(names)))
     hyp, refs, sizes = key(hyp), every(refs), every(sizes)
-    m = metrics.pk_wd(hyp, refs, sizes).join(metrics.boundary_similarity(hyp, refs, sizes), "seq_id").join(metrics.tolerance_f1(hyp, refs, sizes).select("seq_id", "f1"), "seq_id")
+    m = metrics.evaluate(hyp, refs, sizes, (2,)).withColumnRenamed("f1_t2", "f1")
     return rounded(m.groupBy(F.col("seq_id.method").alias("method")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("pk", "wd", "bs", "f1")]))
