@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, excerpt, sample_by_class
+from .common import batch, excerpt, sampled_documents
 
 BUCKETS, RANK, STATS = 1 << 15, 6, 14
 #: Bounds of the fitting sample: rows of a class, and characters of a row.
@@ -129,10 +129,10 @@ def train(rows: list[tuple[bytes, int | None, int]], seed: int = 11, epochs: int
     return m
 
 
-def fit(rows: DataFrame, label: str, text: str = "text", key: str = "doc_id", length: str = "n_chars", where: Column | None = None) -> Machine:
-    """Train on about PER_CLASS labelled rows of each class, EXCERPT characters of each: the only rows that reach the driver."""
-    known = rows.where(F.col(label).isin(0, 1) & (F.lit(True) if where is None else where)).select(F.col(key).alias("k"), F.col(label).alias("y"), F.col(text).alias("t"), F.col(length).alias("n"))
-    few = sample_by_class(known, "y", "k", PER_CLASS).select("k", excerpt(F.col("t"), F.col("k"), EXCERPT).alias("t"), "y", "n")
+def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", length: str = "n_chars", where: Column | None = None) -> Machine:
+    """Train on about PER_CLASS labelled documents of each class, EXCERPT characters of each: the only rows that reach the driver."""
+    rows = sampled_documents(docs.select(key, F.col(text).alias("t"), F.col(length).alias("n")), labels, label, key, PER_CLASS, where)
+    few = rows.select("k", excerpt(F.col("t"), F.col("k"), EXCERPT).alias("t"), "y", "n")
     return train([((r["t"] or "").encode(), r["n"], r["y"]) for r in sorted(few.collect(), key=lambda r: (r["k"] is None, r["k"] or 0, r["y"]))])
 
 

@@ -13,11 +13,6 @@ from .common import fold, small_batches, table
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return docs.join(labels, "doc_id")
-
-
 def classified(scores: DataFrame, modulus: int, held_out: int) -> DataFrame:
     return scores.select("doc_id", F.coalesce(fold(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -75,8 +70,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    model = quality.fit(labelled(spark, sf_dir), "quality", where=fold(F.col("doc_id"), 3) != 1)
-    return classified(quality.score(table(spark, sf_dir, "documents"), model), 3, 1)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", where=fold(F.col("doc_id"), 3) != 1)
+    return classified(quality.score(docs, model), 3, 1)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
