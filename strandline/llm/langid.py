@@ -25,8 +25,8 @@ from .common import batch, excerpt, sample_by_class
 BUCKETS, DIM = 1 << 15, 16
 #: Bounds of the fitting sample: rows of a language, and characters of a row.
 PER_LANGUAGE, EXCERPT = 1500, 400
-#: Share of correctly labelled calibration texts that rejection may cost.
-COST = 0.001
+#: Share of correctly labelled calibration texts that rejection may cost, and how far above chance the threshold may lie at most.
+COST, OVER_CHANCE = 0.001, 0.1
 CHUNK = 1 << 17
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -129,7 +129,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: flo
         model.scale = float(min((0.25 * 1.25**k for k in range(20)), key=loss))
         p = softmax(z * model.scale)
         right = p.max(1)[p.argmax(1) == y]
-        model.threshold = float(min(0.5, np.quantile(right, COST, method="lower"))) if len(right) else 0.0
+        model.threshold = float(min(1 / len(langs) + OVER_CHANCE, np.quantile(right, COST, method="lower"))) if len(right) else 0.0
     return model
 
 
