@@ -1,11 +1,11 @@
-"""Segmenters as table functions: one Arrow group of a sequence in, boundaries of all asked methods out.
+"""Segmenters as table functions: a sequence in, boundaries of all asked methods out.
 
 A sequence's vectors cross to Python once for all methods, so the table of methods is never joined to the vectors. Parallelism comes from sequences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,8 +28,7 @@ def run_methods(units: DataFrame, k: DataFrame, methods: list[str], most_units:
     if side is not None:
         rows = rows.join(side.select("seq_id", F.col("boundary").alias("pos"), F.col("score").alias("_side")), ["seq_id", "pos"], "left")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+    def one(seq_id: int, pdf: pd.DataFrame) -> list[tuple]:
         x = registry.Input(
             np.array(pdf["vec1"].tolist(), np.float64), np.array(pdf["vec2"].tolist(), np.float64), int(pdf["_k"].iloc[0]),
             pdf["_side"].fillna(0).to_numpy() if side is not None else None, [list(t) for t in pdf["tokens"]] if tokens else None,
@@ -37,15 +36,37 @@ def run_methods(units: DataFrame, k: DataFrame, methods: list[str], most_units:
         out = []
         for name, m in parsed.items():
             try:
-                out += [(key[0], name, b, None) for b in registry.run(x, m)]
+                out += [(seq_id, name, b, None) for b in registry.run(x, m)]
             except Exception as e:
                 if not errors:
                     raise
-                out.append((key[0], name, None, repr(e)))
-        got = pd.DataFrame(out, columns=["seq_id", "method", "boundary", "error"]).astype({"boundary": "Int32"})
-        return got if errors else got[["seq_id", "method", "boundary"]]
-
-    return rows.groupBy("seq_id").applyInPandas(run, BOUNDARIES + (", error string" if errors else ""))
+                out.append((seq_id, name, None, repr(e)))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in sequences(batches, one):
+            got = pd.DataFrame(out, columns=["seq_id", "method", "boundary", "error"]).astype({"seq_id": "int64", "boundary": "Int32"})
+            yield got if errors else got[["seq_id", "method", "boundary"]]
+
+    return rows.repartition("seq_id").sortWithinPartitions("seq_id", "pos").mapInPandas(run, BOUNDARIES + (", error string" if errors else ""))
+
+
+def sequences(batches: Iterator[pd.DataFrame], f: Callable[[int, pd.DataFrame], list]) -> Iterator[list]:
+    """f of each whole sequence in batches that are sorted by sequence and position; a sequence may span batches. Many short sequences share a batch, which spares
+    the cost of a group each."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        ids = pdf["seq_id"].to_numpy()
+        if not len(ids):
+            continue
+        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist()]
+        held = pdf.iloc[edges[-1] :]  # the last may go on
+        out = [r for a, e in zip(edges, edges[1:], strict=False) for r in f(int(ids[a]), pdf.iloc[a:e])]
+        if out:
+            yield out
+    if held is not None and len(held):
+        yield f(int(held["seq_id"].iloc[0]), held)
 
 
 def per_sequence(units: DataFrame, f: Callable[[np.ndarray], list[int]], vec: str = "vec") -> DataFrame:

@@ -10,6 +10,7 @@ from ..sources import tables as T
 from . import registry
 from .battery import battery
 from .common import fixed, rounded
+from .q_gaps import frame_sql, mean_sql
 
 
 def units(s, d):
@@ -89,4 +90,22 @@ QUERIES = {
     "segment_f1": segment_matches,
     "evaluation_battery": battery,
 }
-SQL: dict[str, str] = {}
+
+def halves_sql(a1: int, b1: int, a2: int, b2: int) -> str:
+    """The first model's vectors, the means of two frames around each boundary, and the boundaries asked for."""
+    return f"""WITH {T.SQL["vectors"]}, {T.SQL["refs"]}, kk AS (SELECT seq_id, count(*) AS k FROM refs GROUP BY seq_id),
+v AS (SELECT seq_id, pos, vec[1:32] AS vec FROM vectors), f AS (SELECT seq_id, pos, {frame_sql(a1, b1)} AS l, {frame_sql(a2, b2)} AS r FROM v),
+m AS (SELECT seq_id, pos, {mean_sql("l", 32)} AS a, {mean_sql("r", 32)} AS b FROM f WHERE pos > 0)"""
+
+
+def depth_sql(name: str, w: int) -> str:
+    return f"""{halves_sql(-1 - w, -1 + w, -w, w)}, s AS (SELECT seq_id, pos, list_cosine_similarity(a, b) AS s FROM m),
+d AS (SELECT seq_id, pos, max(s) OVER (PARTITION BY seq_id ORDER BY pos ROWS UNBOUNDED PRECEDING) + max(s) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * s AS d FROM s)
+SELECT seq_id, '{name}' AS method, pos::BIGINT AS boundary FROM d JOIN kk USING (seq_id) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY d DESC, pos) <= k"""
+
+
+SQL: dict[str, str] = {
+    "cosine_seg": depth_sql("cosine", 3),
+    "bert_style": depth_sql("bert_seg", 5),
+    "cosine_drop": f"{halves_sql(-3, -1, 0, 2)} SELECT seq_id, 'cosine_drop' AS method, pos::BIGINT AS boundary FROM m JOIN kk USING (seq_id) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY list_dot_product(a, b), pos) <= k",
+}
