@@ -27,14 +27,14 @@ def discourse(units: DataFrame, markers: dict[str, str] = MARKERS) -> DataFrame:
 
 
 def tf_cosine(units: DataFrame) -> DataFrame:
-    """(seq_id, boundary, similarity): cosine of the term counts of neighbouring units. Terms meet in an equi join, so cost follows the shared terms."""
-    terms = units.select("seq_id", "pos", F.explode(X.words(F.col("text"))).alias("term")).groupBy("seq_id", "pos", "term").agg(F.count("*").alias("c"))
-    norms = terms.groupBy("seq_id", "pos").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    left = terms.select("seq_id", (F.col("pos") + 1).alias("pos"), "term", F.col("c").alias("c2"))
-    dots = terms.join(left, ["seq_id", "pos", "term"]).groupBy("seq_id", "pos").agg(F.sum(F.col("c") * F.col("c2")).alias("dot"))
-    prev = norms.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("norm").alias("norm2"))
-    rows = units.where("pos > 0").select("seq_id", "pos").join(dots, ["seq_id", "pos"], "left").join(norms, ["seq_id", "pos"], "left").join(prev, ["seq_id", "pos"], "left")
-    return rows.select("seq_id", F.col("pos").alias("boundary"), F.coalesce(F.col("dot") / (F.col("norm") * F.col("norm2")), F.lit(0.0)).alias("similarity"))
+    """(seq_id, boundary, similarity): cosine of the term counts of neighbouring units. Each term counts for its own boundary and for the next one, so two aggregations
+    give dot products and norms together; nothing is joined, and cost follows the terms."""
+    w = units.select("seq_id", "pos", F.explode_outer(X.words(F.col("text"))).alias("term"))
+    one = F.col("term").isNotNull().cast("long")
+    both = F.explode(F.array(F.struct(F.col("pos").alias("boundary"), one.alias("own"), F.lit(0).cast("long").alias("prev"), F.lit(1).alias("here")), F.struct((F.col("pos") + 1).alias("boundary"), F.lit(0).cast("long").alias("own"), one.alias("prev"), F.lit(0).alias("here"))))
+    t = w.select("seq_id", "term", both.alias("x")).groupBy("seq_id", "x.boundary", "term").agg(F.sum("x.own").alias("o"), F.sum("x.prev").alias("p"), F.max("x.here").alias("here"))
+    s = t.groupBy("seq_id", "boundary").agg(F.sum(F.col("o") * F.col("p")).alias("dot"), F.sqrt(F.sum(F.col("o") * F.col("o"))).alias("n1"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("n2"), F.max("here").alias("here"))
+    return s.where("here = 1 and boundary > 0").select("seq_id", "boundary", F.coalesce(F.try_divide("dot", F.col("n1") * F.col("n2")), F.lit(0.0)).alias("similarity"))
 
 
 def jaccard_novelty(units: DataFrame) -> DataFrame:
