@@ -29,7 +29,7 @@ from .common import batch, written
 #: Bounds: vectors that fit the centroids, centroids of a half, vectors or queries of a block.
 SAMPLE, MOST_CENTROIDS, BLOCK = 20_000, 256, 4096
 #: A query's cells hold at least this many vectors, and this share of all, for a recall of 0.9 on data without clusters.
-LEAST, SHARE = 4000, 0.5
+LEAST, SHARE = 4000, 0.6
 FOUND = "query_id long, vec_id long, score double"
 
 
