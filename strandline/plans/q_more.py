@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gaps, learning, portfolio, text
+from ..operators import gaps, learning, text
 from ..sources import tables as T
 from ..streaming import sessions
 from .common import fixed, rounded
