@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 WIDTH, GRAM = 50, 25
 #: Bytes of text of a block, of owners of a part, and of a piece that is hashed at a time.
-BLOCK, PART, PIECE = 4 << 20, 6 << 20, 1 << 17
+BLOCK, PART, PIECE = 2 << 20, 3 << 20, 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 MAIL = "part int, block int, data binary"
 
