@@ -10,15 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, langid, lpf_dedup, packing, simhash
+from strandline.llm import decontam, langid, lpf_dedup, packing, shingledup
 from strandline.llm.common import small_batches, table, written
 from strandline.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near duplicates are texts of five-word shingles with a similarity of 0.8 or more. Such texts seldom agree in all but two bits of a fingerprint of
-#: shingles, but do in 46 bits of one of words; two more fingerprints of five-word shingles then measure similarity. At 0.8 they
-#: differ in 19.4 of 128 bits in the mean, with a deviation of 4.1; NEAR lies a little above, so as to lose few of the pairs at 0.8.
-SHAPES, MASK, NEAR = [(1, 42), (5, 42), (5, 43)], (1 << 46) - 1, 24
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +25,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
+    """The document of smallest id of each group of near duplicates: texts whose five-word shingles have a similarity of 0.8 or more."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_groups(docs, SHAPES, threshold=2, mask=MASK, most=NEAR)
+    groups = shingledup.near_groups(docs)
     return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
