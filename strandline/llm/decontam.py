@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, queried with every training passage by block-max WAND.
 
 A passage is SEGMENTS neighbouring segments of STEP words, and a passage starts at each segment, so any run of up to (SEGMENTS - 1) * STEP + 1 words lies
-within one. An item's BM25 weights are divided by its score against itself, so one threshold holds for all items. Items that share their most frequent term
-stand side by side and form at most BOUNDS blocks. A block's bound for a passage, the sum of its distinct words' largest weights in the block, is
+within one. An item's BM25 weights are divided by its score against itself, so one threshold holds for all items. No passage holds an item of more
+words than a passage, so such an item is indexed in overlapping parts that each lie within one if they stand in a text, with weights divided by the part's
+score; any part retrieves the item. Items that share their most frequent term stand side by side and form at most BOUNDS blocks. A block's bound for a passage, the sum of its distinct words' largest weights in the block, is
 computed for all passages of a document at once; only where it reaches the threshold does block-max WAND walk the postings of that block's items. What
 a walk retrieves is verified in the words around the passage: the shares of the item's question and of its answer whose word sequences occur there
 must both reach VERIFIED.
@@ -32,6 +33,7 @@ from .common import batch
 
 STEP, SEGMENTS, BOUNDS, BLOCK, K1, B = 24, 3, 128, 16, 1.2, 0.75
 PASSAGE = STEP * SEGMENTS
+PART = (SEGMENTS - 1) * STEP + 1
 #: Share of an item's score against itself that retrieves it; shares of word sequences of its question and answer that verify it; words of a sequence.
 RETRIEVED, VERIFIED, GRAM = 0.6, 0.5, 5
 MOST_BYTES = 64 << 20
@@ -57,6 +59,13 @@ def grams(words: list[bytes], n: int) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+def parts_of(words: list[bytes]) -> list[list[bytes]]:
+    """The words, or of more than a passage holds, runs of PART words that start at every STEP words and end with the last word."""
+    if len(words) <= PASSAGE:
+        return [words]
+    return [words[i : i + PART] for i in (*range(0, len(words) - PART, STEP), len(words) - PART)]
+
+
 @dataclass
 class Postings:
     """A term's items in rising order with normalised weights, and the largest weight of each block of BLOCK."""
@@ -82,17 +91,21 @@ class Index:
         texts = [Counter(q + a) for q, a in self.parts]
         mean = sum(sum(t.values()) for t in texts) / max(1, len(texts)) or 1.0
         lists: dict[bytes, tuple[list, list]] = defaultdict(lambda: ([], []))
+        self.of: list[int] = []  # the item of each entry: items of parts have several
         for i, t in enumerate(texts):
             n = sum(t.values())
             w = {x: math.log(1 + (len(texts) - df[x] + 0.5) / (df[x] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for x, f in t.items()}
-            total = sum(w.values())
-            for x, v in w.items():
-                lists[x][0].append(i)
-                lists[x][1].append(v / total)
+            for part in parts_of([x for p in self.parts[i] for x in p]):
+                own = {x: w[x] for x in dict.fromkeys(part)}
+                total = sum(own.values())
+                for x, v in own.items():
+                    lists[x][0].append(len(self.of))
+                    lists[x][1].append(v / total)
+                self.of.append(i)
         self.terms = {x: Postings(*p) for x, p in lists.items()}
-        self.wide = max(1, math.ceil(len(items) / BOUNDS))  # items of a block
+        self.wide = max(1, math.ceil(len(self.of) / BOUNDS))  # entries of a block
         self.rows = {x: i for i, x in enumerate(self.terms, 1)}
-        self.most = np.zeros((len(self.terms) + 1, math.ceil(len(items) / self.wide)), np.float32)
+        self.most = np.zeros((len(self.terms) + 1, math.ceil(len(self.of) / self.wide)), np.float32)
         for p, row in zip(self.terms.values(), self.most[1:], strict=True):
             np.maximum.at(row, np.array(p.items) // self.wide, np.array(p.weights, np.float32))
 
@@ -156,7 +169,8 @@ class Index:
         best: dict[int, tuple] = {}
         for p, block in zip(*(x.tolist() for x in np.nonzero(self.bounds(words) >= threshold)), strict=True):
             s = p * STEP
-            for item, score in self.walk(set(words[s : s + PASSAGE]), threshold, block * self.wide, (block + 1) * self.wide):
+            for entry, score in self.walk(set(words[s : s + PASSAGE]), threshold, block * self.wide, (block + 1) * self.wide):
+                item = self.of[entry]
                 q, a = self.parts[item]
                 margin = len(q) + len(a)  # an item may go on beyond the passage
                 near = words[max(0, s - margin) : s + PASSAGE + margin]

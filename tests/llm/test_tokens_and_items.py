@@ -138,6 +138,20 @@ def test_contaminated(spark):
     assert decontam.contaminated(docs, none).count() == 0 and decontam.clean(docs, none).count() == len(rows)
 
 
+@pytest.mark.parametrize("n", [73, 95, 130, 200, 300])
+def test_long_items_are_found_at_any_place(n):
+    rng = random.Random(n)
+    bench, say = items(rng)
+    long = [(1000 + i, f"{say(n - n // 4)}. {say(n // 4)}.") for i in range(8)]
+    index = decontam.Index(bench + long)
+    for i, t in long:
+        for at in rng.sample(range(200), 6):
+            assert [x[0] for x in index.find(f"{say(at)} {t} {say(100)}".encode())] == [i]
+        words = t.split()
+        assert [x[0] for x in index.find(f"{say(50)} {' '.join(words[n // 3 :])} {say(100)}".encode())] == [i]  # all but a third
+    assert index.find(say(2000).encode()) == []
+
+
 def test_token_counts_are_the_tokenizers(spark):
     v = tokencount.sentencepiece_vocabulary(P.path("piece_bpe_32k.model"))
     exact = Tokenizer(models.Unigram([*v, ("<unk>", 0.0)], len(v), False))
