@@ -7,6 +7,7 @@ smaller boundary throughout, and rounding is half-even as Python's.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 
@@ -397,26 +398,63 @@ def gap_variance_k(v: np.ndarray, most: int = 40) -> int:
 def c99(similarity: np.ndarray, k: int | None = None, w: int = 5, c: float = 1.2) -> list[int]:
     """Rank transform in clamped (2w + 1)^2 windows, then the mean densities of the two corner blocks at each boundary: the k - 1 lowest, or all below
     mean - c * deviation. Block sums are two-dimensional prefix sums."""
-    n = len(similarity)
+    return c99_rows(lambda lo, hi: similarity[lo:hi], len(similarity), k, w, c)
+
+
+def c99_rows(rows, n: int, k: int | None = None, w: int = 5, c: float = 1.2, cells: int = 1 << 20) -> list[int]:
+    """c99 of n units over rows(lo, hi) of their similarity matrix, of which tiles of about `cells` values are held at a time."""
     if n < 3:
         return []
-    less, total = np.zeros((n, n)), np.zeros((n, n))
-    padded = np.full((n + 2 * w, n + 2 * w), np.nan)
-    padded[w : n + w, w : n + w] = similarity
-    for dy in range(2 * w + 1):
-        for dx in range(2 * w + 1):
-            x = padded[dy : dy + n, dx : dx + n]
-            total += ~np.isnan(x)
-            less += x < similarity
-    p = np.zeros((n + 1, n + 1))
-    p[1:, 1:] = ((1 + less) / total).cumsum(0).cumsum(1)
+    step = max(1, cells // n)
+    column, inner, right = np.zeros(n), np.zeros(n), np.zeros(n)  # sums of the ranks above, within the first corner block, and of whole rows
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        above, below = max(0, lo - w), min(n, hi + w)
+        padded = np.full((hi - lo + 2 * w, n + 2 * w), np.nan)
+        padded[above - lo + w : below - lo + w, w : n + w] = rows(above, below)
+        own = padded[w : hi - lo + w, w : n + w]
+        less, total = np.zeros(own.shape), np.zeros(own.shape)
+        for dy in range(2 * w + 1):
+            for dx in range(2 * w + 1):
+                x = padded[dy : dy + hi - lo, dx : dx + n]
+                total += ~np.isnan(x)
+                less += x < own
+        rank = (1 + less) / total
+        for i in range(lo, hi):
+            column += rank[i - lo]
+            p = column.cumsum()
+            inner[i], right[i] = p[i], p[-1]
     b = np.arange(1, n)
-    score = p[b, b] / b**2 + (p[n, n] - p[b, n] - p[n, b] + p[b, b]) / (n - b) ** 2
+    score = inner[b - 1] / b**2 + (p[-1] - right[b - 1] - p[b - 1] + inner[b - 1]) / (n - b) ** 2
     if k is not None:
         return sorted(int(x) for x in b[np.lexsort((b, score))][: k - 1])
     return [int(x) for x in b[score < score.mean() - c * score.std()]]
 
 
+def c99_text(sentences: list[list[str]], k: int | None = None, cells: int = 1 << 20) -> list[int]:
+    """c99 over cosines of term counts, from the counts above zero alone."""
+    vocabulary = {t: i for i, t in enumerate(sorted({t for s in sentences for t in s}))}
+    counts = [sorted(Counter(map(vocabulary.get, s)).items()) for s in sentences]
+    size = np.array([len(x) for x in counts])
+    term, count = (np.array([x[j] for row in counts for x in row], t) for j, t in ((0, np.int64), (1, np.float64)))
+    start, some = np.cumsum(size) - size, np.flatnonzero(size)
+    norm = np.sqrt([sum(x * x for _, x in row) for row in counts])
+
+    def rows(lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((hi - lo, len(counts)))
+        dense = np.zeros(len(vocabulary))
+        for i in range(lo, hi):
+            own = slice(start[i], start[i] + size[i])
+            dense[term[own]] = count[own]
+            if len(some):
+                out[i - lo, some] = np.add.reduceat(dense[term] * count, start[some])
+            dense[term[own]] = 0
+        n = norm[lo:hi, None] * norm
+        return np.where(n > 1e-12, out / np.where(n > 1e-12, n, 1), 0.0)
+
+    return c99_rows(rows, len(counts), k, cells=cells)
+
+
 def term_vectors(sentences: list[list[str]]) -> np.ndarray:
     vocabulary = {w: i for i, w in enumerate(sorted({w for s in sentences for w in s}))}
     out = np.zeros((len(sentences), max(1, len(vocabulary))))

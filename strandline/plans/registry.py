@@ -114,7 +114,7 @@ def run(x: Input, m: Method) -> list[int]:
         out = S.best(blended(S.minmax(S.gap_overlapping(sv, 3)), x.side if o.get("side") else None, 0.7), k - 1)
     elif f in ("texttiling", "c99"):
         t = x.tokens or [[] for _ in range(n)]
-        out = S.texttiling(t) if f == "texttiling" else S.c99(S.cosines(*(a for a in np.broadcast_arrays(S.term_vectors(t)[:, None], S.term_vectors(t)[None]))), k)
+        out = S.texttiling(t) if f == "texttiling" else S.c99_text(t, k)
     elif f == "cross":
         scores = cross(x, m)
         if "nms" in o:

@@ -77,6 +77,45 @@ def test_text_segmenters():
     assert 12 in S.texttiling(a + b, 8, 4)
 
 
+def plain_c99(s, k, w=5):
+    n = len(s)
+    rank = np.zeros((n, n))
+    for i in range(n):
+        for j in range(n):
+            x = s[max(0, i - w) : i + w + 1, max(0, j - w) : j + w + 1]
+            rank[i, j] = (1 + (x < s[i, j]).sum()) / x.size
+    p = np.zeros((n + 1, n + 1))
+    p[1:, 1:] = rank.cumsum(0).cumsum(1)
+    score = [p[b, b] / b**2 + (p[n, n] - p[b, n] - p[n, b] + p[b, b]) / (n - b) ** 2 for b in range(1, n)]
+    return sorted(sorted(range(1, n), key=lambda b: (score[b - 1], b))[: k - 1])
+
+
+@pytest.mark.parametrize("cells", [1, 500, 1 << 20])
+def test_c99_in_tiles(cells):
+    rng = np.random.default_rng(4)
+    t = [[f"w{x}" for x in rng.integers(0, 40, rng.integers(0, 12))] for _ in range(70)]
+    v = S.term_vectors(t)
+    assert S.c99_text(t, 9, cells) == plain_c99(S.cosines(v[:, None], v[None]), 9) == S.c99(S.cosines(v[:, None], v[None]), 9)
+
+
+def sees_all_units(spark, monkeypatch, name):
+    """A document of 900 units gives the boundaries of the method over all of them."""
+    from strandline.plans import q_segment as Q
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'abc'[i // 300]}{x}" for x in rng.integers(0, 30, 6)) for i in range(900)]
+    units = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "seq_id long, pos int, text string")
+    monkeypatch.setattr(Q.T, "text_units", lambda s, d: units)
+    rows = Q.documents(spark, "").orderBy("pos").collect()
+    v = np.array([r["vec1"] for r in rows], np.float64)
+    want = registry.run(registry.Input(v, v, 10, None, [list(r["tokens"]) for r in rows]), registry.parse({"c99_lite": "c99", "texttiling": "texttiling", "document_divisive": "divisive_smooth9"}[name]))
+    assert sorted(r["boundary"] for r in Q.QUERIES[name](spark, "").collect()) == sorted(want) != []
+
+
+def test_c99_sees_all_units(spark, monkeypatch):
+    sees_all_units(spark, monkeypatch, "c99_lite")
+
+
 def test_dp_candidates_keep_lengths():
     b = S.dp_candidates({3: 1.0, 10: 0.9, 11: 0.8, 20: 0.7, 28: 1.0}, 30, 2)
     assert len(b) == 2 and min(np.diff([0, *b, 30])) >= 5
