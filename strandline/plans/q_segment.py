@@ -84,8 +84,8 @@ QUERIES = {
     "method_registry": lambda s, d: rounded(grouped.run_methods(units(s, d), wanted(s, d), registry.names())),
     "method_catalogue": catalogue,
     "c99_lite": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["c99"], most_units=None)),
-    "texttiling": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["texttiling"])),
-    "document_divisive": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["divisive_smooth9"])),
+    "texttiling": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["texttiling"], most_units=None)),
+    "document_divisive": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["divisive_smooth9"], most_units=None)),
     "dp_select": lambda s, d: rounded(grouped.dp_select(select.top_k(GAP_SCORES(s, d), 24), T.sizes(T.vectors(s, d)), 6)),
     "segment_f1": segment_matches,
     "evaluation_battery": battery,

@@ -116,6 +116,11 @@ def test_c99_sees_all_units(spark, monkeypatch):
     sees_all_units(spark, monkeypatch, "c99_lite")
 
 
+@pytest.mark.parametrize("name", ["texttiling", "document_divisive"])
+def test_text_queries_see_all_units(spark, monkeypatch, name):
+    sees_all_units(spark, monkeypatch, name)
+
+
 def test_dp_candidates_keep_lengths():
     b = S.dp_candidates({3: 1.0, 10: 0.9, 11: 0.8, 20: 0.7, 28: 1.0}, 30, 2)
     assert len(b) == 2 and min(np.diff([0, *b, 30])) >= 5
