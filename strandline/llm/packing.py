@@ -5,13 +5,15 @@ GROUP pieces. Within a group, pieces go by falling length each into the first bi
 places, its inner nodes their maxima, so that bin is found in log2(bins) steps. Groups never meet, so the one shuffle moves only what a
 caller wants carried along, and a group's size doesn't grow with the corpus.
 
-Defined results: null and empty texts are one closing id. Rows that repeat are packed each for itself.
+Defined results: null and empty texts are one closing id. Rows that repeat are packed each for itself, and spread over the groups.
+White space of any length is fine.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -22,6 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP = 4096
+#: Texts with white space of this length run in `tokenizers`: the other's splitter keeps a stack that grows with it and breaks at about a million.
+LONG_SPACE = 1 << 16
+SPACES = re.compile(rf"\s{{{LONG_SPACE}}}")
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -55,7 +60,7 @@ class Ids:
             self.names = tuple(names)
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None:
+        if self.fast is None or (len(text) >= LONG_SPACE and SPACES.search(text)):
             return self.exact.encode(text, add_special_tokens=False).ids
         if any(n in text for n in self.names):
             return self.fast.encode(text, allowed_special="all")
@@ -121,7 +126,8 @@ def groups_for(docs: DataFrame, size: int = 2048, text: str = "text") -> int:
 
 def pack(rows: DataFrame, groups: int, size: int = 2048, length: str = "length") -> DataFrame:
     """The rows with sequence_id and offset; `length` is that of a piece, at most `size`. All columns are carried along, whatever they are;
-    leave out those that need not move. Within a group, order is by the rows' own columns, so results do not depend on how rows arrive."""
+    leave out those that need not move. A row's group is drawn by a hash of the row and of its place in the table, so equal rows, however many, spread
+    like others; within a group, order is by the rows' own columns."""
     names = [c for c in rows.columns if c not in ("sequence_id", "offset", "pack_group")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,4 +138,4 @@ def pack(rows: DataFrame, groups: int, size: int = 2048, length: str = "length")
 
     rows = rows.select(*names)
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", sequence_id long, offset long"
-    return rows.withColumn("pack_group", F.pmod(F.xxhash64(*names), F.lit(groups))).groupBy("pack_group").applyInPandas(run, schema)
+    return rows.withColumn("pack_group", F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(groups))).groupBy("pack_group").applyInPandas(run, schema)

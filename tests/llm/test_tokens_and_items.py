@@ -49,6 +49,8 @@ def test_ids_are_the_tokenizers(spark):
     odd = "ab the  \n\t\x1c\x85 ñéß漢😀½Ⅷ'sll.,_<|endoftext|>"
     texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["a<|endoftext|>b", "", " "]
     assert all(ids(t) == exact.encode(t, add_special_tokens=False).ids for t in texts)
+    for t in (" " * 3_000_000 + "x", "a\n" + "\n" * 1_000_000, "a" * 1_000_000, "\u3000\t" * 600_000):
+        assert ids(t) == exact.encode(t, add_special_tokens=False).ids
 
 
 def test_packing_round_trip(spark):
