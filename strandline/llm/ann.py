@@ -5,12 +5,17 @@ inner product. Either half of a vector is quantised by its own K centroids, so a
 distances to both lists of centroids are sorted and a heap yields pairs by rising sum of distances, until the cells so far hold enough vectors;
 those are reranked exactly, in double precision, on the original vectors.
 
+How many vectors are enough is measured: on the sample that fits the centroids, true neighbours are found by brute force, and the share of vectors
+whose cells come up to the neighbour's cell gives the share to visit for a recall of TARGET. Clustered vectors need a few percent of a table, vectors
+without any structure up to half of it. Neighbours in a sample lie farther off than in the table, so the share errs to the larger side.
+
 Neighbouring cells form blocks of bounded size, and a cell that holds more, even a third of all vectors, is split over several. A query goes once
-to each block in which it visits cells, with the sums of distance between which it visits. A first round visits its nearest cells and
-so finds a bound; in the second round a block gives back only what reaches that bound.
+to each block in which it visits cells. A first round visits its nearest cells and so finds a bound; the second round leaves out the cells whose
+centroids and radii show that nothing in them can reach that bound, and a block gives back only what reaches it.
 
 Defined results: vectors that are null, of another length than most, zero, or with null or non-finite components take no part; equal
-scores go to the smaller id; an empty table gives no rows.
+scores go to the smaller id; an empty table gives no rows. Rows are told apart by place, not by id: a repeated row is a candidate as often as it stands
+there and, as a query, asks as often; a query leaves out one row of its own id and vector, itself.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Bounds: vectors that fit the centroids, centroids of a half, vectors or queries of a block.
-SAMPLE, MOST_CENTROIDS, BLOCK = 20_000, 256, 4096
-#: A query's cells hold at least this many vectors, and this share of all, for a recall of 0.9 on data without clusters.
-LEAST, SHARE = 4000, 0.6
-FOUND = "query_id long, vec_id long, score double"
+SAMPLE, MOST_CENTROIDS, BLOCK = 20_000, 512, 4096
+#: Recall that the share of visited vectors is measured for, and queries that measure it.
+TARGET, ASKED = 0.95, 256
+FOUND = "asked long, query_id long, row long, vec_id long, score double"
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -60,24 +65,25 @@ def halves(x: np.ndarray, most: float | None) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :m], np.column_stack((x[:, m:], more))
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, counts: list[int], first: int, enough: int) -> tuple[float, float, list[int], list[int]]:
+def traverse(d1: np.ndarray, d2: np.ndarray, counts: list[int], first: int, enough: int) -> tuple[float, float, list[int]]:
     """The multi-sequence walk over both sorted lists: cells by rising d1 + d2 until they hold `first` and then `enough` vectors.
-    Returns the sums reached at either point and the cells of either part."""
+    Returns the sums reached at either point and the cells up to the first."""
     o1, o2 = d1.argsort(kind="stable").tolist(), d2.argsort(kind="stable").tolist()
     a, b, k = d1[o1].tolist(), d2[o2].tolist(), len(d2)
-    heap, parts, held, low, high = [(a[0] + b[0], 0, 0)], ([], []), 0, -math.inf, -math.inf
+    heap, cells, held, low, high = [(a[0] + b[0], 0, 0)], [], 0, -math.inf, -math.inf
     while heap and held < enough:
         high, i, j = heapq.heappop(heap)
         cell = o1[i] * k + o2[j]
         if n := counts[cell]:
-            parts[held >= first].append(cell)
-            low = high if held < first else low
+            if held < first:
+                cells.append(cell)
+                low = high
             held += n
         if j + 1 < k:
             heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
         if j == 0 and i + 1 < len(a):  # a row opens when its first pair may be next
             heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
-    return low, high, *parts
+    return low, high, cells
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -94,18 +100,35 @@ def usable(vec: str, dim: Column | int) -> Column:
     return c.isNotNull() & (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(c, lambda x: x != 0)
 
 
+def share_for(few: np.ndarray, c1: np.ndarray, c2: np.ndarray, most: float, top: int, target: float = TARGET, seed: int = 3) -> float:
+    """The share of vectors that a walk must visit to find `target` of the `top` true neighbours, over a sample."""
+    if len(few) <= top + 1:
+        return 1.0
+    asks = np.random.default_rng(seed).choice(len(few), min(ASKED, len(few)), replace=False)
+    x1, x2 = halves(few, most)
+    i1, i2 = nearest(x1, c1), nearest(x2, c2)
+    q1, q2 = halves(few[asks], None)
+    d1, d2 = distances(q1, c1), distances(q2, c2)
+    need = []
+    for j, at in enumerate(asks):
+        scores = few @ few[at]
+        scores[at] = -np.inf
+        sums = d1[j][i1] + d2[j][i2]
+        need.append((np.searchsorted(np.sort(sums), sums[np.argpartition(-scores, top)[:top]], "right")) / len(few))
+    return float(np.quantile(np.concatenate(need), target))
+
+
 class Index:
-    """The vectors with their cells, as a written table, and the centroids."""
+    """The vectors with their cells, as a written table, the centroids, and the radii of cells."""
 
-    def __init__(self, vectors: DataFrame, key: str, vec: str):
+    def __init__(self, vectors: DataFrame, key: str, vec: str, top: int = 20):
         rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull())
         dim = rows.where("v is not null").agg(F.mode(F.size("v"), deterministic=True)).first()[0] or 0
         rows = rows.where(usable("v", dim))
         total, most = rows.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-        self.dim, self.total, self.most = dim, total, most
+        self.dim, self.total, self.most, self.share = dim, total, most, 1.0
         self.c1 = self.c2 = np.zeros((0, 0))
         self.counts: list[int] = []
-        self.rows = rows.withColumn("cell", F.lit(0))
         if not total:
             return
         place = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -114,18 +137,22 @@ class Index:
         k = max(1, min(MOST_CENTROIDS, round(math.sqrt(total / 8)), len(few)))
         h1, h2 = halves(few, most)
         self.c1, self.c2 = kmeans(h1, k), kmeans(h2, k)
+        self.share = share_for(few, self.c1, self.c2, most, top)
         c1, c2 = self.c1, self.c2
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x1, x2 = halves(matrix(b.column(1), dim), most)
-                cell = nearest(x1, c1) * len(c2) + nearest(x2, c2)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32())], names=["vec_id", "v", "cell"])
+                x1, x2 = halves(matrix(b.column(2), dim), most)
+                i1, i2 = nearest(x1, c1), nearest(x2, c2)
+                r1, r2 = np.linalg.norm(x1 - c1[i1], axis=1), np.linalg.norm(x2 - c2[i2], axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(i1 * len(c2) + i2, pa.int32()), pa.array(r1), pa.array(r2)], names=["row", "vec_id", "v", "cell", "r1", "r2"])
 
-        self.rows = written(rows.mapInArrow(assign, "vec_id long, v array<double>, cell int"), "cells")
+        numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
+        self.rows = written(numbered.mapInArrow(assign, "row long, vec_id long, v array<double>, cell int, r1 double, r2 double"), "cells")
         counts = [0] * (len(c1) * len(c2))
-        for r in self.rows.groupBy("cell").count().collect():  # at most MOST_CENTROIDS^2 rows
-            counts[r["cell"]] = r["count"]
+        self.r1, self.r2 = np.zeros(len(counts)), np.zeros(len(counts))
+        for r in self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2")).collect():  # at most MOST_CENTROIDS^2 rows
+            counts[r["cell"]], self.r1[r["cell"]], self.r2[r["cell"]] = r["n"], r["r1"], r["r2"]
         self.counts = counts
         # Blocks: cells in order share a block up to BLOCK vectors; a larger cell has blocks of its own.
         self.start, self.parts, block, room = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), -1, 0
@@ -138,22 +165,45 @@ class Index:
                     block, room = block + 1, BLOCK
                 self.start[c], room = block, room - n
 
-    def blocks_of(self, cells: list[int]) -> list[int]:
+    def blocks_of(self, cells) -> list[int]:
         return sorted({b for c in cells for b in range(int(self.start[c]), int(self.start[c] + self.parts[c]))})
 
     def probes(self, queries: DataFrame, enough: int, first: int) -> DataFrame:
-        """(query_id, q, low, high, first, more): the sums of distance up to which either round goes, and the blocks it visits."""
+        """(asked, query_id, q, low, high, blocks): the sums of distance up to which either round goes, and the blocks that the first visits."""
         me = self.plain()
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x1, x2 = halves(matrix(b.column(1), me.dim), None)
+                x1, x2 = halves(matrix(b.column(2), me.dim), None)
                 walks = [traverse(a, d, me.counts, first, enough) for a, d in zip(distances(x1, me.c1), distances(x2, me.c2), strict=True)]
-                ints, num = pa.list_(pa.int32()), pa.float64()
-                cols = [pa.array([w[0] for w in walks], num), pa.array([w[1] for w in walks], num), pa.array([me.blocks_of(w[2]) for w in walks], ints), pa.array([me.blocks_of(w[3]) for w in walks], ints)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["query_id", "q", "low", "high", "first", "more"])
+                cols = [pa.array([w[0] for w in walks], pa.float64()), pa.array([w[1] for w in walks], pa.float64()), pa.array([me.blocks_of(w[2]) for w in walks], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=["asked", "query_id", "q", "low", "high", "blocks"])
+
+        return queries.mapInArrow(walk, "asked long, query_id long, q array<double>, low double, high double, blocks array<int>")
 
-        return queries.mapInArrow(walk, "query_id long, q array<double>, low double, high double, first array<int>, more array<int>")
+    def further(self, bounded: DataFrame) -> DataFrame:
+        """The second round's blocks, of rows (asked, query_id, q, bound, low, high): those with cells whose sum of distances is over `low` and up to `high` and
+        that can hold an inner product of `bound`."""
+        me = self.plain()
+
+        def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            full = np.array(me.counts) > 0
+            r1, r2 = me.r1.reshape(len(me.c1), -1), me.r2.reshape(len(me.c1), -1)
+            for b in batches:
+                q1, q2 = halves(matrix(b.column(2), me.dim), None)
+                d1, d2 = distances(q1, me.c1), distances(q2, me.c2)
+                p1, p2 = q1 @ me.c1.T, q2 @ me.c2.T
+                n1, n2 = np.linalg.norm(q1, axis=1), np.linalg.norm(q2, axis=1)
+                bound, low, high = (np.asarray(b.column(i)) for i in (3, 4, 5))
+                out = []
+                for j in range(len(q1)):
+                    sums, eps = d1[j][:, None] + d2[j], 1e-9 * (1 + abs(high[j]))
+                    reach = p1[j][:, None] + p2[j] + n1[j] * r1 + n2[j] * r2
+                    there = (sums > low[j] - eps) & (sums <= high[j] + eps) & (reach >= bound[j] - 1e-9 * (1 + np.abs(reach)))
+                    out.append(me.blocks_of(np.flatnonzero(there.ravel() & full)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=["asked", "query_id", "q", "bound", "low", "high", "blocks"])
+
+        return bounded.mapInArrow(more, "asked long, query_id long, q array<double>, bound double, low double, high double, blocks array<int>")
 
     def plain(self) -> "Index":
         """Without the table, for the executors."""
@@ -162,25 +212,26 @@ class Index:
         return out
 
     def scan(self, visits: DataFrame, n_queries: int, top: int) -> DataFrame:
-        """The best of each block for each visit (query_id, q, bound, low, high, block): at most `top` of the cells whose sum of distances is
+        """The best of each block for each visit (asked, query_id, q, bound, low, high, block): at most `top` of the cells whose sum of distances is
         over `low` and up to `high`, none below the visit's bound."""
         me = self.plain()
         parts = max(1, math.ceil(n_queries / BLOCK))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                cell = np.asarray(b.column(2))
-                block = me.start[cell] + np.asarray(b.column(0)) % me.parts[cell]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block, pa.int32())], names=["vec_id", "v", "cell", "block"])
+                cell = np.asarray(b.column(3))
+                # Equal rows share a block, so that a query meets all rows of its own id and vector in one.
+                block = me.start[cell] + np.asarray(b.column(1)) % me.parts[cell]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block, pa.int32())], names=["row", "vec_id", "v", "cell", "block"])
 
-        left = self.rows.mapInArrow(deal, "vec_id long, v array<double>, cell int, block int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        right = visits.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        left = self.rows.select("row", "vec_id", "v", "cell").mapInArrow(deal, "row long, vec_id long, v array<double>, cell int, block int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        right = visits.withColumn("part", F.pmod(F.xxhash64("asked"), F.lit(parts)).cast("int"))
 
         def best(vecs: pa.Table, asks: pa.Table) -> pa.Table:
-            out = [[], [], []]
+            out = [[], [], [], [], []]
             if vecs.num_rows and asks.num_rows:
-                ids, x, cell = vecs["vec_id"].to_numpy(), matrix(vecs["v"].combine_chunks(), me.dim), vecs["cell"].to_numpy()
-                q, qid = matrix(asks["q"].combine_chunks(), me.dim), asks["query_id"].to_numpy()
+                row, ids, x, cell = vecs["row"].to_numpy(), vecs["vec_id"].to_numpy(), matrix(vecs["v"].combine_chunks(), me.dim), vecs["cell"].to_numpy()
+                q, qid, asked = matrix(asks["q"].combine_chunks(), me.dim), asks["query_id"].to_numpy(), asks["asked"].to_numpy()
                 bound, low, high = (asks[n].to_numpy() for n in ("bound", "low", "high"))
                 x1, x2 = halves(q, None)
                 d1, d2 = distances(x1, me.c1), distances(x2, me.c2)
@@ -189,36 +240,42 @@ class Index:
                     sums = d1[j][i1] + d2[j][i2]
                     eps = 1e-9 * (1 + abs(high[j]))
                     there = np.flatnonzero((sums > low[j] - eps) & (sums <= high[j] + eps))
+                    own = there[ids[there] == qid[j]]
+                    own = own[(x[own] == q[j]).all(1)]
+                    if len(own):
+                        there = there[there != own[row[own].argmin()]]
                     rough = x[there] @ q[j]
                     slack = 1e-9 * (1 + float(np.abs(rough).max(initial=0)))
                     least = bound[j] - slack
-                    if len(rough) > top + 1:
-                        least = max(least, np.partition(rough, len(rough) - top - 1)[len(rough) - top - 1] - slack)
+                    if len(rough) > top:
+                        least = max(least, np.partition(rough, len(rough) - top)[len(rough) - top] - slack)
                     at = there[rough >= least]
-                    at = at[ids[at] != qid[j]]
                     score = inner(x[at], q[j])
-                    keep = np.lexsort((ids[at], -score))[:top]
+                    keep = np.lexsort((row[at], ids[at], -score))[:top]
                     keep = keep[score[keep] >= bound[j]]
-                    out[0].append(np.full(len(keep), qid[j]))
-                    out[1].append(ids[at[keep]])
-                    out[2].append(score[keep])
+                    for o, v in zip(out, (np.full(len(keep), asked[j]), np.full(len(keep), qid[j]), row[at[keep]], ids[at[keep]], score[keep]), strict=True):
+                        o.append(v)
             cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-            return pa.table({"query_id": cat(out[0], pa.int64()), "vec_id": cat(out[1], pa.int64()), "score": cat(out[2], pa.float64())})
+            return pa.table({n: cat(o, pa.float64() if n == "score" else pa.int64()) for n, o in zip(("asked", "query_id", "row", "vec_id", "score"), out, strict=True)})
 
         return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(best, FOUND)
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, top: int = 20, key: str = "vec_id", vec: str = "embedding", least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the `top` vectors of largest inner product with each query among the cells it visits, its own id left out."""
-    index = Index(vectors, key, vec)
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, top: int = 20, key: str = "vec_id", vec: str = "embedding", share: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the `top` vectors of largest inner product with each query among the cells it visits, itself left out. `share` of all
+    vectors is visited; None measures it."""
+    index = Index(vectors, key, vec, top)
     asks = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vec).cast("array<double>").alias("q")).where(F.col("query_id").isNotNull()).where(usable("q", index.dim))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row")
     if not index.total:
         return asks.where("false").select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
-    probes = written(index.probes(asks, max(least, math.ceil(share * index.total)), 10 * top), "probes")
+    asks = asks.select(F.monotonically_increasing_id().alias("asked"), "query_id", "q")
+    enough = max(10 * top, math.ceil((index.share if share is None else share) * index.total))
+    probes = written(index.probes(asks, enough, 10 * top), "probes")
     n, low = probes.count(), F.lit(float("-inf"))
-    found = written(index.scan(probes.select("query_id", "q", low.alias("bound"), low.alias("low"), F.col("low").alias("high"), F.explode("first").alias("block")), n, top), "found")
-    bound = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n"))
-    more = probes.join(bound, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= top, F.col("s")).otherwise(low).alias("bound"), "low", "high", F.explode("more").alias("block"))
-    both = found.union(index.scan(more, n, top)).distinct()
+    found = written(index.scan(probes.select("asked", "query_id", "q", low.alias("bound"), low.alias("low"), F.col("low").alias("high"), F.explode("blocks").alias("block")), n, top), "found")
+    bound = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).groupBy("asked").agg(F.min("score").alias("s"), F.count("*").alias("n"))
+    bounded = probes.join(bound, "asked", "left").select("asked", "query_id", "q", F.when(F.col("n") >= top, F.col("s")).otherwise(low).alias("bound"), "low", "high")
+    more = index.further(bounded).withColumn("block", F.explode("blocks")).drop("blocks")
+    both = found.union(index.scan(more, n, top)).dropDuplicates(["asked", "row"])
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

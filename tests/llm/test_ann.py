@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from strandline.llm import ann
@@ -27,7 +29,7 @@ def test_recall_and_exact_scores(spark):
     x[3000:7000] = x[3]  # a third of all rows is one vector
     x[5] *= 3
     ids = np.arange(len(x))
-    got = run(spark, [(int(i), v.tolist(), "s") for i, v in zip(ids, x)], least=100)
+    got = run(spark, [(int(i), v.tolist(), "s") for i, v in zip(ids, x)])
     asks = ids[::20][:60]
     want = brute(ids, x.astype(np.float64), asks, 20)
     hits = [len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in asks]
@@ -48,3 +50,33 @@ def test_small_and_odd_tables_are_exact(spark):
     assert {q: [a for a, _ in v] for q, v in got.items()} == {q: [a for a, _ in v] for q, v in want.items()}
     assert run(spark, rows[:1]) == {}
     assert run(spark, [(100, None, "")]) == {}
+
+
+def test_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((42, 4)).astype(np.float32)
+    rows = [(i, v.tolist(), "") for i, v in enumerate(x)]
+    rows += [rows[7], rows[20], rows[20], (20, x[3].tolist(), "")]  # equal rows, and an id with another vector
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(3)
+    got = Counter(tuple(r)[:3] for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), 20, share=1.0).collect())
+    want = Counter()
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    for j in np.flatnonzero(ids % 20 == 0):
+        score = (m * m[j]).sum(1)
+        order = [i for i in np.lexsort((ids, -score)) if i != j][:20]
+        want.update((int(ids[j]), k, int(ids[i])) for k, i in enumerate(order, 1))
+    assert got == want
+
+
+def test_clustered_vectors_visit_few(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((200, 32)) * 3
+    x = centres[rng.integers(0, 200, 8000)] + rng.standard_normal((8000, 32)) * 0.3
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.Index(vectors, "vec_id", "embedding")
+    assert index.share < 0.1
+    got = {}
+    for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 200 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(np.arange(8000), x, np.arange(0, 8000, 200), 20)
+    assert np.mean([len(got[q] & {a for a, _ in v}) / 20 for q, v in want.items()]) >= 0.9
