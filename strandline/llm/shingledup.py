@@ -1,11 +1,15 @@
-"""Near duplicates by the real similarity of five-word shingles: the pipeline's stage.
+"""Near duplicates by the real similarity of five-word shingles: the pipeline's stage over SimHash anchors.
 
-Candidates are texts that agree in a band of ROWS of their BANDS * ROWS MinHash values; a pair of similarity s does so with probability 1 - (1 - s^ROWS)^BANDS,
-0.9993 at 0.8. Each bucket gives a star from its smallest id, and components of the stars are candidate groups. Every text of a group then
-meets the others with its set of shingles, and all pairs whose similarity reaches NEAR are linked, whether they shared a bucket or not.
+Candidates come from two nets. SimHash fingerprints of the five-word shingles meet at their anchors, as in `simhash`. At a similarity of 0.8 they differ in about a
+seventh of their bits, far beyond any threshold that anchors can cover, so texts that agree in a band of ROWS of their BANDS * ROWS MinHash values
+are candidates too: a pair of similarity s does so with probability 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8. Either net gives stars, and components of the stars
+are candidate groups. Every text of a group then meets the others with its set of shingles, and all pairs whose similarity reaches NEAR are linked,
+whether they shared an anchor or a band or not. A group of more than PART bytes of shingles is cut into parts, and each pair of parts is a task of its own, so
+that no task holds more than two parts, and no pair is left out.
 
 Defined results: words are lower-cased and split at white space; fewer words than a shingle has make one shingle; texts without words are copies of each
-other; null ids take no part. Texts of equal words are one class, of which one takes part. A candidate group stands in one task, with 8 bytes a word.
+other; null ids take no part. Texts of equal words are one class, of which one takes part. Rows that repeat an id stand for themselves, and share the component that is
+the smallest any of them reaches.
 """
 
 from __future__ import annotations
@@ -18,12 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import batch, texts, written
-from .components import components
+from .components import components, meet_least
 
 SHINGLE, BANDS, ROWS, NEAR = 5, 24, 6, 0.8
-#: Shingles that are hashed at a time.
-CHUNK = 1 << 15
+#: Shingles that are hashed at a time, and bytes of the shingles of a part of a candidate group.
+CHUNK, PART = 1 << 15, 4 << 20
+#: Bits in which the fingerprints of candidates may differ.
+BITS = 2
 ODD = np.random.default_rng(42).integers(0, 1 << 63, SHINGLE + BANDS * ROWS + ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE, MIN, JOIN = ODD[:SHINGLE], ODD[SHINGLE : SHINGLE + BANDS * ROWS], ODD[-ROWS:]
 
@@ -52,15 +59,16 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, d0, d1, keys): a digest of 128 bits of the words, and the band keys."""
+    """(doc_id, d0, d1, f0, keys): a digest of 128 bits of the words, the SimHash fingerprint of the shingles, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, keys, held, total = [], [np.zeros((0, BANDS), np.uint64)], [], 0
+            digests, prints, keys, held, total = [], [], [np.zeros((0, BANDS), np.uint64)], [], 0
             for t in texts(b.column(1)):
                 words = t.lower().split()
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 held.append(shingles(words))
+                prints.append(simhash.majority(sum(simhash.votes(held[-1][i : i + CHUNK]) for i in range(0, len(held[-1]), CHUNK)), len(held[-1])))
                 total += len(held[-1])
                 if total >= CHUNK:
                     keys.append(band_keys(held))
@@ -70,13 +78,16 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             k = np.concatenate(keys)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * BANDS), pa.array(k.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), rows], names=["doc_id", "d0", "d1", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(np.array(prints, np.uint64).view(np.int64)), rows], names=["doc_id", "d0", "d1", "f0", "keys"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, d0 long, d1 long, keys array<long>")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, d0 long, d1 long, f0 long, keys array<long>")
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """(a, b) from the smallest id of each bucket to its others, of rows (id, keys)."""
+    """(a, b) links that join the ids of each bucket, of rows (id, keys).
+
+    Rows are sorted over all partitions by key and id, so that a bucket, however large, spans as many partitions as it needs. Each partition links a bucket's
+    ids to the smallest it has; the first and the last bucket of each partition, which may go on elsewhere, are joined at the end."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +96,7 @@ def stars(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.repeat(np.asarray(b.column(0)), n))], names=["key", "id"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key and smallest id of the bucket that may go on
+        last = first = None  # key and smallest id of the bucket that may go on, and of the first one
         for b in batches:
             key, i = np.asarray(b.column(0)), np.asarray(b.column(1))
             if not len(key):
@@ -94,11 +105,17 @@ def stars(rows: DataFrame) -> DataFrame:
             least = i[starts].copy()
             if last is not None and last[0] == key[0]:
                 least[0] = last[1]
+            first = first or (key[0], least[0])
             a = np.repeat(least, np.diff(np.append(starts, len(key))))
             last = key[-1], least[-1]
-            yield batch(a=(a[a != i], pa.int64()), b=(i[a != i], pa.int64()))
+            yield batch(a=(a[a != i], pa.int64()), b=(i[a != i], pa.int64()), key=(np.full((a != i).sum(), 0), pa.int64()))
+        for x in {first, last} - {None}:
+            yield batch(a=([x[1]], pa.int64()), b=([None], pa.int64()), key=([x[0]], pa.int64()))
 
-    return rows.mapInArrow(spread, "key long, id long").repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "a long, b long").distinct()
+    found = written(rows.mapInArrow(spread, "key long, id long").repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(meet, "a long, b long, key long"), "stars")
+    ends = found.where("b is null").select("key", F.col("a").alias("b"))  # two rows a partition at most
+    ends = ends.join(ends.groupBy("key").agg(F.min("b").alias("a")), "key").where("a <> b")
+    return found.where("b is not null").select("a", "b").union(ends.select("a", "b")).distinct()
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], near: float = NEAR) -> np.ndarray:
@@ -127,7 +144,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], near: float = NEAR) -> np.nd
 
 
 def confirmed(members: DataFrame) -> DataFrame:
-    """(id, root) of members (root, id, t) of candidate groups that similarity links to a smaller id."""
+    """(a, b) from the smallest id of each linked set to its others, of members (root, id, t) of candidate groups. Links of groups in one part are whole sets."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,34 +152,49 @@ def confirmed(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["root", "id", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, ids, sets = None, [], []
+        last, ids, sets = None, [], []
 
         def out():
             i = np.array(ids, np.int64)
             least = i[linked(i, sets)]
-            return batch(id=(i[least != i], pa.int64()), root=(least[least != i], pa.int64()))
+            return batch(a=(least[least != i], pa.int64()), b=(i[least != i], pa.int64()))
 
         for b in batches:
-            for r, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r != root and ids:
+            for *group, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != last and ids:
                     yield out()
                     ids, sets = [], []
-                root = r
+                last = group
                 ids.append(i)
                 sets.append(np.frombuffer(s, np.uint64))
         if ids:
             yield out()
 
-    return members.select("root", "id", "t").mapInArrow(cut, "root long, id long, s binary").repartition("root").sortWithinPartitions("root", "id").mapInArrow(run, "id long, root long").distinct()
+    sets = written(members.select("root", "id", "t").mapInArrow(cut, "root long, id long, s binary"), "shingles")
+    size = sets.groupBy("root").agg(F.sum(F.octet_length("s")).alias("bytes")).select("root", F.ceil(F.col("bytes") / PART).cast("int").alias("parts"))
+    # Large groups are few: their members meet the number of parts where they lie, so no large group is shuffled to one task.
+    large = written(size.where("parts > 1"), "large")
+    total = sets.agg(F.sum(F.octet_length("s"))).first()[0] or 0
+    if large.count() <= max(1000, total // PART):  # each has more than PART bytes, so this holds; the broadcast is 16 bytes for each PART
+        large = F.broadcast(large)
+    sets = sets.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != mine)))
+    dealt = sets.withColumn("other", other).select("root", F.least(mine, "other").alias("p"), F.greatest(mine, "other").alias("q"), "id", "s")
+    return dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) of each row: the smallest id reachable over links of similarity NEAR or more."""
     rows = written(sketches(docs, text, key), "sketches")
     nodes = written(rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "nodes")
-    own = rows.withColumnRenamed("doc_id", "id").join(nodes, ["d0", "d1", "id"]).select("id", "keys")
-    groups = components(stars(own))
-    members = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(groups, "id")
-    roots = written(confirmed(members), "roots")
+    own = written(rows.withColumnRenamed("doc_id", "id").join(nodes, ["d0", "d1", "id"]).select("id", "f0", "keys"), "own")
+    same = own.groupBy("f0").agg(F.min("id").alias("m"), F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    anchored = simhash.links_of(same.select(F.col("m").alias("id"), "f0", none.alias("f1"), none.alias("f2")), BITS)
+    alike = meet_least(own.select("f0", "id"), same.where("n > 1"), "f0", own.count()).select(F.col("m").alias("a"), F.col("id").alias("b"))
+    groups = components(anchored.union(alike).union(stars(own.select("id", "keys"))))
+    members = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(groups, "id").distinct()
+    roots = components(confirmed(members))
     named = nodes.join(roots, "id", "left").select("d0", "d1", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")

@@ -44,8 +44,16 @@ def simhash(words: list[bytes], k: int, seed: int = 42) -> int:
     for i in range(0, n, BLOCK):
         part = words[i : min(n, i + BLOCK) + k - 1]
         shingles = part if k == 1 else map(b" ".join, zip(*(part[j:] for j in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
-        h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), ">u8")
-        counts += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        counts += votes(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64))
+    return majority(counts, n)
+
+
+def votes(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, from the highest bit on."""
+    return np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes())
 
 

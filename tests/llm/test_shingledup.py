@@ -71,3 +71,33 @@ def test_edge_rows(spark):
     by = {r[0]: r[1] for r in got}
     assert len(got) == 7 and by == {1: 1, 2: 1, None: None, 4: 4, 9: 4, 10: 10}
     assert shingledup.near_groups(docs.limit(0)).count() == 0
+
+
+def test_large_groups_are_cut_into_parts(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows, ids = [], 0
+    for g in range(3):  # chains: each text is near its neighbours alone
+        words = [rng.choice(vocabulary) for _ in range(100)]
+        for _ in range(40):
+            rows.append((ids, " ".join(words)))
+            ids += 1
+            words = words[3:] + [rng.choice(vocabulary) for _ in range(3)]
+    want = list(range(ids))
+    for i in range(ids):
+        for j in range(i):
+            if similarity(rows[i][1].split(), rows[j][1].split()) >= 0.8:
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for part in (shingledup.PART, 9000, 800):
+        monkeypatch.setattr(shingledup, "PART", part)
+        got = dict(tuple(r) for r in shingledup.near_groups(docs).collect())
+        assert [got[i] for i in range(ids)] == want
+
+
+def test_a_bucket_over_many_partitions(spark):
+    rows = spark.createDataFrame([(i, [7, i]) for i in range(3000)], "id long, keys array<long>").repartition(4)
+    links = [tuple(r) for r in shingledup.stars(rows).collect()]
+    root = dict(tuple(r) for r in shingledup.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert {root[i] for i in range(3000)} == {0}
