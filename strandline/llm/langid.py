@@ -7,6 +7,9 @@ subword and constant memory.
 
 Defined results: `und` with score 0 for null or empty texts and texts without a letter; ties go to the language first in order; without a
 single labelled row every text is `und`. `rejected` marks `und` and texts whose calibrated confidence is below the threshold.
+
+The threshold is set on rows held back from fitting and on junk made of them, their characters in random order, which keeps letters and lengths of
+words but no language: it rejects JUNK of that junk, unless this would cost more than COST of the held-back texts that are labelled rightly.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from .common import batch, excerpt, sample_by_class
 BUCKETS, DIM = 1 << 15, 16
 #: Bounds of the fitting sample: rows of a language, and characters of a row.
 PER_LANGUAGE, EXCERPT = 1500, 400
-#: Share of correctly labelled calibration texts that rejection may cost, and how far above chance the threshold may lie at most.
-COST, OVER_CHANCE = 0.001, 0.1
+#: Share of correctly labelled calibration texts that rejection may cost, and share of junk that it should catch.
+COST, JUNK = 0.001, 0.99
 CHUNK = 1 << 17
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -78,6 +81,9 @@ class Model:
     bias: np.ndarray
     scale: float
     threshold: float
+    #: Shares of the held-back texts labelled rightly, and of junk, that the threshold rejects.
+    costs: float = 0.0
+    catches: float = 0.0
 
     def score(self, text: str | None) -> tuple[str, float, bool]:
         total, n = np.zeros(len(self.langs)), 0
@@ -101,7 +107,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: flo
     """Fit on (text, language); every fifth row calibrates scale and threshold."""
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
-    data = [(ids, langs.index(lang)) for text, lang in rows if len(ids := subwords(text))]
+    data = [(ids, langs.index(lang), text) for text, lang in rows if len(ids := subwords(text))]
     order = rng.permutation(len(data))
     held, fit = [data[i] for i in order[::5]], [data[i] for k, i in enumerate(order) if k % 5]
     emb, w, b = (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32), (rng.standard_normal((DIM, len(langs))) * 0.3).astype(np.float32), np.zeros(len(langs), np.float32)
@@ -109,7 +115,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: flo
     steps, step = max(1, epochs * len(fit)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(fit)):
-            ids, y = fit[i]
+            ids, y, _ = fit[i]
             lr = rate * (1 - step / steps)
             x = emb[ids].mean(0)
             g = softmax(x @ w + b)
@@ -123,13 +129,16 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: flo
     emb[~seen] = 0  # what was never seen speaks for no language
     model = Model(langs, (emb @ w).astype(np.float32), b.astype(np.float64), 1.0, 0.0)
     if held and len(langs) > 1:
-        z = np.array([model.table[ids].sum(0, dtype=np.float64) / len(ids) + model.bias for ids, _ in held])
-        y = np.array([y for _, y in held])
+        logits = lambda many: np.array([model.table[ids].sum(0, dtype=np.float64) / len(ids) + model.bias for ids in many if len(ids)]).reshape(-1, len(langs))
+        z, y = logits(ids for ids, _, _ in held), np.array([y for _, y, _ in held])
         loss = lambda s: -np.log(softmax(z * s)[np.arange(len(y)), y] + 1e-12).mean()
         model.scale = float(min((0.25 * 1.25**k for k in range(20)), key=loss))
         p = softmax(z * model.scale)
         right = p.max(1)[p.argmax(1) == y]
-        model.threshold = float(min(1 / len(langs) + OVER_CHANCE, np.quantile(right, COST, method="lower"))) if len(right) else 0.0
+        junk = softmax(logits(subwords("".join(rng.permutation(list(t)))) for _, _, t in held) * model.scale).max(1)
+        if len(right) and len(junk):
+            model.threshold = float(min(np.quantile(junk, JUNK, method="higher") + 1e-9, np.quantile(right, COST, method="lower")))
+            model.costs, model.catches = float((right < model.threshold).mean()), float((junk < model.threshold).mean())
     return model
 
 

@@ -55,6 +55,23 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in langid.predict(docs.limit(3), empty).collect()} == {"und"}
 
 
+def test_language_table_is_mean_times_layer():
+    rng = np.random.default_rng(1)
+    emb, w, b = rng.standard_normal((langid.BUCKETS, langid.DIM)), rng.standard_normal((langid.DIM, 3)), rng.standard_normal(3)
+    model = langid.Model(["a", "b", "c"], emb @ w, b, 1.7, 0.0)
+    text = "Some words, ünd 12 others."
+    p = langid.softmax((emb[langid.subwords(text)].mean(0) @ w + b) * 1.7)
+    assert model.score(text)[:2] == ("abc"[p.argmax()], pytest.approx(p.max()))
+
+
+def test_junk_is_rejected():
+    rng = random.Random(5)
+    model = langid.train([(say(x, 40, random.Random(i)), x) for i in range(200) for x in SYLLABLES])
+    assert model.catches > 0.9 and model.costs <= 2 * langid.COST
+    junk = ["".join(rng.sample(t, len(t))) for t in (say("cc", 40, rng) for _ in range(50))]
+    assert np.mean([model.score(t)[2] for t in junk]) > 0.9 and not any(model.score(say(x, 40, rng))[2] for x in SYLLABLES for _ in range(50))
+
+
 def test_language_counts_whole_texts():
     model = langid.train([(say(x, 40, random.Random(i)), x) for i in range(90) for x in SYLLABLES])
     late = say("aa", 200, random.Random(0)) + " " + say("bb", 30_000, random.Random(2))
@@ -94,6 +111,32 @@ def test_toxicity(spark, docs):
     assert {r["score"] for r in toxicity.score(docs.limit(3), none).collect()} == {0.0}
 
 
+def test_toxicity_score_is_the_plain_one(spark, docs):
+    labels = docs.select("doc_id", "quality", "toxic")
+    model = toxicity.fit(docs, labels, "toxic")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    one, two = toxicity.packer(model.ordinary), toxicity.packer(model.toxic + model.ordinary)
+    for r in docs.limit(40).collect():
+        t = r["text"].encode()
+        pieces = [t[i : i + 96] for i in range(0, max(1, len(t) - 32), 64)]
+        d = sorted((len(one.compress(w)) - len(two.compress(w)) for w in pieces), reverse=True) + [-99]
+        x = np.array([min(max(d[0], 0), 8), min(max(d[1], 0), 8), np.log1p(sum(v >= model.threshold for v in d))])
+        z = model.weights[0] + (x - model.mean) / model.spread @ model.weights[1:]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_wrong_labels_do_not_empty_the_dictionary():
+    rng = random.Random(3)
+    rows = []
+    for i in range(1200):
+        words = say("cc", 30, rng).split()
+        bad = i % 3 == 0
+        if bad:
+            words.insert(rng.randint(0, len(words)), rng.choice(["zorgblat", "quixvomp"]))
+        rows.append((" ".join(words).encode(), int(bad and i % 60 != 0)))  # one in twenty of the toxic texts is labelled ordinary
+    assert b"zorgb" in toxicity.train_dictionaries(rows).toxic
+
+
 def test_windows_cover_everything():
     for n in (0, 1, 95, 96, 97, 1000):
         text = bytes(range(256)) * 4
