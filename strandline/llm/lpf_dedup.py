@@ -1,9 +1,9 @@
 """Exact removal of repeated byte strings by longest-previous-factor arrays.
 
-A byte goes if some WIDTH-byte string that covers it also starts in a document of smaller id. In the suffix order of a set of texts, cut to
-WIDTH bytes, equal strings stand together, and a string occurs in a smaller document exactly if the previous or the next suffix of smaller
-document, in that order, shares WIDTH bytes: the longest previous factor by document reaches WIDTH. Those two neighbours come from running minima over
-the order in both directions, so first copies stay and all later ones go.
+A byte goes if some WIDTH-byte string that covers it also starts in a document of smaller id. In the suffix array of a set of texts, the previous and the next
+suffix of smaller document are those that share most with a suffix among all suffixes of smaller documents, so the longer of their common prefixes with it is its
+longest previous factor by document. Where that reaches WIDTH, the string goes: first copies stay and all later ones go. The array orders
+suffixes by DEPTH bytes, as longer factors change nothing; the neighbours come from pointers that jump over suffixes of documents no smaller.
 
 One suffix order over a whole corpus would not be many tasks, so it is built in two steps over blocks of documents:
 
@@ -14,6 +14,8 @@ One suffix order over a whole corpus would not be many tasks, so it is built in
     owner that another block has too goes, as runs of strings with their bytes, to the part that its owner's hash names, where one more
     suffix order marks what a smaller document of any block holds.
 
+Before a part builds its order, runs of equal bytes become one run of their smallest document, as most runs are copies of each other.
+
 Hashes only choose what is compared; every match is between bytes. A string in very many documents is sent once by each block at most, so neither
 copies nor frequent passages gather in a task; blocks and parts have bounded sizes. All steps read the one exchange that deals documents into blocks.
 
@@ -35,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, GRAM = 50, 25
+#: Bytes by which suffixes are ordered.
+DEPTH = 64
 #: Bytes of text of a block, of owners of a part, and of a piece that is hashed at a time.
 BLOCK, PART, PIECE = 2 << 20, 3 << 20, 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -76,16 +80,7 @@ class Block:
 
     def __init__(self, rows: list[tuple[int | None, bytes]]):
         self.rows = rows
-        first: dict[bytes, int] = {}
-        self.copies = []  # rows whose text a row of smaller id has; they are marked whole and sent nowhere
-        live = []
-        for k, (i, t) in enumerate(rows):
-            if i is None or len(t) < WIDTH:
-                continue
-            if i > first.setdefault(t, i):
-                self.copies.append(k)
-            else:
-                live.append(k)
+        live = [k for k, (i, t) in enumerate(rows) if i is not None and len(t) >= WIDTH]
         self.live = np.array(live, np.int64)
         self.ids = np.array([rows[k][0] for k in live], np.int64)
         sizes = np.array([len(rows[k][1]) for k in live], np.int64)
@@ -140,40 +135,63 @@ class Block:
         return order, np.cumsum(np.bincount(part, minlength=parts))
 
 
-def repeated(text: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether the WIDTH bytes at each place also start at a place of smaller document. `doc` are ranks."""
+def dense(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.uint64)
+    k = keys[order]
+    out[order] = np.cumsum(np.concatenate(([False], k[1:] != k[:-1]))).astype(np.uint64)
+    return out
+
+
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """For each place, the last one before it with a smaller value, or -1. Whatever a pointer has passed is no smaller than its own value, so a pointer
+    that rests on a value no smaller may go where that one's points; all jump at once."""
+    at = np.arange(-1, len(x) - 1)
+    open_ = np.flatnonzero((at >= 0) & (x[at] >= x))
+    while len(open_):
+        at[open_] = at[at[open_]]
+        to = at[open_]
+        open_ = open_[(to >= 0) & (x[to] >= x[open_])]
+    return at
+
+
+def longest_previous(text: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The longest previous factor of the suffix at each place: the most bytes that it shares with a suffix of smaller document, up to DEPTH. `doc` are ranks."""
     if not len(at):
-        return np.zeros(0, np.bool_)
-    x = np.concatenate((text, np.zeros(64, np.uint8))).astype(np.uint64)
+        return np.zeros(0, np.int64)
+    x = np.concatenate((text, np.zeros(2 * DEPTH, np.uint8))).astype(np.uint64)
     x = x[:-1] << np.uint64(8) | x[1:]
     x = x[:-2] << np.uint64(16) | x[2:]
     x = x[:-4] << np.uint64(32) | x[4:]  # eight bytes from each place
-
-    def ranks(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys)
-        out = np.empty(len(keys), np.uint64)
-        k = keys[order]
-        out[order] = np.cumsum(np.concatenate(([False], k[1:] != k[:-1]))).astype(np.uint64)
-        return out
-
-    # Ranks of 8, 16, 32 and WIDTH bytes, each from two of the last: the suffix order cut to WIDTH bytes.
-    r = ranks(x[: len(text) + 48])
-    n = len(text) + 32
-    r = ranks(r[:n] << np.uint64(32) | r[8 : n + 8])
-    n = len(text)
-    r = ranks(r[:n] << np.uint64(32) | r[16 : n + 16]) if n else r
-    key = r[at] << np.uint64(32) | r[at + WIDTH - 32]
-    order = np.argsort(key)
-    k, d = key[order], doc[order].astype(np.int64)
-    group = np.cumsum(np.concatenate(([False], k[1:] != k[:-1])))  # those whose common prefix reaches WIDTH
-    big = int(d.max()) + 1
-    before = np.minimum.accumulate(d - group * big)  # least document so far in the group
-    after = np.minimum.accumulate((d + group * big)[::-1])[::-1]
-    out = np.empty(len(at), np.bool_)
-    out[order] = (before < d - group * big) | (after < d + group * big)
+    # Ranks of 8, 16 and 32 bytes, each from two of the last, and the suffix array by DEPTH bytes from two of the latter.
+    ranks = {8: dense(x[: len(text) + DEPTH + 56])}
+    for n in (16, 32):
+        r = ranks[n // 2]
+        ranks[n] = dense(r[: -n // 2] << np.uint64(32) | r[n // 2 :])
+    r = ranks[32]
+    order = np.argsort(r[at] << np.uint64(32) | r[at + 32])
+    p, d = at[order], doc[order]
+    before = previous_smaller(d)
+    after = len(d) - 1 - previous_smaller(d[::-1])[::-1]
+    best = np.zeros(len(at), np.int64)
+    for other, there in ((before, before >= 0), (after, after < len(d))):
+        i = np.flatnonzero(there)
+        a, b, n = p[i], p[other[i]], np.zeros(len(i), np.int64)
+        for step in (32, 16, 8):
+            n += step * (ranks[step][a + n] == ranks[step][b + n])
+        differ = x[a + n] ^ x[b + n]
+        n += sum(differ < np.uint64(1 << k) for k in range(0, 64, 8))  # its leading zero bytes
+        best[i] = np.maximum(best[i], n)
+    out = np.empty(len(at), np.int64)
+    out[order] = best
     return out
 
 
+def repeated(text: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the WIDTH bytes at each place also start at a place of smaller document."""
+    return longest_previous(text, at, doc) >= WIDTH
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
     return zstd.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
@@ -253,9 +271,7 @@ def tell(table: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
         marked[near] = repeated(b.text[held], place[b.at[near]], np.searchsorted(ids, b.ids)[b.doc[near]])
     at, doc = b.at[marked], b.doc[marked]
     d, first, count = ranges(doc, at)
-    whole = np.array(b.copies, np.int64)
-    size = np.array([len(b.rows[k][1]) for k in b.copies], np.int64)
-    out = [(-1 - number, number, pack(np.concatenate((b.live[d], whole)), np.concatenate((first - b.starts[d], np.zeros(len(whole), np.int64))), np.concatenate((count, size - WIDTH + 1)).astype(np.int64)))]
+    out = [(-1 - number, number, pack(b.live[d], first - b.starts[d], count.astype(np.int64)))]
     left = np.flatnonzero(~marked & abroad[b.name_of_run][b.run]) if len(b.at) else np.zeros(0, np.int64)
     if len(left):
         new = np.ones(len(left), np.bool_)

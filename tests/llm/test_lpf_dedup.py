@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandline.llm import lpf_dedup as lpf
@@ -65,3 +66,33 @@ def test_owners_agree_across_pieces(monkeypatch):
 
 def test_empty_table(spark):
     assert lpf.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_longest_previous_factors():
+    rng = random.Random(3)
+    for alphabet, n in ((b"ab", 400), (b"abcdefgh", 600), (b"a", 200)):
+        docs = [bytes(rng.choice(alphabet) for _ in range(n // 4)) for _ in range(4)]
+        docs[2] = docs[0][10:90] + docs[1][5:40]
+        docs[3] = docs[2]
+        text = np.frombuffer(b"".join(docs), np.uint8)
+        ends = np.cumsum([len(d) for d in docs])
+        at = np.arange(len(text))
+        doc = np.searchsorted(ends, at, "right")
+        rank = np.array([1, 0, 3, 2])[doc]
+        got = lpf.longest_previous(text, at, rank)
+        raw = text.tobytes() + b"\0" * 200
+        for p in rng.sample(range(len(text) - 64), 60):
+            best = 0
+            for q in np.flatnonzero(rank < rank[p]):
+                k = 0
+                while k < 64 and raw[p + k] == raw[q + k]:
+                    k += 1
+                best = max(best, k)
+            assert min(64, got[p]) == best
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(1)
+    for x in (rng.integers(0, 9, 300), np.arange(100), np.arange(100)[::-1], np.zeros(50, int)):
+        want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(len(x))]
+        assert lpf.previous_smaller(x).tolist() == want
