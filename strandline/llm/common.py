@@ -73,13 +73,15 @@ def sampled_documents(docs: DataFrame, labels: DataFrame, label: str, key: str,
 
 
 def files_of(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, else (only where it is unset, as in tests) a local one."""
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, else, only where it is unset and Spark runs on one machine, a local one."""
     import tempfile
     import uuid
 
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -89,4 +91,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     df.write.parquet(path := files_of(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table of `written` that nothing refers to any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 ROUNDS = 60
 HUBS = 64
@@ -45,7 +45,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(ROUNDS):
         if not last[0]:
             break
-        links = written(small_star(large_star(links, last[0]), last[0]), "links")
+        links, old = written(small_star(large_star(links, last[0]), last[0]), "links"), links
+        removed(old)
         now = state(links)
         if now == last:
             break

@@ -11,7 +11,7 @@ must both reach VERIFIED.
 An item's answer is its last sentence, or the last third of its words if it has but one sentence.
 
 Defined results: one row for each document and item that are verified, with the best overlaps found; null and empty texts and items without words
-give none. Items of which there are more than fit MOST_BYTES are indexed in several parts, each queried with all passages.
+give none. Items that repeat an id give a row each, and documents that repeat an id theirs. Items of which there are more than fit MOST_BYTES are indexed in several parts, each queried with all passages.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ from .common import batch
 STEP, SEGMENTS, BOUNDS, BLOCK, K1, B = 24, 3, 128, 16, 1.2, 0.75
 PASSAGE = STEP * SEGMENTS
 PART = (SEGMENTS - 1) * STEP + 1
+#: Bound of the entries of the table of largest weights (terms x blocks, 4 bytes each): with more terms, blocks are wider.
+MOST_ENTRIES = 16 << 20
 #: Share of an item's score against itself that retrieves it; shares of word sequences of its question and answer that verify it; words of a sequence.
 RETRIEVED, VERIFIED, GRAM = 0.6, 0.5, 5
-MOST_BYTES = 64 << 20
+MOST_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 #: ASCII letters are lower-cased, ASCII punctuation is a border between words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -103,7 +105,7 @@ class Index:
                     lists[x][1].append(v / total)
                 self.of.append(i)
         self.terms = {x: Postings(*p) for x, p in lists.items()}
-        self.wide = max(1, math.ceil(len(self.of) / BOUNDS))  # entries of a block
+        self.wide = max(1, math.ceil(len(self.of) / max(1, min(BOUNDS, MOST_ENTRIES // (len(self.terms) + 1)))))  # entries of a block
         self.rows = {x: i for i, x in enumerate(self.terms, 1)}
         self.most = np.zeros((len(self.terms) + 1, math.ceil(len(self.of) / self.wide)), np.float32)
         for p, row in zip(self.terms.values(), self.most[1:], strict=True):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import batch
 
 #: The index is shipped whole to each executor up to this size; larger rule lists are joined by key instead.
-MOST_BYTES = 512 << 20
+MOST_BYTES, MOST_LENGTHS = 512 << 20, 10_000
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,19 +137,21 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: st
 
 
 def filter_urls_joined(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
-    """The same for rule tables (host, path, verdict) of any size: probes meet rules in a join on digest and full string, without any list on the driver
-    but the distinct lengths of rule paths. A probe's hot host is no hot group: probes are made distinct by (host, path) first."""
+    """The same for rule tables (host, path, verdict) of any size: probes meet rules in a join on digest and full string, without any list on the
+    driver but the distinct lengths of rule paths, up to MOST_LENGTHS of them; with more, each prefix of a path is a probe. A probe's hot host is no hot group:
+    probes are made distinct by (host, path) first."""
     low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     host = F.coalesce(low(F.regexp_extract(F.col(url), r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract(F.col(url), r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     kept = rules.select((low(F.col("host"))).alias("rule_host"), F.col("path").alias("rule_path"), "verdict").groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("rule_verdict"))
     kept = kept.withColumn("rule", F.concat("rule_host", "rule_path"))
-    lengths = [r[0] for r in kept.select(F.length("rule_path")).distinct().limit(10_000).collect()]
+    lengths = [r[0] for r in kept.select(F.length("rule_path")).distinct().limit(MOST_LENGTHS + 1).collect()]
     labels = F.split("host", r"\.", -1)
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     probe = rows.select("host", "path").distinct().withColumn("tail", F.explode(tails)).where("tail <> ''")
-    probe = probe.withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).where(F.col("n") <= F.length("path"))
+    each = F.array(*[F.lit(n) for n in lengths]).cast("array<int>") if len(lengths) <= MOST_LENGTHS else F.sequence(F.lit(0), F.length("path"))
+    probe = probe.withColumn("n", F.explode(each)).where(F.col("n") <= F.length("path"))
     probe = probe.withColumn("rule", F.concat("tail", F.expr("substring(path, 1, n)"))).withColumn("digest", F.xxhash64("rule"))
     best = probe.join(kept.withColumn("digest", F.xxhash64("rule")), ["digest", "rule"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.length("rule_host"))).alias("best"))
     return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))

@@ -25,12 +25,14 @@ def plain(url):
     return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     pages = spark.createDataFrame(list(enumerate(URLS)) + [(3, "http://net/")], "page_id long, url string").withColumn("host", F.lit("clash"))
     want = Counter((i, *plain(u)) for i, u in [*enumerate(URLS), (3, "http://net/")])
     assert Counter(map(tuple, urlfilter.filter_urls(pages, queries.RULES).collect())) == want
     rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
     assert Counter(map(tuple, urlfilter.filter_urls_joined(pages, rules).collect())) == want
+    monkeypatch.setattr(urlfilter, "MOST_LENGTHS", 1)
+    assert Counter(map(tuple, urlfilter.filter_urls_joined(pages, rules).collect())) == want
     assert urlfilter.filter_urls(pages.limit(0), queries.RULES).count() == 0
     assert {r["verdict"] for r in urlfilter.filter_urls(pages, []).collect()} == {"allow"}
 
