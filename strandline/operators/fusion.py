@@ -93,15 +93,14 @@ def mean_of_maps(maps: list[DataFrame], weights: list[float] | None = None) -> D
 
 
 def borda(maps: list[DataFrame]) -> DataFrame:
-    """Negated sum of ranks by falling score; a boundary that a map lacks ranks one after the map's last."""
+    """Negated sum of ranks by falling score; a boundary that a map lacks ranks one after the last of the longest map of its sequence."""
     every = None
     for i, m in enumerate(maps):
         r = m.select("seq_id", "boundary", F.lit(i).alias("m"), F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("score"), "boundary")).alias("r"))
         every = r if every is None else every.union(r)
-    most = every.groupBy("seq_id", "m").agg((F.max("r") + 1).alias("last")).groupBy("seq_id").agg(F.sum("last").alias("last"))
-    lasts = every.select("seq_id", "m", "r", "boundary").join(every.groupBy("seq_id", "m").agg((F.max("r") + 1).alias("l")), ["seq_id", "m"])
-    got = lasts.groupBy("seq_id", "boundary").agg(F.sum(F.col("r") - F.col("l")).alias("x"))
-    return got.join(most, "seq_id").select("seq_id", "boundary", (-(F.col("x") + F.col("last"))).cast("double").alias("score"))
+    absent = F.max("r").over(Window.partitionBy("seq_id")) + 1
+    got = every.withColumn("absent", absent).groupBy("seq_id", "boundary").agg(F.sum("r").alias("x"), F.count("*").alias("n"), F.max("absent").alias("absent"))
+    return got.select("seq_id", "boundary", (-(F.col("x") + (len(maps) - F.col("n")) * F.col("absent"))).cast("double").alias("score"))
 
 
 def ocr_change(frames: DataFrame) -> DataFrame:

@@ -68,13 +68,14 @@ def gap_cross_block(units: DataFrame, w: int) -> DataFrame:
 
 
 def gap_recency(units: DataFrame, w: int, decay: float = 0.5) -> DataFrame:
-    """1 - cosine of the two sides, each weighted exp(-decay * d) by distance d from the gap."""
+    """1 - cosine of the w // 2 + 1 rows on either side, each weighted exp(-decay * d) by distance d from the gap."""
+    m = w // 2 + 1
 
     def side(a: int, b: int, distance) -> Column:
         rows = F.collect_list(F.struct("pos", "vec")).over(in_order().rowsBetween(a, b))
         return V.sum_of(F.transform(rows, lambda r: V.scale(r["vec"], F.exp(-decay * distance(r["pos"])))))
 
-    both = units.withColumn("_l", side(-w, -1, lambda p: F.col("pos") - 1 - p)).withColumn("_r", side(0, w - 1, lambda p: p - F.col("pos")))
+    both = units.withColumn("_l", side(-m, -1, lambda p: F.col("pos") - 1 - p)).withColumn("_r", side(0, m - 1, lambda p: p - F.col("pos")))
     return boundaries_of(both, 1 - V.cosine(F.col("_l"), F.col("_r")))
 
 

@@ -125,9 +125,10 @@ def split_at(p: np.ndarray, a: int, e: int, least: int = 1) -> tuple[float, int]
     return float(x[i]), int(s[i])
 
 
-def greedy(n: int, count: int, split, least: int = 2) -> np.ndarray:
-    """Top-down: always the segment with the best split, earlier made first on ties; the left child is made before the right one."""
-    scores, heap, made = np.full(n, np.nan), [], 0
+def greedy(n: int, count: int, split, least: int = 2) -> tuple[list[int], list[float]]:
+    """Top-down: always the segment with the best split, earlier made first on ties; the left child is made before the right one. Splits and their gains come in
+    the order made, so the first j of them are the splits for any smaller count."""
+    heap, made, order, gains = [], 0, [], []
 
     def push(a, e):
         nonlocal made
@@ -136,33 +137,41 @@ def greedy(n: int, count: int, split, least: int = 2) -> np.ndarray:
             made += 1
 
     push(0, n)
-    done = 0
-    while heap and done < count:
+    while heap and len(order) < count:
         gain, _, s, a, e = heapq.heappop(heap)
-        scores[s] = -gain
-        done += 1
+        order.append(s)
+        gains.append(-gain)
         push(a, s)
         push(s, e)
-    return scores
+    return order, gains
 
 
-def divisive_scores(v: np.ndarray, k: int, min_seg: int | None = None) -> np.ndarray:
-    """Scores of up to k - 1 greedy splits by dissimilarity of the halves' means."""
+def scored(n: int, order: list[int], gains: list[float]) -> np.ndarray:
+    out = np.full(n, np.nan)
+    out[order] = gains
+    return out
+
+
+def divisive_order(v: np.ndarray, k: int, min_seg: int | None = None) -> tuple[list[int], list[float]]:
+    """Up to k - 1 greedy splits by dissimilarity of the halves' means, in the order made, and their scores."""
     n = len(v)
     if n < 2 or k < 2:
-        return np.full(n, np.nan)
+        return [], []
     if min_seg is None and n < 4:
-        out = np.full(n, np.nan)
         d = depths(1 - gap_overlapping(v, 3))
-        b = best(d, k - 1)
-        out[b] = d[b]
-        return out
+        b = sorted(best(d, n), key=lambda x: (-d[x], x))[: k - 1]
+        return b, [float(d[x]) for x in b]
     p, m = prefix(v), min_seg or 1
     if n < 2 * m:
-        return np.full(n, np.nan)
+        return [], []
     return greedy(n, k - 1, lambda a, e: split_at(p, a, e, m), 2 * m)
 
 
+def divisive_scores(v: np.ndarray, k: int, min_seg: int | None = None) -> np.ndarray:
+    """Scores of up to k - 1 greedy splits."""
+    return scored(len(v), *divisive_order(v, k, min_seg))
+
+
 def found(scores: np.ndarray) -> list[int]:
     return [int(b) for b in np.flatnonzero(~np.isnan(scores))]
 
@@ -188,7 +197,7 @@ def treeseg(v: np.ndarray, k: int, penalty: float = 0.0, min_seg: int = 2) -> li
         i = int(x.argmax())
         return float(x[i]), int(s[i])
 
-    return found(greedy(n, k - 1, split, 2 * min_seg)) if n >= 2 and k >= 2 else []
+    return sorted(greedy(n, k - 1, split, 2 * min_seg)[0]) if n >= 2 and k >= 2 else []
 
 
 def dp(v: np.ndarray, k: int) -> list[int]:
@@ -250,24 +259,53 @@ def cosine_drop_scores(v: np.ndarray, window: int = 3) -> np.ndarray:
 
 
 def recency_scores(v: np.ndarray, window: int = 7, decay: float = 0.5) -> np.ndarray:
-    n = len(v)
+    """1 - cosine of the window // 2 + 1 rows on either side, weighted exp(-decay * d) by distance d from the gap; 0 where a side has no length."""
+    n, m = len(v), window // 2 + 1
     d = np.arange(n)[None, :] - np.arange(n)[:, None]  # column less row
     w = np.exp(-decay * np.where(d >= 0, d, -1 - d))
-    left, right = np.where((d < 0) & (d >= -window), w, 0), np.where((d >= 0) & (d < window), w, 0)
-    s = 1 - cosines(left @ v, right @ v)
+    left, right = np.where((d < 0) & (d >= -m), w, 0) @ v, np.where((d >= 0) & (d < m), w, 0) @ v
+    s = np.where((np.linalg.norm(left, axis=1) > 0) & (np.linalg.norm(right, axis=1) > 0), 1 - cosines(left, right), 0.0)
     s[:1] = np.nan
     return s
 
 
+def over_all(scores: np.ndarray) -> np.ndarray:
+    """Min-max over all gaps, those without a score counting 0."""
+    x = np.nan_to_num(scores)
+    x[:1] = np.nan
+    return minmax(x)
+
+
 def rank_mean(maps: list[np.ndarray]) -> np.ndarray:
-    """Borda: negated sum of ranks; what a map lacks ranks one after its last."""
+    """Borda: negated sum of ranks; what a map lacks ranks one after the last of the longest map."""
     at = np.flatnonzero(np.any([~np.isnan(m) for m in maps], axis=0))
     out = np.full(len(maps[0]), np.nan)
     out[at] = 0
+    absent = max(len(found(m)) for m in maps) + 1
     for m in maps:
         order = {b: i + 1 for i, b in enumerate(sorted(found(m), key=lambda b: (-m[b], b)))}
         for b in at:
-            out[b] -= order.get(int(b), len(order) + 1)
+            out[b] -= order.get(int(b), absent)
+    return out
+
+
+def entropy_weight(x: np.ndarray) -> float:
+    """exp of minus the normalised entropy of scores shifted to start at 0."""
+    p = x - x.min()
+    if p.sum() < 1e-9 or len(x) < 2:
+        return float(np.exp(-1.0))
+    p = p / p.sum() + 1e-9
+    p /= p.sum()
+    return float(np.exp((p * np.log2(p)).sum() / np.log2(len(x))))
+
+
+def fused(maps: list[np.ndarray]) -> np.ndarray:
+    """Maps over all gaps, scaled to [0, 1] (a flat one stays as it is), weighted by their entropy, added and scaled again."""
+    scale = lambda x: (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else x
+    rows = [m[1:] for m in maps]
+    weights = [entropy_weight(x) for x in rows]
+    out = np.full(len(maps[0]), np.nan)
+    out[1:] = scale(sum(w / sum(weights) * scale(x) for w, x in zip(weights, rows, strict=True)))
     return out
 
 
@@ -344,55 +382,48 @@ def contrast(v: np.ndarray, candidates: list[int], context: int = 10) -> np.ndar
 
 
 def bic_k(v: np.ndarray, most: int = 30, cap: int = 200) -> int:
-    """k of least -2 * sum(mean similarity * pairs) + (k - 1) ln N over greedy splits of the first rows."""
-    v = unit_rows(v[:cap])
-    n, p = len(v), prefix(v)
-    if n < 4:
+    """k of least -2 * sum(mean similarity * pairs) + (k - 1) ln N over greedy splits of the first `cap` rows; k is at most a fourth of all rows."""
+    if len(v) < 4:
         return 2
-    order = divisive_order(v, min(most, n))
+    most = min(most, len(v) // 4, 50)
+    v = v[:cap]
+    n, p = len(v), prefix(v)
+    own = np.concatenate(([0.0], np.cumsum((v * v).sum(1))))
+    order, _ = divisive_order(v, most)
     cost = []
-    for k in range(2, len(order) + 2):
-        edges = [0, *sorted(order[: k - 1]), n]
-        like = 0.0
-        for a, e in zip(edges, edges[1:], strict=False):
-            m = e - a
-            pairs = m * (m - 1) / 2
-            like += ((((p[e] - p[a]) ** 2).sum() - m) / 2 / pairs if pairs else 0) * pairs
+    for k in range(2, most + 1):
+        e = np.array([0, *sorted(order[: k - 1]), n])
+        like = (((p[e[1:]] - p[e[:-1]]) ** 2).sum(1) - (own[e[1:]] - own[e[:-1]])).sum() / 2
         cost.append(-2 * like + (k - 1) * np.log(n))
-    return int(np.argmin(cost)) + 2
-
-
-def divisive_order(v: np.ndarray, k: int) -> list[int]:
-    """The greedy splits in the order in which they are made."""
-    order: list[int] = []
-    last: set[int] = set()
-    for j in range(2, k + 1):
-        now = set(divisive(v, j))
-        new = sorted(now - last)
-        if not new:
-            break
-        order += new
-        last = now
-    return order
+    return int(np.argmin(cost)) + 2 if cost else 2
 
 
 def elbow_k(v: np.ndarray, most: int = 30) -> int:
-    """Where the second difference of the falling split scores is least."""
-    s = divisive_scores(v, min(most, len(v)))
-    x = np.sort(s[~np.isnan(s)])[::-1]
-    return int(np.argmin(np.diff(x, 2))) + 3 if len(x) >= 3 else 2
+    """Where the second difference of the falling split scores is least; at most a third of the rows."""
+    most = min(most, len(v) // 3, 40)
+    if most < 2:
+        return 2
+    x = np.sort(divisive_order(v, most + 1)[1])[::-1]
+    if len(x) < 3:
+        return [max(2, min(most // 3, 8)), 2, 3][len(x)]
+    return max(2, min(int(np.argmin(np.diff(x, 2))) + 3, most))
 
 
 def gap_variance_k(v: np.ndarray, most: int = 40) -> int:
-    """k with the largest fall of the mean variance within segments from k - 1."""
-    order, n = divisive_order(v, min(most, len(v))), len(v)
-    if len(order) < 2:
+    """Where the variance of the similarities of neighbours within segments falls most from one k to the next; at most a fourth of the rows."""
+    n = len(v)
+    most = min(most, n // 4, 40)
+    if n < 4 or most < 3:
         return 2
-    var = []
-    for k in range(1, len(order) + 1):
-        edges = [0, *sorted(order[:k]), n]
-        var.append(np.mean([v[a:e].var(0).sum() for a, e in zip(edges, edges[1:], strict=False)]))
-    return int(np.argmin(np.diff(var))) + 3
+    x = smooth(v, 7)
+    near = (x[:-1] * x[1:]).sum(1)
+    order, _ = divisive_order(x, most)
+    variance = []
+    for k in range(2, most + 1):
+        inside = np.ones(n - 1, bool)
+        inside[np.array(order[: k - 1], np.int64) - 1] = False
+        variance.append(near[inside].var() if inside.any() else 0.0)
+    return max(2, min(int(np.argmin(np.diff(variance))) + 2, most))
 
 
 def c99(similarity: np.ndarray, k: int | None = None, w: int = 5, c: float = 1.2) -> list[int]:
@@ -465,7 +496,7 @@ def term_vectors(sentences: list[list[str]]) -> np.ndarray:
 
 
 def texttiling(sentences: list[list[str]], w: int = 20, k: int = 10) -> list[int]:
-    """Token blocks, depth of their cosine, one three-tap pass, interior maxima, each moved to the first sentence that ends at or after it."""
+    """Token blocks, depth of their cosine, one three-tap pass, interior maxima; a boundary stands before the sentence in which the block ends."""
     if len(sentences) < 3:
         return []
     tokens = [t for s in sentences for t in s]
@@ -486,7 +517,7 @@ def texttiling(sentences: list[list[str]], w: int = 20, k: int = 10) -> list[int
     out = set()
     for i in range(1, len(x) - 1):
         if x[i] > 0 and x[i] >= x[i - 1] and x[i] > x[i + 1]:
-            b = int(np.searchsorted(ends, (i + 1) * w)) + 1
+            b = int(np.searchsorted(ends, min((i + 1) * w, n)))
             if 0 < b < len(sentences):
                 out.add(b)
     return sorted(out)

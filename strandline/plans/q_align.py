@@ -169,7 +169,7 @@ SELECT seq_id, boundary, CASE WHEN r <= least(greatest(2, round_even(0.3 * (n +
     "cross_weighted": mean_sql(0.6, 0.4) + TOP8,
     "cross_threshold": mean_sql(0.5, 0.5) + ", r AS (SELECT *, max(score) OVER (PARTITION BY seq_id) AS m, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, boundary) AS r FROM c) SELECT seq_id, boundary, score FROM r WHERE r <= 2 OR (score >= 0.6 * m AND r <= 12)",
     "cross_borda": f"""WITH {HALVES}, r1 AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, boundary) AS r, count(*) OVER (PARTITION BY seq_id) + 1 AS l FROM m1), r2 AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, boundary) AS r, count(*) OVER (PARTITION BY seq_id) + 1 AS l FROM m2),
-ls AS (SELECT a.seq_id, a.l AS l1, b.l AS l2 FROM (SELECT DISTINCT seq_id, l FROM r1) a JOIN (SELECT DISTINCT seq_id, l FROM r2) b USING (seq_id)),
+ls AS (SELECT seq_id, max(l) AS l1, max(l) AS l2 FROM (SELECT seq_id, l FROM r1 UNION ALL SELECT seq_id, l FROM r2) GROUP BY seq_id),
 c AS (SELECT coalesce(a.seq_id, b.seq_id) AS seq_id, coalesce(a.boundary, b.boundary) AS boundary, -(coalesce(a.r, l1) + coalesce(b.r, l2))::DOUBLE AS score FROM r1 a FULL JOIN r2 b ON a.seq_id = b.seq_id AND a.boundary = b.boundary JOIN ls ON ls.seq_id = coalesce(a.seq_id, b.seq_id))""" + TOP8,
     "shot_spikes": f"""{ERRORS}, a AS ({CONTAIN}), g AS (SELECT seq_id, pos AS boundary, max(value) AS score FROM a JOIN marks USING (seq_id, event_id) WHERE pos > 0 GROUP BY seq_id, pos),
 k AS (SELECT seq_id, boundary, 0.054 * coalesce(lag(score, 2) OVER w, 0) + 0.242 * coalesce(lag(score, 1) OVER w, 0) + 0.399 * score + 0.242 * coalesce(lead(score, 1) OVER w, 0) + 0.054 * coalesce(lead(score, 2) OVER w, 0) AS score FROM g WINDOW w AS (PARTITION BY seq_id ORDER BY boundary))

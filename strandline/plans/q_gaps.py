@@ -45,7 +45,7 @@ QUERIES = {
     "gap_window_overlap": lambda s, d: rounded(gaps.gap_overlapping(T.vectors(s, d), W)),
     "gap_window_onesided": lambda s, d: rounded(gaps.gap_one_sided(T.vectors(s, d), W)),
     "gap_crossblock": lambda s, d: rounded(gaps.gap_cross_block(T.vectors(s, d), W)),
-    "gap_recency": lambda s, d: rounded(gaps.gap_recency(T.vectors(s, d), 5)),
+    "gap_recency": lambda s, d: rounded(gaps.gap_recency(T.vectors(s, d), 7)),
     "smooth_uniform": lambda s, d: lengths_and_sum(gaps.smooth(T.vectors(s, d), 8)),
     "smooth_gaussian": lambda s, d: lengths_and_sum(gaps.smooth_gaussian(T.vectors(s, d), 9, 2.0)),
     "chunk_mean": lambda s, d: lengths_and_sum(gaps.chunk_means(T.vectors(s, d), 5)),
@@ -87,7 +87,7 @@ SQL = {
     "gap_window_overlap": two_sided_sql(-1 - W, -1 + W, -W, W, "1 - list_cosine_similarity(a, b)"),
     "gap_window_onesided": f"WITH {ONE} SELECT * FROM one",
     "gap_crossblock": f"WITH {CROSS} SELECT * FROM crossed",
-    "gap_recency": f"""{T.with_("vectors")}, f AS (SELECT seq_id, pos, {frame_sql(-5, -1)} AS l, {frame_sql(0, 4)} AS r FROM vectors),
+    "gap_recency": f"""{T.with_("vectors")}, f AS (SELECT seq_id, pos, {frame_sql(-4, -1)} AS l, {frame_sql(0, 3)} AS r FROM vectors),
 m AS (SELECT seq_id, pos, list_transform(range(1, 65), lambda d: list_sum(list_transform(l, lambda v, i: v[d] * exp(-0.5 * (len(l) - i))))) AS a,
   list_transform(range(1, 65), lambda d: list_sum(list_transform(r, lambda v, i: v[d] * exp(-0.5 * (i - 1))))) AS b FROM f WHERE pos > 0)
 SELECT seq_id, pos::BIGINT AS boundary, round(1 - list_cosine_similarity(a, b), 6) + 0.0 AS score FROM m""",

@@ -1,7 +1,8 @@
 """The named segmentation methods, as data: a name is read by rule into an operator and its parameters.
 
 Names follow a small grammar, e.g. cross_e5_w11_frac70_minlen12: a family, then any of w<window>, frac<percent>, minlen<units>, nms<gap>, thresh<percent>,
-consv<fewer>. FAMILIES lists the families with their own defaults; NAMES spells out the points of the parameter grid that are registered.
+consv<fewer>. FAMILIES lists the families with their own defaults; names() spells out the points of the parameter grid that are registered. Greedy splits are nested,
+so one run for each model, window and least length serves every method and count over a sequence.
 """
 
 from __future__ import annotations
@@ -28,71 +29,128 @@ class Method:
 
 @dataclass
 class Input:
-    """One sequence: unit vectors of two models, number of segments, optional prosody gap scores and tokens."""
+    """One sequence: unit vectors of two models, number of segments, optional prosody and shot scores of boundaries, and tokens."""
 
     v1: np.ndarray
     v2: np.ndarray
     k: int
     side: np.ndarray | None = None
     tokens: list[list[str]] | None = None
-    chunk: int = 5
+    chunk: int = 4
+    shots: np.ndarray | None = None
+    cache: dict = field(default_factory=dict)
 
     def target(self, m: Method) -> int:
         """The segments asked for: a half-even share of k, or k less a few; at least two."""
         return max(2, round(self.k * m.frac)) if m.frac is not None else max(2, self.k - m.fewer) if m.fewer else self.k
 
+    def held(self, key: tuple, make):
+        if key not in self.cache:
+            self.cache[key] = make()
+        return self.cache[key]
 
-def two_maps(x: Input, m: Method, factor: int = 4, k: int | None = None, window: int | None = None) -> list[np.ndarray]:
-    k = k or x.target(m)
-    over = min(len(x.v1) - 1, factor * k + 2)
-    w = window or m.window
-    return [S.divisive_scores(S.smooth(v, w), over) for v in (x.v1, x.v2)]
+    def smooth(self, model: int, window: int, sigma: float | None = None) -> np.ndarray:
+        """A model's vectors (1, 2, or 3: both side by side), smoothed."""
+        v = (self.v1, self.v2, None)[model - 1]
+        v = self.held(("both",), lambda: S.unit_rows(np.hstack((self.v1, self.v2)))) if v is None else v
+        return self.held(("smooth", model, window, sigma), lambda: S.smooth(v, window) if sigma is None else S.smooth_gaussian(v, window, sigma))
 
+    def splits(self, model: int, window: int, k: int, min_seg: int | None = None, sigma: float | None = None) -> np.ndarray:
+        """Scores of the first k - 1 greedy splits."""
+        key = ("splits", model, window, min_seg, sigma)
+        most, order, gains = self.cache.get(key, (0, [], []))
+        if k > most:
+            v = self.smooth(model, window, sigma)
+            most = max(k, min(len(v) - 1, 4 * self.k + 2)) if min_seg is None and len(v) >= 4 else k
+            order, gains = S.divisive_order(v, most, min_seg)
+            self.cache[key] = most, order, gains
+        return S.scored(len(self.v1), order[: max(0, k - 1)], gains[: max(0, k - 1)])
 
-def cross(x: Input, m: Method) -> np.ndarray:
-    return S.mean_maps(two_maps(x, m))
+    def blocks(self, window: int) -> np.ndarray:
+        """Vectors of the joined text of the units around each, where there are tokens; else smoothed vectors stand in."""
+        if self.tokens is None:
+            return self.smooth(1, window)
+        from ..operators.text import hashed_counts
 
+        n, h = len(self.v1), window // 2
+        p = S.prefix(hashed_counts(self.tokens))
+        i = np.arange(n)
+        return S.unit_rows(p[np.minimum(i + h + 1, n)] - p[np.maximum(i - h, 0)])
 
-def rescored(x: Input, m: Method, how, multiple: int = 2, w_cross: float = 0.5) -> np.ndarray:
-    """A second pass over the best candidates, blended with the first."""
-    first = cross(x, m)
+
+def two_maps(x: Input, m: Method, over: int, window: int | None = None, sigma: float | None = None) -> list[np.ndarray]:
+    """Split scores of either model, asked for `over` segments but not over all units."""
+    return [x.splits(i, window or m.window, min(len(x.v1) - 1, over), None, sigma) for i in (1, 2)]
+
+
+def rescored(x: Input, m: Method, how, over: int, multiple: int, w_cross: float, side: float = 0.0) -> np.ndarray:
+    """A second pass over the best candidates, blended with the first; `side` is the weight of prosody, where there is any."""
+    first = S.mean_maps(two_maps(x, m, over))
     c = S.best(first, multiple * x.target(m))
-    maps = [how(S.smooth(v, m.window), c) for v in (x.v1, x.v2)]
+    maps = [how(x.smooth(i, m.window), c) for i in (1, 2)]
     again = sum(maps) / 2 if how is S.contrast else S.mean_maps(maps)
     out = np.full(len(first), np.nan)
-    out[c] = w_cross * first[c] + (1 - w_cross) * again[c]
+    if side and x.side is not None and c:
+        extra = x.side[c] / (x.side[c].max() if x.side[c].max() > 0 else 1.0)
+        out[c] = w_cross * first[c] + (1 - w_cross - side) * again[c] + side * extra
+    else:
+        w = 0.5 if side else w_cross
+        out[c] = w * first[c] + (1 - w) * again[c]
     return out
 
 
-def blended(a: np.ndarray, side: np.ndarray | None, w: float) -> np.ndarray:
-    """w * a + (1 - w) * side on min-maxed scores; a alone without a side signal."""
-    return a if side is None else np.where(np.isnan(a), np.nan, w * S.minmax(a) + (1 - w) * np.nan_to_num(S.minmax(side)))
+def reranked(scores: np.ndarray, target: int, signals: list[tuple[np.ndarray | None, float]], w: float) -> list[int]:
+    """The best `target` candidates by min-maxed scores of theirs and of signals; weights are those of the signals that there are, made to add up to one."""
+    c = S.found(scores)
+    there = [(s, u) for s, u in signals if s is not None and u > 0]
+    total = w + sum(u for _, u in there)
+    out = np.full(len(scores), np.nan)
+    if c:
+        out[c] = w / total * S.minmax(scores[c]) + sum(u / total * S.minmax(s[c]) for s, u in there)
+    return S.best(out, target)
+
+
+def pool(n: int, k: int) -> int:
+    """Segments to ask for where k - 1 boundaries are chosen anew."""
+    target = max(1, k - 1)
+    return min(max(3 * target, target + 2), max(2, n - 1)) + 1
 
 
 def run(x: Input, m: Method) -> list[int]:
     """The boundaries of one method."""
-    f, k, o = m.family, x.target(m), m.options
-    sv = S.smooth(x.v1, m.window)
-    n = len(x.v1)
+    f, k, o, n = m.family, x.target(m), m.options, len(x.v1)
     scores = None
     if n < 2:
         return []
+    sv = x.smooth(1, m.window)
     if f == "divisive":
-        out = S.divisive(sv, k)
-    elif f in ("divisive_chunked", "two_stage_chunked"):
-        c = np.array([x.v1[i : i + x.chunk].mean(0) for i in range(0, n, x.chunk)])
-        got = S.divisive(c, k) if f == "divisive_chunked" else S.cosine_seg(c, k)
-        out = sorted({max(1, min(n - 1, b * x.chunk)) for b in got})
-    elif f == "divisive_gaussian":
-        out = S.divisive(S.smooth_gaussian(x.v1, m.window, 2.0), k)
+        out = S.found(x.splits(1, m.window, k))
+    elif f in ("divisive_chunked", "two_stage_chunked", "divisive_chunked_side"):
+        size = o.get("chunk", x.chunk)
+        c = np.array([x.v1[i : i + size].mean(0) for i in range(0, n, size)])
+        if len(c) < 2:
+            return {"divisive_chunked": S.divisive, "two_stage_chunked": S.cosine_seg}.get(f, lambda v, k: reranked(S.divisive_scores(v, pool(n, k)), max(1, k - 1), [(x.side, 0.3)], 0.7))(x.v1, k)
+        if f == "divisive_chunked":
+            got = S.divisive(c, k)
+        elif f == "two_stage_chunked":
+            got = S.best(S.fused([S.gap_overlapping(c, 3)]), k - 1)
+        else:  # prosody at a border of chunks is its mean over the boundary there and its neighbours
+            side = None if x.side is None or n - 1 < size else np.array([0.0, *(x.side[max(1, i * size - 1) : min(n, i * size + 2)].mean() for i in range(1, len(c)))])
+            got = reranked(S.divisive_scores(c, pool(len(c), k)), max(1, k - 1), [(side, 0.3)], 0.7)
+        out = sorted({max(1, min(n - 1, b * size)) for b in got})
+    elif f == "divisive_block":
+        out = S.divisive(x.blocks(m.window), k)
     elif f == "divisive_auto":
-        out = S.divisive(sv, o["rule"](sv))
+        out = S.found(x.splits(1, m.window, o["rule"](sv)))
     elif f == "divisive_side":
-        w = o.get("w", 0.7)
-        scores = blended(S.divisive_scores(sv, min(n - 1, 4 * k + 2)), x.side, w)
-        out = S.best(scores, k - 1)
-    elif f == "divisive_recency":
-        out = S.best(S.rank_mean([S.divisive_scores(sv, min(n - 1, 4 * k + 2)), S.recency_scores(sv)]), k - 1)
+        if o.get("or_depth") and x.side is None:
+            out = S.depth_seg(sv, k)
+        else:
+            out = reranked(x.splits(1, m.window, pool(n, k)), max(1, k - 1), [(x.side, o.get("prosody", 0.0)), (x.shots, o.get("shots", 0.0))], o["w"])
+    elif f in ("divisive_recency", "ensemble"):
+        drop = S.recency_scores(sv) if f == "divisive_recency" else S.cosine_drop_scores(sv)
+        two = (S.over_all(x.splits(1, m.window, min(n - 1, 3 * max(1, k - 1) + 2))) + S.over_all(drop)) / 2
+        out = S.best(two, max(1, k - 1)) if n >= 4 and k >= 2 else []
     elif f == "dp":
         out = S.dp(sv, k)
     elif f == "treeseg":
@@ -106,60 +164,65 @@ def run(x: Input, m: Method) -> list[int]:
     elif f == "cosine_drop":
         out = S.best(S.cosine_drop_scores(sv), k - 1)
     elif f == "recency":
-        out = S.best(S.recency_scores(sv), k - 1)
-    elif f == "ensemble":
-        d = S.divisive_scores(sv, min(n - 1, 4 * k + 2))
-        out = S.best((np.nan_to_num(S.minmax(d)) + S.minmax(S.cosine_drop_scores(sv))) / 2, k - 1)
+        out = S.best(S.recency_scores(sv), max(1, k - 1)) if n >= 4 and k >= 2 else []
     elif f in ("two_stage", "hierarchical"):
-        out = S.best(blended(S.minmax(S.gap_overlapping(sv, 3)), x.side if o.get("side") else None, 0.7), k - 1)
+        gap = S.gap_overlapping(sv, 3)
+        out = S.best(S.fused([gap, *([x.side] if o.get("side") and x.side is not None else [])]), k - 1)
+        if f == "hierarchical":  # chapters: the subtopic boundaries with the largest gaps in the text
+            chosen = np.full(n, np.nan)
+            chosen[out] = gap[out]
+            out = S.best(chosen, min(max(2, round(0.3 * k)), k) - 1)
     elif f in ("texttiling", "c99"):
         t = x.tokens or [[] for _ in range(n)]
         out = S.texttiling(t) if f == "texttiling" else S.c99_text(t, k)
     elif f == "cross":
-        scores = cross(x, m)
-        if "nms" in o:
-            out = S.spaced(scores, k, o["nms"])
-        elif "adaptive" in o:
-            s = scores[~np.isnan(scores)]
-            cv = s.std() / (s.mean() + 1e-8)
-            out = S.best(scores, max(2, round(x.k * (0.8 if cv > 0.65 else 0.6 if cv < 0.4 else 0.7))))
-        elif "threshold" in o:
-            top = np.nanmax(scores)
+        if "threshold" in o:
+            scores = S.mean_maps(two_maps(x, m, max(10, round(3 * x.k))))
             ranked = sorted(S.found(scores), key=lambda b: (-scores[b], b))
-            out = sorted(b for i, b in enumerate(ranked) if i < 2 or (scores[b] >= o["threshold"] * top and i < 2 * x.k))
+            many = sum(scores[b] >= o["threshold"] * np.nanmax(scores) for b in ranked)
+            out = sorted(ranked[: max(2, min(many, round(1.5 * x.k), n - 1))])
         elif "rule" in o:
-            out = S.best(scores, o["rule"](sv))
+            k = o["rule"](x.v1)
+            out = S.best(S.mean_maps(two_maps(x, m, 3 * k)), k)
         else:
-            out = S.best(blended(scores, x.side, 0.7) if o.get("side") else scores, k)
+            scores = S.mean_maps(two_maps(x, m, o.get("over", 4) * k + 2))
+            if "nms" in o:
+                out = S.spaced(scores, k, o["nms"])
+            elif "adaptive" in o:
+                s = scores[~np.isnan(scores)]
+                cv = s.std() / (s.mean() + 1e-8) if len(s) else 0.0
+                out = S.best(scores, max(2, round(x.k * (0.8 if cv > 0.65 else 0.6 if cv < 0.4 else 0.7))))
+            elif o.get("side") and x.side is not None and (c := S.found(scores)):
+                blend = np.full(n, np.nan)
+                blend[c] = 0.7 * scores[c] + 0.3 * x.side[c] / (x.side[c].max() if x.side[c].max() > 0 else 1.0)
+                out = S.best(blend, k)
+            else:
+                out = S.best(scores, k)
     elif f == "cross_constrained":
-        maps = [S.divisive_scores(S.smooth(v, m.window), k, m.min_seg) for v in (x.v1, x.v2)]
+        maps = [x.splits(i, m.window, k, m.min_seg) for i in (1, 2)]
         votes = np.where(np.isnan(maps[0]), 0, 2) + np.where(np.isnan(maps[1]), 0, 1)
-        out = S.best(np.where(votes > 0, votes, np.nan), k)
+        out = S.min_seg_filter(S.best(np.where(votes > 0, votes, np.nan).astype(float), 2 * k), n, m.min_seg)[:k]
     elif f == "cross_gauss":
-        maps = [S.divisive_scores(S.smooth_gaussian(v, m.window, 2.0), min(n - 1, 4 * k + 2)) for v in (x.v1, x.v2)]
-        out = S.best(S.mean_maps(maps), k)
+        out = S.best(S.mean_maps(two_maps(x, m, 4 * k + 2, sigma=2.0)), k)
     elif f == "rank":
-        out = S.best(S.rank_mean(two_maps(x, m)), k)
+        out = S.best(S.rank_mean(two_maps(x, m, 4 * k + 2)), k)
     elif f == "weighted":
-        out = S.best(S.mean_maps(two_maps(x, m), [o["w1"], 1 - o["w1"]]), k)
+        out = S.best(S.mean_maps(two_maps(x, m, 4 * k + 2), [o["w1"], 1 - o["w1"]]), k)
     elif f == "concat":
-        both = S.unit_rows(np.hstack((S.smooth(x.v1, m.window), S.smooth(x.v2, m.window))))
-        out = S.divisive(both, k)
+        out = S.divisive(S.unit_rows(np.hstack((sv, x.smooth(2, m.window)))), k)
     elif f == "triple":
-        third = S.divisive_scores(S.smooth(S.unit_rows(np.hstack((x.v1, x.v2))), m.window), min(n - 1, 4 * k + 2))
-        out = S.best(S.mean_maps([*two_maps(x, m), third]), k)
+        out = S.best(S.mean_maps([x.splits(i, m.window, min(n - 1, 4 * k + 2)) for i in (1, 2, 3)]), k)
     elif f == "multi_res":
-        out = S.best(S.mean_maps([s for w in (7, 9, 11) for s in two_maps(x, m, window=w)]), k)
+        out = S.best(S.mean_maps([s for w in (7, 9, 11) for s in two_maps(x, m, 4 * k + 2, w)]), k)
     elif f == "combined_depth":
-        deep = [S.gap_one_sided(S.smooth(v, m.window), o.get("depth", 7)) for v in (x.v1, x.v2)]
-        out = S.best(S.mean_maps([*two_maps(x, m), *deep]), k)
+        out = S.best(S.mean_maps([S.gap_one_sided(x.smooth(i, m.window), o.get("depth", 7)) for i in (1, 2)]), k)
     elif f == "iterative":
-        scores = rescored(x, m, S.neighbour_dissimilarity, o.get("multiple", 2), o.get("w_cross", 0.5))
-        out = S.best(blended(scores, x.side, 0.7) if o.get("side") else scores, k)
+        over = min(x.k, n - 1) * (4 if o.get("v2") else 3) + 2
+        out = S.best(rescored(x, m, S.neighbour_dissimilarity, over, o.get("multiple", 2), o.get("w_cross", 0.5), o.get("side", 0.0)), k)
     elif f == "iterative_fixed":
-        out = S.best(rescored(x, m, lambda v, c: S.neighbour_dissimilarity(v, c, 15)), k)
+        out = S.best(rescored(x, m, lambda v, c: S.neighbour_dissimilarity(v, c, 15), max(2 * k + 2, k + 4), 2, 0.4), k)
     elif f == "contrastive":
-        out = S.best(rescored(x, m, S.contrast, 2, 0.4), k)
+        out = S.best(rescored(x, m, S.contrast, 4 * k + 2, 2, 0.4), k)
     else:
         raise ValueError(f"no family {f}")
     least = m.min_seg
@@ -177,18 +240,18 @@ FAMILIES: dict[str, Method] = {
     "texttiling": Method("texttiling"), "c99": Method("c99"), "kmeans": Method("kmeans", 1), "two_stage": Method("two_stage", 1), "hierarchical": Method("hierarchical", 1),
     "cosine": Method("cosine", 1), "bert_seg": Method("cosine", 1, options={"depth": 5}), "cosine_drop": Method("cosine_drop", 1), "cosine_drop_smooth": Method("cosine_drop", 7),
     "two_stage_prosody": Method("two_stage", 1, options={"side": True}), "hierarchical_prosody": Method("hierarchical", 1, options={"side": True}), "two_stage_chunked": Method("two_stage_chunked", 1),
-    "divisive": Method("divisive", 1), "divisive_smooth": Method("divisive", 7), "divisive_block": Method("divisive", 7), "divisive_chunked": Method("divisive_chunked", 1), "divisive_chunked3": Method("divisive_chunked", 1),
+    "divisive": Method("divisive", 1), "divisive_smooth": Method("divisive", 7), "divisive_block": Method("divisive_block", 7), "divisive_chunked": Method("divisive_chunked", 1), "divisive_chunked3": Method("divisive_chunked", 1, options={"chunk": 3}),
     "divisive_conservative": Method("divisive", 1, fewer=2), "divisive_minlen": Method("divisive", 1, min_seg=8), "divisive_smooth7_minlen": Method("divisive", 7, min_seg=8), "divisive_smooth_dp": Method("dp", 9),
-    "divisive_prosody": Method("divisive_side", 1), "divisive_shots": Method("divisive_side", 1), "divisive_prosody_shots": Method("divisive_side", 1, options={"w": 0.6}), "divisive_smooth3_prosody": Method("divisive_side", 3), "divisive_chunked_prosody": Method("divisive_side", 5),
+    "divisive_prosody": Method("divisive_side", 1, options={"w": 0.7, "prosody": 0.3}), "divisive_shots": Method("divisive_side", 1, options={"w": 0.7, "shots": 0.3}), "divisive_prosody_shots": Method("divisive_side", 1, options={"w": 0.6, "prosody": 0.2, "shots": 0.2}), "divisive_smooth3_prosody": Method("divisive_side", 3, options={"w": 0.7, "prosody": 0.3}), "divisive_chunked_prosody": Method("divisive_chunked_side", 1),
     "divisive_bic": Method("divisive_auto", 1, options={"rule": S.bic_k}), "divisive_bic_smooth": Method("divisive_auto", 7, options={"rule": S.bic_k}), "divisive_elbow": Method("divisive_auto", 1, options={"rule": S.elbow_k}), "divisive_elbow_smooth": Method("divisive_auto", 7, options={"rule": S.elbow_k}),
     "divisive_recency": Method("divisive_recency", 1), "divisive_recency_smooth": Method("divisive_recency", 7), "recency": Method("recency", 1), "recency_smooth": Method("recency", 7),
-    "depth": Method("depth", 1), "depth_smooth": Method("depth", 7), "depth_smooth_prosody": Method("divisive_side", 7), "depth_frac": Method("depth", 9, 0.7),
+    "depth": Method("depth", 1), "depth_smooth": Method("depth", 7), "depth_smooth_prosody": Method("divisive_side", 7, options={"w": 0.7, "prosody": 0.3, "or_depth": True}), "depth_frac": Method("depth", 9, 0.7),
     "dp": Method("dp", 1), "dp_smooth": Method("dp", 7), "dp_frac": Method("dp", 9, 0.7), "treeseg": Method("treeseg", 1), "ensemble": Method("ensemble", 1), "ensemble_smooth": Method("ensemble", 7),
     "cross": Method("cross", 9, 0.7), "cross_rank": Method("rank", 9, 0.8), "cross_model": Method("cross", 9, 0.8), "weighted_cross": Method("weighted", 9, 0.7), "concat": Method("concat", 9, 0.7), "triple": Method("triple", 9, 0.7), "multi_res": Method("multi_res", 9, 0.7),
-    "iterative_cross": Method("iterative", 9, 0.7), "iterative_v2": Method("iterative", 9, 0.75, options={"w_cross": 0.3}), "iterative_v2_segs4": Method("iterative", 9, 0.75, options={"w_cross": 0.3, "multiple": 4}), "iterative_fw": Method("iterative_fixed", 9, 0.7), "contrastive": Method("contrastive", 9, 0.7),
-    "cross_e5_gapvar": Method("cross", 9, 0.7, options={"rule": S.gap_variance_k}), "cross_e5_adaptive_k": Method("cross", 9, 0.7, options={"adaptive": True}), "cross_e5_combined_depth": Method("combined_depth", 9, 0.7),
-    "cross_e5_prosody": Method("cross", 9, 0.7, options={"side": True}), "iterative_cross_e5_prosody": Method("iterative", 9, 0.75, options={"side": True}), "cross_e5_gauss": Method("cross_gauss", 9, 0.7), "cross_e5_constrained": Method("cross_constrained", 9, 0.7), "cross_e5_score": Method("cross", 9, 0.7, score_aware=True),
-    "cross_e5_frac70_adaptive_minlen": Method("cross", 9, 0.7, options={"adaptive_min": lambda n, k: max(5, n // max(1, 2 * k))}), "cross_e5_frac70_adaptive_minlen2": Method("cross", 9, 0.7, options={"adaptive_min": lambda n, k: max(8, min(15, round(0.3 * n / max(1, k))))}), "cross_e5_frac70_adaptive_minlen3": Method("cross", 9, 0.7, options={"adaptive_min": lambda n, k: max(8, min(15, round(0.4 * n / max(1, k))))}),
+    "iterative_cross": Method("iterative", 9, 0.7), "iterative_v2": Method("iterative", 9, 0.75, options={"v2": True, "multiple": 3, "w_cross": 0.3}), "iterative_v2_segs4": Method("iterative", 9, 0.75, options={"v2": True, "w_cross": 0.3, "multiple": 4}), "iterative_fw": Method("iterative_fixed", 9, 0.7), "contrastive": Method("contrastive", 9, 0.7),
+    "cross_e5_gapvar": Method("cross", 9, 0.7, options={"rule": S.gap_variance_k}), "cross_e5_adaptive_k": Method("cross", 9, 0.7, options={"adaptive": True, "over": 5}), "cross_e5_combined_depth": Method("combined_depth", 9, 0.7),
+    "cross_e5_prosody": Method("cross", 9, 0.7, options={"side": True, "over": 3}), "iterative_cross_e5_prosody": Method("iterative", 9, 0.75, options={"side": 0.2, "w_cross": 0.4}), "cross_e5_gauss": Method("cross_gauss", 9, 0.7), "cross_e5_constrained": Method("cross_constrained", 9, 0.7), "cross_e5_score": Method("cross", 9, 0.7, score_aware=True),
+    "cross_e5_frac70_adaptive_minlen": Method("cross", 9, 0.7, options={"adaptive_min": lambda n, k: max(5, n // max(1, 2 * k))}), "cross_e5_frac70_adaptive_minlen2": Method("cross", 9, 0.7, options={"adaptive_min": lambda n, k: max(8, min(15, round(0.3 * max(1, n // max(1, k)))))}), "cross_e5_frac70_adaptive_minlen3": Method("cross", 9, 0.7, options={"adaptive_min": lambda n, k: max(8, min(15, round(0.4 * max(1, n // max(1, k)))))}),
 }
 FIXED = {"divisive_chunked3", "divisive_smooth7_minlen", "divisive_smooth3_prosody", "iterative_v2_segs4", "c99", "iterative_v2_w04", "iterative_v2_w02", *(n for n in FAMILIES if "adaptive_minlen" in n)}
 #: Secondary models that names may carry; which vectors stand for them is the caller's choice.
@@ -198,7 +261,7 @@ MODELS = "e5large e5base e5 bge_large bgelarge bge stella mpnet".split()
 def parse(name: str) -> Method:
     """The method that a name stands for."""
     if name == "iterative_v2_w04" or name == "iterative_v2_w02":
-        return replace(FAMILIES["iterative_v2"], options={"w_cross": int(name[-2:]) / 10})
+        return replace(FAMILIES["iterative_v2"], options=FAMILIES["iterative_v2"].options | {"w_cross": int(name[-2:]) / 10})
     start = max((f for f in FAMILIES if name == f or re.match(re.escape(f) + r"(?=_|\d)", name)), key=len, default=None)
     if start is None:
         raise ValueError(f"unknown method {name}")
@@ -220,7 +283,7 @@ def parse(name: str) -> Method:
         elif key == "minlen":
             m = replace(m, min_seg=v or 8)
         elif key == "nms":
-            o["nms"] = v
+            o["nms"], o["over"] = v, 6
         elif key == "thresh":
             o["threshold"] = v / 100
         elif key in ("consv", "conservative"):
