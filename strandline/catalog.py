@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import q_align, q_gaps, q_metrics, q_more, q_portfolio, q_search, q_segment, q_text
+from .plans import q_align, q_candidates, q_gaps, q_metrics, q_more, q_portfolio, q_search, q_segment, q_text
 from .plans.battery import flagship
 
-MODULES = [q_gaps, q_metrics, q_align, q_segment, q_text, q_portfolio, q_more, q_search]
+MODULES = [q_gaps, q_metrics, q_align, q_segment, q_text, q_portfolio, q_more, q_search, q_candidates]
 __all__ = ["flagship", "oracle_sql", "queries"]
 
 
