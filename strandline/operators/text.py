@@ -10,23 +10,54 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 
-# Discourse markers, as regular expressions over lower-cased text; the first that fits names the marker.
-MARKERS = {
-    "now": r"^now\b", "so": r"^so\b", "okay": r"^(ok|okay)\b", "next": r"\bnext\b", "lets": r"\blet'?s\b", "first": r"^first(ly)?\b", "second": r"^second(ly)?\b", "third": r"^third(ly)?\b", "finally": r"^finally\b",
-    "summary": r"\b(in summary|to summari[sz]e)\b", "conclusion": r"\bin conclusion\b", "moving": r"\bmoving on\b", "turn": r"\bturn to\b", "another": r"^another\b", "however": r"^however\b", "today": r"\btoday\b", "recall": r"\brecall\b", "question": r"\bquestion is\b", "example": r"\bfor example\b",
-}
-OPENERS = ["now", "so", "next", "okay", "and", "but", "then", "the"]
+# Phrases that speak for a change of topic, as regular expressions that are searched without regard to case.
+PATTERNS = [
+    r"\bnow (let'?s|we will|we'?re going to|i'?m going to) (talk|discuss|look at|cover|move|explore|examine|consider)",
+    r"\bthe next (topic|section|part|thing|concept|idea|question|point) (is|we|i)",
+    r"\bmoving on (to|now)",
+    r"\blet'?s (now |)move on",
+    r"\blet'?s (now |)(turn|shift|look|talk|discuss|consider)",
+    r"\bin (this|the next) (section|part|chapter|module|lecture|video)",
+    r"\b(today|now) (we'?re? (going to )?(talk|cover|discuss|look at|examine|introduce|start))",
+    r"\b(so |now |okay |alright |)(let'?s|we) (now |)(begin|start|introduce) (with|by|our)",
+    r"\b(first|second|third|fourth|fifth|next|finally|lastly|additionally|furthermore)[,\.] (let'?s|we|i want|i'?ll)",
+    r"\b(topic|concept|idea|section) (number |\#?)(\d+|one|two|three|four|five)",
+    r"\bpart (two|three|four|five|2|3|4|5)",
+    r"\b(so |)(to summarize|to recap|in summary|in conclusion|to conclude|wrapping up)",
+    r"\b(so |)(we'?ve (now |)covered|we'?ve (now |)seen|we'?ve (now |)learned|we'?ve looked at)",
+    r"\b(now |so |)(having (covered|seen|discussed|introduced)|with that (in mind|out of the way|said))",
+    r"\b(let'?s (look at|turn to|switch to|go to) (the |this |our |)(next|new) (slide|figure|diagram|example|problem))",
+    r"\b(the |this |)(next |following |)(slide|figure|diagram|graph|table|chart|equation) (shows|illustrates|presents|gives)",
+    r"^(okay|alright|so|right)[,\.]? (today|in this|for this|let'?s)",
+    r"\b(i'?d like to |i want to |let me )(introduce|present|discuss|explain|show you|walk you through)",
+    r"\bthe (focus|goal|aim|objective|purpose) of (this|today'?s) (lecture|section|part|video)",
+]
+# Words of openings, of recapitulation and of titles.
+OPENERS = [
+    "now", "okay", "ok", "alright", "so", "next", "then", "first", "second", "third", "finally", "let us", "let's", "moving on", "we will", "we're going", "i will", "i'm going",
+    "in this section", "in this part", "today",
+]
+RECAPS = ["to summarize", "in summary", "so far", "we have seen", "we've seen", "remember", "recall", "this completes", "that completes"]
+TITLES = ["definition", "theorem", "example", "problem", "chapter", "section", "topic", "introduction", "conclusion"]
+# Fixed values of the transition features: units of a side, and the lengths of the slices that are searched.
+SIDE, HEAD, SLICE = 4, 160, 220
 
 
 def in_order():
     return Window.partitionBy("seq_id").orderBy("pos")
 
 
-def discourse(units: DataFrame, markers: dict[str, str] = MARKERS) -> DataFrame:
-    """(seq_id, pos, marker): the first marker that fits a unit; others drop out."""
-    low = F.lower(F.trim("text"))
-    marker = F.coalesce(*[F.when(F.rlike(low, F.lit(r)), F.lit(n)) for n, r in markers.items()])
-    return units.select("seq_id", "pos", marker.alias("marker")).where("marker is not null")
+def discourse(units: DataFrame, patterns: list[str] = PATTERNS) -> DataFrame:
+    """(seq_id, pos, pattern): units in which a pattern is found, with the number of the first one; others drop out."""
+    trimmed = F.trim("text")
+    hit = F.coalesce(*[F.when(F.rlike(trimmed, F.lit("(?i)" + r)), F.lit(i)) for i, r in enumerate(patterns)])
+    return units.select("seq_id", "pos", hit.alias("pattern")).where("pattern is not null")
+
+
+def discourse_boosted(scores: DataFrame, marked: DataFrame, sizes: DataFrame, boost: float = 0.2) -> DataFrame:
+    """Scores (seq_id, boundary, score) with a bonus where a marked unit (seq_id, pos) starts; to be picked from as they are."""
+    marks = marked.select("seq_id", F.col("pos").alias("boundary"), F.lit(boost).alias("_m"))
+    return scores.join(sizes.select("seq_id"), "seq_id").join(marks, ["seq_id", "boundary"], "left").select("seq_id", "boundary", (F.col("score") + F.coalesce("_m", F.lit(0.0))).alias("score"))
 
 
 def tf_cosine(units: DataFrame) -> DataFrame:
@@ -47,17 +78,22 @@ def jaccard_novelty(units: DataFrame) -> DataFrame:
 
 
 def transition_features(units: DataFrame) -> DataFrame:
-    """Features of the step from the unit before a boundary to the one at it."""
-    w = in_order()
-    rows = units.withColumn("_w", X.words(F.col("text"))).withColumn("_t", X.token_set(F.col("text")))
-    rows = rows.withColumn("_pw", F.lag("_w").over(w)).withColumn("_pt", F.lag("_t").over(w)).withColumn("_n", F.count("*").over(Window.partitionBy("seq_id"))).where("pos > 0")
-    n1, n2 = F.size("_pw"), F.size("_w")
-    new = F.size(F.array_except("_t", "_pt"))
+    """Ten features of each boundary: openers at its unit and in its head, words of recapitulation around it, words of titles after it; novelty of the tokens of SIDE units
+    on the right against as many on the left, the shares that only one side has, the difference of neighbouring lengths, and the place from either end."""
+    w, n = in_order(), F.col("_n")
+    token_set = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"([a-zA-Z][a-zA-Z0-9_'-]*)"), 1), F.lower), lambda x: F.length(x) > 2))
+    side = lambda a, b: F.array_distinct(F.flatten(F.collect_list("_t").over(w.rowsBetween(a, b))))
+    rows = units.withColumn("_t", token_set).withColumn("_c", F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != ""))).withColumn("_n", F.count("*").over(Window.partitionBy("seq_id")))
+    rows = rows.withColumn("_l", side(-SIDE, -1)).withColumn("_r", side(0, SIDE - 1)).withColumn("_pt", F.lag("text").over(w)).withColumn("_pc", F.lag("_c").over(w)).where("pos > 0")
+    common = F.size(F.array_intersect("_l", "_r"))
+    of = lambda x, d: x / F.greatest(F.lit(1), d)
+    union = F.size("_l") + F.size("_r") - common
+    head = lambda k: F.lower(F.substring("text", 1, k))
+    around = F.lower(F.concat(F.right("_pt", F.lit(SLICE)), F.lit(" "), F.substring("text", 1, SLICE)))
     return rows.select(
-        "seq_id", F.col("pos").alias("boundary"), X.jaccard(F.col("_pt"), F.col("_t")).alias("overlap"), new.alias("n_new"), F.size(F.array_except("_pt", "_t")).alias("n_gone"),
-        F.when(F.size("_t") > 0, new / F.size("_t")).otherwise(0.0).alias("share_new"), n1.alias("words_before"), n2.alias("words_after"),
-        F.when(F.greatest(n1, n2) > 0, F.least(n1, n2) / F.greatest(n1, n2)).otherwise(0.0).alias("length_ratio"), X.starts_with_any(F.lower(F.trim("text")), OPENERS).alias("opener"),
-        F.endswith(F.trim("text"), F.lit("?")).alias("question"), (F.col("pos") / F.col("_n")).alias("place"),
+        "seq_id", F.col("pos").alias("boundary"), X.starts_with_any(F.lower(F.trim("text")), OPENERS).cast("double").alias("opener"), (X.count_in(head(HEAD), OPENERS) / 3).alias("openers"),
+        (X.count_in(around, RECAPS) / 2).alias("recaps"), (X.count_in(head(SLICE), TITLES) / 2).alias("titles"), (1 - of(common, union)).alias("novelty"), of(F.size("_r") - common, F.size("_r")).alias("new_right"),
+        of(F.size("_l") - common, F.size("_l")).alias("left_only"), of(F.abs(F.col("_c") - F.col("_pc")), F.col("_c") + F.col("_pc")).alias("length_ratio"), F.log1p("pos").alias("log_before"), F.log1p(n - F.col("pos")).alias("log_after"),
     )
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import text
+from ..operators import folds, gaps, text
 from ..sources import tables as T
-from .common import rounded
-
-
+from .common import fixed, rounded
+from .q_metrics import far, fold_sql
 
 
 def tokens(s, d):
@@ -36,12 +35,32 @@ def arrays(s, d):
     return rounded(rows.select("seq_id", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("bounds"), F.array_join(F.transform(mass, lambda x: x.cast("string")), ",").alias("masses"), F.aggregate(X.indicator(F.col("b"), F.col("n")), F.lit(0), lambda a, x: a + x).alias("n_marks"), F.size(X.spans(F.col("b"), F.col("n"))).alias("n_spans")))
 
 
+def speech(s, d):
+    """Turns with a phrase of the fixed patterns in front of every ninth, as the invented texts have none."""
+    said = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("pos") % len(PHRASES) + 1).cast("int"))
+    return T.turns(s, d).withColumn("text", F.when((F.col("seq_id") + F.col("pos")) % 9 == 0, F.concat(said, F.lit(" "), "text")).otherwise(F.col("text")))
+
+
+def discourse(s, d):
+    return rounded(text.discourse(speech(s, d)))
+
+
+def boosted(s, d):
+    u = T.vectors(s, d)
+    marked = u.where("pos % 9 = 0 and pos > 0").select("seq_id", "pos")
+    scores = fixed(text.discourse_boosted(fixed(gaps.gap_one_sided(u, 3)), marked, T.sizes(u)))
+    return rounded(folds.pick_spaced(scores, T.sizes(u), 7, 4))
+
+
+PHRASES = ["Now let's look at", "The next topic is", "Moving on to", "To summarize,", "We've seen", "Okay, today", "Part two:", "Let me explain", "Nothing here"]
 QUERIES = {
+    "discourse_boosted": boosted,
+    "transition_features_turns": lambda s, d: rounded(text.transition_features(speech(s, d))),
     "word_tokens": tokens,
     "tf_cosine": lambda s, d: rounded(text.tf_cosine(T.text_units(s, d))),
     "jaccard_novelty": lambda s, d: rounded(text.jaccard_novelty(T.text_units(s, d))),
     "transition_features": lambda s, d: rounded(text.transition_features(T.text_units(s, d))),
-    "discourse_markers": lambda s, d: rounded(text.discourse(T.text_units(s, d), {**text.MARKERS, "the": r"^the\b", "and": r"^and\b", "with": r"\bwith\b"})),
+    "discourse_markers": discourse,
     "accumulate_words": lambda s, d: rounded(text.accumulate(T.text_units(s, d)).select("seq_id", "piece", "first", "last", "n_words")),
     "time_text": time_text,
     "page_parts": page_parts,
@@ -54,8 +73,22 @@ SET = "list_distinct(list_filter(" + WORDS + ", lambda w: len(w) > 2))"
 PAIR = f"""{T.with_("units")}, t AS (SELECT seq_id, pos, text, {WORDS.format("text")} AS w, {SET.format("text")} AS s FROM units),
 p AS (SELECT *, lag(w) OVER q AS pw, lag(s) OVER q AS ps, count(*) OVER (PARTITION BY seq_id) AS n FROM t WINDOW q AS (PARTITION BY seq_id ORDER BY pos)),
 j AS (SELECT *, len(list_intersect(s, ps)) AS i, len(s) + len(ps) - len(list_intersect(s, ps)) AS u FROM p WHERE pos > 0)"""
-MARKS = {**text.MARKERS, "the": r"^the\b", "and": r"^and\b", "with": r"\bwith\b"}
 quote = lambda x: "'" + x.replace("'", "''") + "'"
+SPEECH = f"SELECT seq_id, pos, CASE WHEN (seq_id + pos) % 9 = 0 THEN [{', '.join(quote(x) for x in PHRASES)}][pos % {len(PHRASES)} + 1] || ' ' || text ELSE text END AS text FROM turns"
+
+
+def transitions(relations: str) -> str:
+    """The ten features over units of a WITH list."""
+    tokens = r"list_distinct(list_filter(list_transform(regexp_extract_all(text, '([a-zA-Z][a-zA-Z0-9_''-]*)', 1), lambda w: lower(w)), lambda w: len(w) > 2))"
+    many = lambda t, words: "(" + " + ".join(f"contains({t}, {quote(w)})::INT" for w in words) + ")"
+    return f"""{relations}, t AS (SELECT seq_id, pos, text, {tokens} AS s, len(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')) AS c FROM units),
+w AS (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n, lag(text) OVER o AS pt, lag(c) OVER o AS pc, list_distinct(flatten(list(s) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))) AS l,
+  list_distinct(flatten(list(s) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))) AS r FROM t WINDOW o AS (PARTITION BY seq_id ORDER BY pos)),
+x AS (SELECT *, len(list_intersect(l, r)) AS i, lower(left(text, 160)) AS h, lower(right(pt, 220) || ' ' || left(text, 220)) AS a, lower(left(text, 220)) AS h2 FROM w WHERE pos > 0)
+SELECT seq_id, pos::BIGINT AS boundary, ({" OR ".join(f"starts_with(lower(trim(text)), {quote(o)})" for o in text.OPENERS)})::INT::DOUBLE AS opener, round({many("h", text.OPENERS)} / 3, 6) + 0.0 AS openers,
+round({many("a", text.RECAPS)} / 2, 6) + 0.0 AS recaps, round({many("h2", text.TITLES)} / 2, 6) + 0.0 AS titles, round(1 - i / greatest(1, len(l) + len(r) - i), 6) + 0.0 AS novelty, round((len(r) - i) / greatest(1, len(r)), 6) + 0.0 AS new_right,
+round((len(l) - i) / greatest(1, len(l)), 6) + 0.0 AS left_only, round(abs(c - pc) / greatest(1, c + pc), 6) + 0.0 AS length_ratio, round(ln(1 + pos), 6) + 0.0 AS log_before, round(ln(1 + n - pos), 6) + 0.0 AS log_after FROM x"""
+
 
 SQL = {
     "word_tokens": f"{T.with_('turns')} SELECT seq_id, pos::BIGINT AS pos, len({WORDS.format('text')})::BIGINT AS n_words, len({SET.format('text')})::BIGINT AS n_set, array_to_string({WORDS.format('text')}[1:5], ' ') AS head FROM turns",
@@ -63,13 +96,12 @@ SQL = {
 n AS (SELECT seq_id, pos, sqrt(sum(c * c)) AS norm FROM t GROUP BY seq_id, pos), d AS (SELECT a.seq_id, a.pos, sum(a.c * b.c) AS dot FROM t a JOIN t b ON a.seq_id = b.seq_id AND a.pos = b.pos + 1 AND a.term = b.term GROUP BY a.seq_id, a.pos)
 SELECT u.seq_id, u.pos::BIGINT AS boundary, round(coalesce(dot / (n1.norm * n2.norm), 0), 6) + 0.0 AS similarity FROM units u LEFT JOIN d USING (seq_id, pos) LEFT JOIN n n1 USING (seq_id, pos) LEFT JOIN n n2 ON n2.seq_id = u.seq_id AND n2.pos = u.pos - 1 WHERE u.pos > 0""",
     "jaccard_novelty": f"{PAIR} SELECT seq_id, pos::BIGINT AS boundary, round(1 - CASE WHEN u > 0 THEN i::DOUBLE / u ELSE 0 END, 6) + 0.0 AS novelty FROM j",
-    "transition_features": f"""{PAIR} SELECT seq_id, pos::BIGINT AS boundary, round(CASE WHEN u > 0 THEN i::DOUBLE / u ELSE 0 END, 6) + 0.0 AS overlap, (len(s) - i)::BIGINT AS n_new, (len(ps) - i)::BIGINT AS n_gone,
-round(CASE WHEN len(s) > 0 THEN (len(s) - i)::DOUBLE / len(s) ELSE 0 END, 6) + 0.0 AS share_new, len(pw)::BIGINT AS words_before, len(w)::BIGINT AS words_after,
-round(CASE WHEN greatest(len(pw), len(w)) > 0 THEN least(len(pw), len(w))::DOUBLE / greatest(len(pw), len(w)) ELSE 0 END, 6) + 0.0 AS length_ratio,
-{" OR ".join(f"starts_with(lower(trim(text)), {quote(o)})" for o in text.OPENERS)} AS opener, ends_with(trim(text), '?') AS question, round(pos::DOUBLE / n, 6) + 0.0 AS place FROM j""",
-    "discourse_markers": f"{T.with_('units')} SELECT * FROM (SELECT seq_id, pos::BIGINT AS pos, CASE "
-    + " ".join(f"WHEN regexp_matches(lower(trim(text)), {quote(r)}) THEN {quote(n)}" for n, r in MARKS.items())
-    + " END AS marker FROM units) WHERE marker IS NOT NULL",
+    "transition_features": transitions(T.with_("units")),
+    "transition_features_turns": transitions(f"{T.with_('turns')}, units AS ({SPEECH})"),
+    "discourse_markers": f"{T.with_('turns')}, u AS ({SPEECH}) SELECT * FROM (SELECT seq_id, pos::BIGINT AS pos, CASE "
+    + " ".join(f"WHEN regexp_matches(trim(text), {quote('(?i)' + r)}) THEN {i}" for i, r in enumerate(text.PATTERNS))
+    + " END::BIGINT AS pattern FROM u) WHERE pattern IS NOT NULL",
+    "discourse_boosted": fold_sql(f"{far(4)} AND len(acc) < 7", "WHERE boundary >= 4 AND boundary <= n - 4").replace("FROM one JOIN", "FROM (SELECT seq_id, boundary, round(score + CASE WHEN boundary % 9 = 0 THEN 0.2::DOUBLE ELSE 0 END, 6) AS score FROM one) JOIN"),
     "accumulate_words": f"""WITH RECURSIVE {T.SQL["units"]}, n AS (SELECT seq_id, pos, len(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')) AS n FROM units),
 r AS (SELECT seq_id, pos, 0 AS piece, n AS total FROM n WHERE pos = 0
   UNION ALL SELECT n.seq_id, n.pos, CASE WHEN r.total >= 25 THEN r.piece + 1 ELSE r.piece END, CASE WHEN r.total >= 25 THEN n.n ELSE r.total + n.n END FROM r JOIN n ON n.seq_id = r.seq_id AND n.pos = r.pos + 1)
