@@ -1,7 +1,12 @@
-"""Learned selection: pipelines of Spark ML fitted with one sequence or domain left out."""
+"""Learned selection: pipelines of Spark ML fitted with folds of sequences left out, and ridge regressions with each sequence or each domain left out.
+
+Ridge regressions for all methods come from one aggregation, that of their normal equations. What a regression without one row would predict for it follows from
+the full one, (fitted - h y) / (1 - h) with the row's leverage h, so leaving out every sequence in turn costs no further fit.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -35,7 +40,7 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
 
 def by_fold(rows: DataFrame, features: list[str], label: str, kind: str, folds: int = 5, key: str = "seq_id", weight: str | None = None) -> DataFrame:
     """Rows with an out-of-fold `prediction` (and `probability` of class 1 for classifiers). Sequences are dealt into folds by a hash, so none is in both sides."""
-    rows = rows.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds))).persist()
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
     out = None
     for f in range(folds):  # a fixed small number of fits
         model = pipeline(kind, features, label, weight).fit(rows.where(F.col("_fold") != f))
@@ -44,10 +49,83 @@ def by_fold(rows: DataFrame, features: list[str], label: str, kind: str, folds:
     return out.drop("_fold")
 
 
+#: Bounds of what reaches the driver: methods, and pairs of a method and a domain. Each has a matrix as wide as the features.
+MOST_METHODS, MOST_PAIRS = 500, 20_000
+#: Margins by which a choice must be better before it leaves the default.
+MARGINS = (-0.01, -0.005, 0.0, 0.0025, 0.005, 0.01, 0.02, 0.04, 0.08, 0.12)
+
+
+def ridge_left_out(features: DataFrame, columns: list[str], cube: DataFrame, metric: str = "pk", by: str | None = None, penalty: float = 1.0) -> DataFrame:
+    """(seq_id, method, predicted, value): each method's metric of a sequence, predicted by ridge regression over all other sequences, or, with `by`, over those of all
+    other values of that column of `features`. Features are standardised over all sequences; the intercept is not penalised."""
+    moments = features.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scale = lambda i, c: (F.col(c) - F.lit(moments[f"m_{i}"] or 0.0)) / F.lit(moments[f"s_{i}"] or 1.0)
+    x = features.select("seq_id", *([F.col(by).alias("_g")] if by else []), F.array(F.lit(1.0), *[F.coalesce(scale(i, c), F.lit(0.0)) for i, c in enumerate(columns)]).alias("_x"))
+    rows = x.join(cube.select("seq_id", "method", F.col(metric).cast("double").alias("value")), "seq_id")
+    p, at = len(columns) + 1, lambda i: F.col("_x")[i]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.sum(at(i) * at(j)).alias(f"a_{i}_{j}") for i, j in pairs] + [F.sum(at(i) * F.col("value")).alias(f"b_{i}") for i in range(p)]
+    most = MOST_PAIRS if by else MOST_METHODS
+    normal = rows.groupBy("method", *(["_g"] if by else [])).agg(*sums).limit(most + 1).collect()
+    if len(normal) > most:
+        raise ValueError(f"more than {most} regressions")
+
+    def matrix(r) -> tuple[np.ndarray, np.ndarray]:
+        a = np.zeros((p, p))
+        for i, j in pairs:
+            a[i, j] = a[j, i] = r[f"a_{i}_{j}"]
+        return a, np.array([r[f"b_{i}"] for i in range(p)])
+
+    own = {(r["method"], r["_g"] if by else None): matrix(r) for r in normal}
+    ridge = penalty * np.diag([0.0] + [1.0] * (p - 1)) + 1e-9 * np.eye(p)
+    total: dict[str, list] = {}
+    for (m, _), (a, b) in own.items():
+        t = total.setdefault(m, [np.zeros((p, p)), np.zeros(p)])
+        t[0], t[1] = t[0] + a, t[1] + b
+    spark = features.sparkSession
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    if by:
+        fits = [(m, g, np.linalg.solve(total[m][0] - a + ridge, total[m][1] - b).tolist()) for (m, g), (a, b) in own.items()]
+        kind = dict(rows.dtypes)["_g"]
+        fits = spark.createDataFrame(fits, f"method string, _g {kind}, _w array<double>")
+        return rows.join(F.broadcast(fits), ["method", "_g"]).select("seq_id", "method", dot(F.col("_w"), F.col("_x")).alias("predicted"), "value")
+    fits = []
+    for m, (a, b) in total.items():
+        inverse = np.linalg.inv(a + ridge)
+        fits.append((m, (inverse @ b).tolist(), inverse.tolist()))
+    fits = spark.createDataFrame(fits, "method string, _w array<double>, _i array<array<double>>")
+    rows = rows.join(F.broadcast(fits), "method")
+    leverage = dot(F.transform("_i", lambda r: dot(r, F.col("_x"))), F.col("_x"))
+    return rows.select("seq_id", "method", ((dot(F.col("_w"), F.col("_x")) - leverage * F.col("value")) / F.greatest(1 - leverage, F.lit(1e-9))).alias("predicted"), "value")
+
+
+def chosen(predictions: DataFrame) -> DataFrame:
+    """(seq_id, method, predicted, value): the method of least prediction."""
+    return predictions.groupBy("seq_id").agg(F.min_by(F.struct("method", "predicted", "value"), F.struct("predicted", "method")).alias("b")).select("seq_id", "b.*")
+
+
+def guarded(predictions: DataFrame, cube: DataFrame, default: str, margins: tuple[float, ...] = MARGINS) -> DataFrame:
+    """(seq_id, method, threshold, margin, switched): the predicted best method where it beats the default by a margin, which is for each sequence the one that gives
+    all other sequences the least (pk + wd) / 2, then pk, to four digits, then the fewest switches. Margins of the others come from their own left-out predictions."""
+    known = cube.select("seq_id", "method", "pk", "wd")
+    base = predictions.where(F.col("method") == default).select("seq_id", F.col("predicted").alias("_d")).join(known.where(F.col("method") == default).select("seq_id", F.col("pk").alias("pk0"), F.col("wd").alias("wd0")), "seq_id")
+    rows = chosen(predictions).select("seq_id", "method", "predicted").join(known, ["seq_id", "method"]).join(base, "seq_id").withColumn("margin", F.col("_d") - F.col("predicted"))
+    each = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, margins)))).withColumn("_s", (F.col("margin") >= F.col("threshold")).cast("int"))
+    each = each.withColumn("_p", F.when(F.col("_s") == 1, F.col("pk")).otherwise(F.col("pk0"))).withColumn("_w", F.when(F.col("_s") == 1, F.col("wd")).otherwise(F.col("wd0")))
+    total = each.groupBy("threshold").agg(F.sum("_p").alias("_tp"), F.sum("_w").alias("_tw"), F.sum("_s").alias("_ts"), F.count("*").alias("_n"))
+    n = F.greatest(F.col("_n") - 1, F.lit(1))
+    pk, wd = (F.col("_tp") - F.col("_p")) / n, (F.col("_tw") - F.col("_w")) / n
+    best = each.join(F.broadcast(total), "threshold").groupBy("seq_id").agg(F.min_by("threshold", F.struct(F.round((pk + wd) / 2, 4), F.round(pk, 4), F.col("_ts") - F.col("_s"), F.col("threshold"))).alias("threshold"))
+    out = rows.join(best, "seq_id").withColumn("switched", (F.col("margin") >= F.col("threshold")) & (F.col("method") != default))
+    return out.select("seq_id", F.when(F.col("margin") >= F.col("threshold"), F.col("method")).otherwise(F.lit(default)).alias("method"), "threshold", "margin", "switched")
+
+
 def select_methods(features: DataFrame, columns: list[str], cube: DataFrame, kind: str = "ridge", metric: str = "pk", folds: int = 5, margin: float = 0.0, default: str | None = None) -> DataFrame:
     """(seq_id, method, predicted, value): for each sequence the method of least predicted metric, out of fold. With a default and a margin, the choice only leaves the
     default if it is predicted to be better by more than the margin."""
-    methods = [r[0] for r in cube.select("method").distinct().orderBy("method").limit(500).collect()]
+    methods = [r[0] for r in cube.select("method").distinct().orderBy("method").limit(MOST_METHODS + 1).collect()]
+    if len(methods) > MOST_METHODS:
+        raise ValueError(f"more than {MOST_METHODS} methods")
     every = None
     for m in methods:  # a short list of methods
         rows = features.join(cube.where(F.col("method") == m).select("seq_id", F.col(metric).alias("y")), "seq_id")

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Points that are compared with each other: means of methods.
+MOST_METHODS = 5000
+
+
 def good(cube: DataFrame) -> DataFrame:
     return cube.where("error is null")
 
@@ -40,11 +44,12 @@ def oracle(cube: DataFrame) -> DataFrame:
 
 
 def leave_one_out(cube: DataFrame) -> DataFrame:
-    """(seq_id, method, pk, wd): for each sequence the method best in the mean over the others, among those that have the sequence."""
-    w = Window.partitionBy("method")
+    """(seq_id, method, pk, wd): for each sequence the method best in the mean over the others, among those that have the sequence. Totals of methods are
+    aggregated before they meet the sequences' rows."""
     x = good(cube)
-    others = lambda c: F.round((F.sum(c).over(w) - F.col(c)) / (F.count("*").over(w) - 1), 9)
-    x = x.withColumn("_n", F.count("*").over(w)).withColumn("_p", others("pk")).withColumn("_w", others("wd")).where("_n > 1")
+    total = x.groupBy("method").agg(F.sum("pk").alias("_tp"), F.sum("wd").alias("_tw"), F.count("*").alias("_n")).where("_n > 1")
+    others = lambda t, c: F.round((F.col(t) - F.col(c)) / (F.col("_n") - 1), 9)
+    x = x.join(total, "method").withColumn("_p", others("_tp", "pk")).withColumn("_w", others("_tw", "wd"))
     r = x.groupBy("seq_id").agg(F.min_by(F.struct("method", "pk", "wd"), F.struct("_p", "_w", "method")).alias("b"))
     return r.select("seq_id", "b.method", "b.pk", "b.wd")
 
@@ -56,8 +61,10 @@ def shortlist(cube: DataFrame, top: int = 25, share: float = 0.8) -> DataFrame:
 
 
 def pareto(points: DataFrame) -> DataFrame:
-    """(method, dominated_by): how many methods are as good in pk, wd and f1 and better in one. Over methods, of which there are few."""
+    """(method, dominated_by): how many methods are as good in pk, wd and f1 and better in one. Points are a short list, MOST_METHODS at most."""
     m = points.select("method", "pk", "wd", "f1")
+    if m.limit(MOST_METHODS + 1).count() > MOST_METHODS:
+        raise ValueError(f"more than {MOST_METHODS} points")
     o = m.select(F.col("method").alias("m2"), F.col("pk").alias("p2"), F.col("wd").alias("w2"), F.col("f1").alias("g2"))
     as_good = (F.col("p2") <= F.col("pk")) & (F.col("w2") <= F.col("wd")) & (F.col("g2") >= F.col("f1"))
     better = (F.col("p2") < F.col("pk")) | (F.col("w2") < F.col("wd")) | (F.col("g2") > F.col("f1"))
@@ -65,6 +72,16 @@ def pareto(points: DataFrame) -> DataFrame:
     return m.join(hits, "method", "left").select("method", F.coalesce("dominated_by", F.lit(0)).alias("dominated_by"))
 
 
+def operating_points(points: DataFrame, deployable: str = "role <> 'oracle'") -> DataFrame:
+    """(method, dominated_by, is_best_pk, is_best_wd, is_best_balanced, is_best_deployable, is_best_hits) of points (method, role, pk, wd, f1): which of them is best by
+    (pk, wd), (wd, pk), ((pk + wd) / 2, pk), the same among deployable ones, and by f1."""
+    balance = (F.col("pk") + F.col("wd")) / 2
+    keys = {"is_best_pk": F.struct("pk", "wd", "method"), "is_best_wd": F.struct("wd", "pk", "method"), "is_best_balanced": F.struct(balance, F.col("pk"), F.col("method")), "is_best_hits": F.struct(-F.col("f1"), F.col("method"))}
+    best = points.agg(*[F.min_by("method", k).alias(n) for n, k in keys.items()], F.min_by("method", F.when(F.expr(deployable), F.struct(balance.alias("b"), F.col("pk"), F.col("method")))).alias("is_best_deployable"))
+    names = [*keys, "is_best_deployable"]
+    return pareto(points).join(F.broadcast(best)).select("method", "dominated_by", *[(F.col("method") == F.col(n)).alias(n) for n in names])
+
+
 def domain_rollup(cube: DataFrame, domains: DataFrame) -> DataFrame:
     """(domain, method, n, pk, wd) with totals of each domain and of all; null stands for all."""
     return good(cube).join(domains, "seq_id").rollup("domain", "method").agg(F.count("*").alias("n"), F.avg("pk").alias("pk"), F.avg("wd").alias("wd"))
@@ -108,8 +125,8 @@ def union_renamed(cubes: list[tuple[str, DataFrame]]) -> DataFrame:
     for i, (stem, c) in enumerate(cubes):
         c = c.withColumn("_ord", F.lit(i)).withColumn("_stem", F.lit(stem))
         every = c if every is None else every.unionByName(c, allowMissingColumns=True)
-    first = F.min("_ord").over(Window.partitionBy("method"))
-    return every.withColumn("_f", first).withColumn("method", F.when(F.col("_ord") == F.col("_f"), F.col("method")).otherwise(F.concat("_stem", F.lit("::"), "method"))).drop("_ord", "_stem", "_f")
+    first = every.groupBy("method").agg(F.min("_ord").alias("_f"))
+    return every.join(first, "method").withColumn("method", F.when(F.col("_ord") == F.col("_f"), F.col("method")).otherwise(F.concat("_stem", F.lit("::"), "method"))).drop("_ord", "_stem", "_f")
 
 
 def video_features(units: DataFrame) -> DataFrame:

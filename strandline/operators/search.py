@@ -39,9 +39,11 @@ def grid(spark: SparkSession, **values: list) -> DataFrame:
 
 def random_weights(spark: SparkSession, names: list[str], n: int, seed: int = 42) -> DataFrame:
     """n points of weights that sum to one, uniform on the simplex, from a seeded generator."""
+    if n > MOST_POINTS:
+        raise ValueError(f"{n} points; at most {MOST_POINTS}")
     rng = random.Random(seed)
     rows = []
-    for i in range(min(n, MOST_POINTS)):
+    for i in range(n):
         x = [rng.expovariate(1) for _ in names]
         rows.append((i, *(v / sum(x) for v in x)))
     return spark.createDataFrame(rows, ["point", *names])
@@ -50,7 +52,9 @@ def random_weights(spark: SparkSession, names: list[str], n: int, seed: int = 42
 def search_top_k(scores: DataFrame, refs: DataFrame, sizes: DataFrame, points: DataFrame) -> DataFrame:
     """(point, k, n, pk, wd): means over sequences of the k best boundaries for each point (point, k). Boundaries are ranked once; a point only cuts the ranking."""
     ranked = scores.withColumn("_r", F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("score"), "boundary")))
-    pairs = [(r["point"], r["k"]) for r in points.select("point", "k").limit(MOST_POINTS).collect()]
+    pairs = [(r["point"], r["k"]) for r in points.select("point", "k").limit(MOST_POINTS + 1).collect()]
+    if len(pairs) > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points")
     ranked = ranked.where(F.col("_r") <= max(k for _, k in pairs))
     point = F.explode(F.array(*[F.struct(F.lit(p).alias("point"), F.lit(k).alias("k")) for p, k in pairs])).alias("_p")
     every = lambda df: df.select("*", point).select("*", "_p.k").withColumn("seq_id", F.struct("seq_id", "_p.point", "_p.k"))
