@@ -115,3 +115,11 @@ def ocr_change(frames: DataFrame) -> DataFrame:
     n = frames.groupBy("seq_id").agg(F.count("*").alias("n"))
     got = rows.withColumn("s", s).select("seq_id", spread).select("seq_id", "x.boundary", "x.score").join(n, "seq_id").where("boundary > 0 and boundary < n")
     return got.groupBy("seq_id", "boundary").agg(F.max("score").alias("score"))
+
+
+def auto_count(scores: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(seq_id, n_subtopics): scores over mean + half a deviation, and one, but two at least and a third of the units at most."""
+    w = Window.partitionBy("seq_id")
+    rows = scores.withColumn("_over", F.col("score") > F.round(F.avg("score").over(w) + 0.5 * F.stddev_pop("score").over(w), 9))
+    n = rows.groupBy("seq_id").agg(F.count_if("_over").alias("_n")).join(sizes, "seq_id")
+    return n.select("seq_id", F.least(F.greatest(F.lit(2), F.col("_n") + 1), F.floor(F.col("n") / 3)).cast("int").alias("n_subtopics"))

@@ -173,3 +173,45 @@ def length_audit(boundaries: DataFrame, sizes: DataFrame, short: int = 5) -> Dat
     """(seq_id, n_segments, shortest, longest, mean_length, n_short)."""
     length = F.col("end") - F.col("start")
     return segments(boundaries, sizes).groupBy("seq_id").agg(F.count("*").alias("n_segments"), F.min(length).alias("shortest"), F.max(length).alias("longest"), F.avg(length).alias("mean_length"), F.count_if(length < short).alias("n_short"))
+
+
+#: Tolerances of the relaxed metrics, in units and in seconds.
+UNIT_TOLERANCES, TIME_TOLERANCES = (1, 2, 3, 5, 10), (10, 30, 60)
+
+
+def in_seconds(boundaries: DataFrame, sizes: DataFrame, starts: DataFrame) -> DataFrame:
+    """(seq_id, boundary): whole seconds of the starts (seq_id, pos, start) of the units at boundaries, within the duration of sizes (seq_id, n, duration)."""
+    rows = inside(boundaries, sizes.select("seq_id", "n")).join(starts.select("seq_id", F.col("pos").alias("boundary"), "start"), ["seq_id", "boundary"]).join(sizes.select("seq_id", "duration"), "seq_id")
+    return rows.select("seq_id", F.greatest(F.lit(1), F.least(half_even(F.col("start")).cast("int"), F.ceil("duration").cast("int") - 1)).alias("boundary")).distinct()
+
+
+def relaxed(hyp: DataFrame, ref: DataFrame, sizes: DataFrame, starts: DataFrame) -> DataFrame:
+    """Strict and relaxed metrics of each sequence: those of `evaluate` with F1 up to ten units, F1 within seconds, counts, their error and ratio, and the mean best overlap
+    of segments. `sizes` is (seq_id, n, duration), `starts` (seq_id, pos, start) in seconds."""
+    n = sizes.select("seq_id", "n")
+    unit = evaluate(hyp, ref, n, UNIT_TOLERANCES).select("seq_id", "pk", "wd", "bs", *[f"f1_t{t}" for t in UNIT_TOLERANCES])
+    seconds = sizes.select("seq_id", (F.ceil("duration") + 1).cast("int").alias("n"))
+    rows = lists(in_seconds(hyp, sizes, starts), in_seconds(ref, sizes, starts), seconds)
+    h, r = F.size("hyp"), F.size("ref")
+    out = []
+    for t in TIME_TOLERANCES:
+        rows = matched(rows, t).withColumnRenamed("taken", f"_t{t}")
+        out.append(F.when((h == 0) & (r == 0), 1.0).otherwise(F.coalesce(F.try_divide(2.0 * F.size(f"_t{t}"), h + r), F.lit(0.0))).alias(f"time_f1_{t}s"))
+    rows = rows.select("seq_id", *out)
+    counts = lists(hyp, ref, n).select("seq_id", F.size("ref").alias("n_reference"), F.size("hyp").alias("n_predicted"))
+    error = F.col("n_predicted") - F.col("n_reference")
+    counts = counts.withColumn("count_error", error).withColumn("abs_count_error", F.abs(error)).withColumn("boundary_ratio", F.col("n_predicted") / F.greatest(F.lit(1), F.col("n_reference")))
+    return unit.join(rows, "seq_id").join(counts, "seq_id").join(best_overlap(hyp, ref, n).withColumnRenamed("mean_iou", "mean_best_tiou"), "seq_id")
+
+
+def agreement(a: DataFrame, b: DataFrame, sizes: DataFrame, tolerance: int = 1) -> DataFrame:
+    """(seq_id, kappa, precision, recall, f1) of two annotators' boundaries, to four digits."""
+    f = tolerance_f1(a, b, sizes, tolerance)
+    return kappa_asym(a, b, sizes, tolerance).join(f, "seq_id").select("seq_id", *[F.round(c, 4).alias(c) for c in ("kappa", "precision", "recall", "f1")])
+
+
+def agreement_summary(chapters: DataFrame, subtopics: DataFrame) -> DataFrame:
+    """(n, kappa_chapter, f1_chapter, kappa_subtopic, f1_subtopic): means over sequences, to four digits."""
+    rows = chapters.select("seq_id", F.col("kappa").alias("k1"), F.col("f1").alias("f1")).join(subtopics.select("seq_id", F.col("kappa").alias("k2"), F.col("f1").alias("f2")), "seq_id")
+    mean = lambda c, n: F.round(F.avg(c), 4).alias(n)
+    return rows.agg(F.count("*").alias("n"), mean("k1", "kappa_chapter"), mean("f1", "f1_chapter"), mean("k2", "kappa_subtopic"), mean("f2", "f1_subtopic"))
