@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import gaps, grouped, metrics, select, text
 from ..operators import segmenters as S
 from ..sources import tables as T
-from . import registry
+from . import registry, sql_splits
 from .battery import battery
 from .common import fixed, rounded
 from .q_gaps import frame_sql, mean_sql
@@ -109,3 +109,4 @@ SQL: dict[str, str] = {
     "bert_style": depth_sql("bert_seg", 5),
     "cosine_drop": f"{halves_sql(-3, -1, 0, 2)} SELECT seq_id, 'cosine_drop' AS method, pos::BIGINT AS boundary FROM m JOIN kk USING (seq_id) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY list_dot_product(a, b), pos) <= k",
 }
+SQL |= sql_splits.SQL
