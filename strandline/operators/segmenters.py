@@ -507,12 +507,11 @@ def texttiling(sentences: list[list[str]], w: int = 20, k: int = 10) -> list[int
     v = term_vectors([tokens[i * w : (i + 1) * w if i + 1 < blocks else n] for i in range(blocks)])
     if blocks < 3:
         return []
-    g = np.arange(1, blocks)
-    sums = lambda a, e: frame_means(v, a, e) * np.maximum(np.clip(e, 0, blocks) - np.clip(a, 0, blocks), 1)[:, None]
-    s = cosines(sums(g - k, g), sums(g, g + k))
+    g, p = np.arange(1, blocks), prefix(v)
+    s = np.round(cosines(p[g] - p[np.maximum(g - k, 0)], p[np.minimum(g + k, blocks)] - p[g]), 9)  # whole counts, so ties are ties
     d = np.maximum.accumulate(s) + np.maximum.accumulate(s[::-1])[::-1] - 2 * s
-    x = d.copy()
-    x[1:-1] = (d[:-2] + d[1:-1] + d[2:]) / 3
+    x = np.round(d, 9)
+    x[1:-1] = np.round((d[:-2] + d[1:-1] + d[2:]) / 3, 9)
     ends = np.cumsum([len(t) for t in sentences])
     out = set()
     for i in range(1, len(x) - 1):

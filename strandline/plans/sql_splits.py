@@ -181,6 +181,89 @@ def resolutions() -> str:
     return f"{BASE}, {', '.join(members)}, {mean_maps('mr', maps)}, {triple}, {mean_maps('tr', ['t1', 't2', 't3'])} {named('triple_model', best('tr', K7))} UNION ALL {named('multi_res_cross_e5', best('mr', K7))}"
 
 
+def optimal() -> str:
+    """Dynamic programming: a row for each number of segments with the best value and the first best predecessor of each end, then the way back."""
+    gain = squared("a", "e")
+    return f"""{BASE}, {prefix("p", "v1", 32)}, g AS (SELECT a.seq_id, a.i AS s, e.i AS e, {gain} AS gain FROM p a JOIN p e ON a.seq_id = e.seq_id AND a.i < e.i),
+f AS (SELECT seq_id, 0 AS j, list_transform(range(0, n + 1), lambda x: CASE WHEN x = 0 THEN 0 ELSE '-infinity'::DOUBLE END) AS val, []::BIGINT[] AS back FROM kk
+  UNION ALL SELECT seq_id, j + 1, list_prepend('-infinity'::DOUBLE, list(v ORDER BY e)), list(b ORDER BY e) FROM (
+    SELECT f.seq_id, f.j, g.e, max(f.val[g.s + 1] + g.gain) AS v, arg_max(g.s, (f.val[g.s + 1] + g.gain, -g.s)) AS b FROM f JOIN g USING (seq_id) JOIN kk USING (seq_id) WHERE f.j < least(k, n) GROUP BY f.seq_id, f.j, g.e) GROUP BY seq_id, j),
+w AS (SELECT seq_id, least(k, n) AS j, n::BIGINT AS e FROM kk WHERE k >= 2 UNION ALL SELECT w.seq_id, w.j - 1, f.back[w.e] FROM w JOIN f ON f.seq_id = w.seq_id AND f.j = w.j WHERE w.j > 1)
+{named("dp", "SELECT seq_id, e AS boundary FROM w JOIN sizes USING (seq_id) WHERE e < n")}"""
+
+
+DEPTH = f"""dg AS (SELECT seq_id, boundary, score AS g FROM o5), dl AS (SELECT seq_id, list(1 - g ORDER BY boundary) AS s, count(*) AS m FROM dg GROUP BY seq_id),
+dk AS (SELECT list(exp(-0.5 * pow(d / 1.5, 2)) ORDER BY d) AS w, sum(exp(-0.5 * pow(d / 1.5, 2))) AS t FROM range(-6, 7) r(d)),
+ds AS (SELECT seq_id, i, list_sum(list_transform(range(-6, 7), lambda d: w[d + 7] / t * s[CASE WHEN ((i - 1 + d) % (2 * m) + 2 * m) % (2 * m) < m THEN ((i - 1 + d) % (2 * m) + 2 * m) % (2 * m) ELSE 2 * m - 1 - ((i - 1 + d) % (2 * m) + 2 * m) % (2 * m) END + 1])) AS x
+  FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM dl), dk),
+db AS (SELECT *, CASE WHEN lag(x) OVER o >= x THEN NULL ELSE i END AS lb, CASE WHEN lead(x) OVER o >= x THEN NULL ELSE i END AS rb FROM ds WINDOW o AS (PARTITION BY seq_id ORDER BY i)),
+de AS (SELECT *, max(lb) OVER (PARTITION BY seq_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS lo, min(rb) OVER (PARTITION BY seq_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM db),
+dp AS (SELECT e.seq_id, e.i AS boundary, 0.5 * (a.x - e.x) + 0.5 * (b.x - e.x) AS score FROM de e JOIN ds a ON a.seq_id = e.seq_id AND a.i = e.lo JOIN ds b ON b.seq_id = e.seq_id AND b.i = e.hi)"""
+
+
+def numbers() -> str:
+    """Counts of segments chosen by a criterion, by the elbow of split scores, and by the variance of neighbours' similarities."""
+    edges = "list_sort(list_concat([0, n], list_filter(list_transform(list_zip(cuts, range(1, len(cuts) + 1)), lambda z: CASE WHEN z[2] < k2 THEN z[1] END), lambda x: x IS NOT NULL)))"
+    return f"""{PAIR}, {splits("x", "v1", "greatest(least(30, n // 3) + 1, least(30, n // 4))")}, {smooth("s7", "v1", 7)}, {splits("y", "s7", "least(40, n // 4)")},
+xl AS (SELECT seq_id, list(boundary ORDER BY ord) AS cuts FROM x GROUP BY seq_id),
+be AS (SELECT seq_id, k2, unnest({edges}[1:len({edges}) - 1]) AS lo, unnest({edges}[2:]) AS hi FROM (SELECT seq_id, n, cuts, unnest(range(2, least(30, n // 4) + 1)) AS k2 FROM xl JOIN sizes USING (seq_id))),
+bc AS (SELECT b.seq_id, k2, sum(-list_dot_product({LESS.format(a="e.p", b="a.p")}, {LESS.format(a="e.p", b="a.p")})) + (k2 - 1) * ln(any_value(z.n)) AS cost FROM be b JOIN x_p a ON a.seq_id = b.seq_id AND a.i = b.lo JOIN x_p e ON e.seq_id = b.seq_id AND e.i = b.hi JOIN sizes z ON z.seq_id = b.seq_id GROUP BY b.seq_id, k2),
+bk AS (SELECT seq_id, arg_min(k2, (cost, k2)) AS kb FROM bc GROUP BY seq_id),
+el AS (SELECT seq_id, row_number() OVER w AS i, lead(score) OVER w - 2 * score + lag(score) OVER w AS d FROM x JOIN sizes USING (seq_id) WHERE ord <= least(30, n // 3) WINDOW w AS (PARTITION BY seq_id ORDER BY score DESC)),
+ek AS (SELECT seq_id, greatest(2, least(arg_min(i, (d, i)) + 1, least(30, any_value(n) // 3))) AS ke FROM el JOIN sizes USING (seq_id) WHERE d IS NOT NULL GROUP BY seq_id),
+nr AS (SELECT a.seq_id, b.pos AS g, list_dot_product(a.vec, b.vec) AS s FROM s7 a JOIN s7 b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1),
+nv AS (SELECT nr.seq_id, k2, var_pop(s) AS v FROM nr JOIN (SELECT seq_id, n, unnest(range(2, least(40, n // 4) + 1)) AS k2 FROM sizes) z USING (seq_id) LEFT JOIN y ON y.seq_id = nr.seq_id AND y.boundary = nr.g AND y.ord < k2 WHERE y.ord IS NULL GROUP BY nr.seq_id, k2),
+nd AS (SELECT seq_id, k2 - 1 AS e, v - lag(v) OVER (PARTITION BY seq_id ORDER BY k2) AS d FROM nv), vk AS (SELECT seq_id, greatest(2, least(arg_min(e, (d, e)), any_value(n) // 4)) AS kv FROM nd JOIN sizes USING (seq_id) WHERE d IS NOT NULL GROUP BY seq_id),
+{splits("x1", "s1", "n - 1")}, {splits("x2", "s2", "n - 1")}, f1 AS (SELECT x1.* FROM x1 JOIN vk USING (seq_id) JOIN sizes USING (seq_id) WHERE ord <= least(3 * kv, n - 1) - 1), f2 AS (SELECT x2.* FROM x2 JOIN vk USING (seq_id) JOIN sizes USING (seq_id) WHERE ord <= least(3 * kv, n - 1) - 1), {mean_maps("fm", ["f1", "f2"])}
+{named("divisive_bic", "SELECT seq_id, boundary FROM x JOIN bk USING (seq_id) WHERE ord <= kb - 1")} UNION ALL {named("divisive_elbow", "SELECT seq_id, boundary FROM x JOIN ek USING (seq_id) WHERE ord <= ke - 1")} UNION ALL
+{named("cross_e5_gapvar", "SELECT seq_id, boundary FROM fm JOIN vk USING (seq_id) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, boundary) <= kv")}"""
+
+
+def tiles() -> str:
+    words = "regexp_extract_all(lower(text), '([a-z'']+)', 1)"
+    return f"""{T.with_("units")}, s AS (SELECT seq_id, pos, {words} AS w FROM units), z AS (SELECT seq_id, flatten(list(w ORDER BY pos)) AS w, len(flatten(list(w ORDER BY pos))) AS t, count(*) AS n FROM s GROUP BY seq_id),
+y AS (SELECT *, least(20, greatest(3, t // 10)) AS b FROM z), x AS (SELECT *, greatest(1, t // b) AS m, least(10, greatest(2, greatest(1, t // b) // 3)) AS k FROM y WHERE n >= 3),
+c AS (SELECT seq_id, least(i // b, m - 1) AS g, term, m, k, count(*) AS c FROM (SELECT seq_id, b, m, k, unnest(w) AS term, unnest(range(0, t)) AS i FROM x WHERE m >= 3) GROUP BY ALL),
+l AS (SELECT seq_id, g, term, sum(c) AS c FROM (SELECT seq_id, term, c, m, unnest(range(g + 1, g + k + 1)) AS g FROM c) WHERE g < m GROUP BY ALL), r AS (SELECT seq_id, g, term, sum(c) AS c FROM (SELECT seq_id, term, c, unnest(range(g - k + 1, g + 1)) AS g FROM c) WHERE g > 0 GROUP BY ALL),
+d AS (SELECT l.seq_id, l.g, sum(l.c * r.c) AS d FROM l JOIN r USING (seq_id, g, term) GROUP BY 1, 2), nl AS (SELECT seq_id, g, sqrt(sum(c * c)) AS a FROM l GROUP BY 1, 2), nr AS (SELECT seq_id, g, sqrt(sum(c * c)) AS b FROM r GROUP BY 1, 2),
+q AS (SELECT seq_id, g, round(coalesce(d, 0) / (a * b), 9) AS s FROM nl JOIN nr USING (seq_id, g) LEFT JOIN d USING (seq_id, g)),
+e AS (SELECT seq_id, g, max(s) OVER (o ROWS UNBOUNDED PRECEDING) + max(s) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * s AS d FROM q WINDOW o AS (PARTITION BY seq_id ORDER BY g)),
+f AS (SELECT seq_id, g, round(coalesce((lag(d) OVER o + d + lead(d) OVER o) / 3, d), 9) AS x FROM e WINDOW o AS (PARTITION BY seq_id ORDER BY g)),
+h AS (SELECT seq_id, g FROM f QUALIFY x > 0 AND x >= lag(x) OVER o AND x > lead(x) OVER o WINDOW o AS (PARTITION BY seq_id ORDER BY g)),
+u AS (SELECT seq_id, pos, sum(len(w)) OVER (PARTITION BY seq_id ORDER BY pos) AS e FROM s)
+SELECT DISTINCT seq_id, 'texttiling' AS method, boundary FROM (SELECT h.seq_id, h.g, any_value(n) AS n, min(u.pos)::BIGINT AS boundary FROM h JOIN x USING (seq_id) JOIN u ON u.seq_id = h.seq_id AND u.e >= least(h.g * b, t) GROUP BY h.seq_id, h.g) WHERE boundary > 0 AND boundary < n"""
+
+
+def overlaps() -> str:
+    """Greedy matches of segments in the order of prediction, each with the best free reference."""
+    from .q_metrics import BASE as METRICS
+
+    seg = lambda n, src: f"{n} AS (SELECT seq_id, list(struct_pack(i := o, s := start, e := fin) ORDER BY o) AS l FROM (SELECT seq_id, start::BIGINT AS start, coalesce(lead(start) OVER w, n)::BIGINT AS fin, row_number() OVER w AS o FROM (SELECT seq_id, boundary AS start FROM {src} UNION SELECT seq_id, 0 FROM sizes) JOIN sizes USING (seq_id) WINDOW w AS (PARTITION BY seq_id ORDER BY start)) GROUP BY seq_id)"
+    iou = "greatest(0, least(r.e, x[2]) - greatest(r.s, x[1])) / (greatest(r.e, x[2]) - least(r.s, x[1]))"
+    free = f"list_sort(list_transform(list_filter(rl, lambda r: NOT list_contains(acc, r.i)), lambda r: struct_pack(x := -({iou}), i := r.i)))[1]"
+    tp = lambda t: f"len(list_reduce(list_transform(pl, lambda p: [p.s, p.e]), lambda acc, x: CASE WHEN coalesce(-({free}).x >= {t}::DOUBLE, false) THEN list_append(acc, ({free}).i) ELSE acc END, []::BIGINT[]))"
+    each = " UNION ALL ".join(f"SELECT seq_id, {t}::DOUBLE AS threshold, round(2 * {tp(t)} / (len(pl) + len(rl)), 6) + 0.0 AS f1 FROM b" for t in (0.3, 0.5, 0.7))
+    return f"{METRICS}, {seg('ps', 'hyp')}, {seg('rs', 'refs')}, b AS (SELECT p.seq_id, p.l AS pl, r.l AS rl FROM ps p JOIN rs r USING (seq_id)) {each}"
+
+
+def grid() -> str:
+    from .q_metrics import BASE as METRICS
+    from .q_metrics import counted
+
+    parts, rows = [], []
+    for i, k in enumerate((3, 6, 9, 12)):
+        parts.append(f"h{i} AS (SELECT seq_id, boundary FROM one QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, boundary) <= {k}), {counted(f'h{i}', 'refs', f'_{i}')}")
+        rows.append(f"SELECT {i}::BIGINT AS point, {k}::BIGINT AS k, count(*) AS n, round(avg(pk), 6) + 0.0 AS pk, round(avg(wd), 6) + 0.0 AS wd FROM m_{i}")
+    return f"{METRICS}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+def shortest(scored: bool) -> str:
+    from .q_gaps import ONE
+
+    dense = "dn AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, boundary) <= 16)"
+    return f"{BASE}, {ONE}, {dense}, {minimum('mf', 'dn', 4, 'dn' if scored else None)} SELECT seq_id, boundary FROM mf"
+
+
 ROWS = "SELECT seq_id, boundary FROM"
 SQL = {
     "divisive": f"{BASE}, {splits('x', 'v1', 'k')} {named('divisive', f'{ROWS} x')}",
@@ -201,4 +284,12 @@ SQL = {
     "iterative": iterative(),
     "constrained_vote": f"{PAIR}, {splits('x1', 's1', K7, 32, 10)}, {splits('x2', 's2', K7, 32, 10)}, vt AS (SELECT seq_id, boundary, sum(w) AS score FROM (SELECT seq_id, boundary, 2 AS w FROM x1 UNION ALL SELECT seq_id, boundary, 1 FROM x2) GROUP BY 1, 2), vb AS ({best('vt', f'2 * {K7}')}), {minimum('vm', 'vb', 10)} "
     + named("cross_e5_constrained_minlen10", f"SELECT seq_id, boundary FROM (SELECT vm.*, {K7} AS c FROM vm JOIN kk USING (seq_id)) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY boundary) <= c"),
+    "dp_optimal": optimal(),
+    "depth_embeddings": f"{BASE}, {one_sided('o5', 'v1', 5)}, {DEPTH} {named('depth', best('dp', 'k - 1'))}",
+    "k_selection": numbers(),
+    "texttiling": tiles(),
+    "segment_f1": overlaps(),
+    "grid_search": grid(),
+    "min_segment_filter": shortest(False),
+    "score_aware_min_segment": shortest(True),
 }
