@@ -162,3 +162,19 @@ o AS (SELECT id, list(boundary::INT ORDER BY score DESC, boundary) AS b, any_val
 h AS (SELECT id AS seq_id, unnest(list_reduce(list_transform(b, lambda x: [x]), lambda acc, x: {PICK}, []::INT[])) AS boundary FROM o),
 rr AS (SELECT id AS seq_id, boundary FROM refs JOIN key USING (seq_id)), zz AS (SELECT id AS seq_id, n FROM key), {counted("h", "rr").replace("FROM sizes LEFT JOIN", "FROM zz LEFT JOIN")}
 SELECT split_part(seq_id, ':', 2) AS signal, count(*) AS n, round(avg(pk), 6) + 0.0 AS pk, round(avg(wd), 6) + 0.0 AS wd FROM m GROUP BY 1"""
+
+
+def search_sql() -> str:
+    """The cube of candidate_search: a hypothesis for each point and sequence, and its metrics."""
+    ok = "len(acc) < c AND len(list_filter(acc, lambda y: abs(y - x[1]) <= w OR abs(y - x[1]) < m)) = 0 AND x[1] >= m AND n - x[1] >= m"
+    points = ", ".join(f"('frac{round(100 * f)}_min{m}_nms{w}', {f}::DOUBLE, {m}, {w})" for f, m, w in POINTS)
+    return f"""{TABLE}, vs AS ({weighted_sql(C.VOTE)}), pt(method, f, m, w) AS (VALUES {points}), key AS (SELECT seq_id, n, t, method, greatest(1, round_even(t * f, 0)) AS c, m, w, seq_id::VARCHAR || ':' || method AS id FROM sizes JOIN t USING (seq_id), pt),
+o AS (SELECT id, n, c, m, w, list(boundary::INT ORDER BY round(score, 6) DESC, boundary) AS b FROM vs JOIN key USING (seq_id) GROUP BY ALL),
+h AS (SELECT id AS seq_id, unnest(list_reduce(list_transform(b, lambda x: [x]), lambda acc, x: CASE WHEN {ok} THEN list_append(acc, x[1]) ELSE acc END, []::INT[])) AS boundary FROM o),
+rr AS (SELECT id AS seq_id, boundary FROM refs JOIN key USING (seq_id)), zz AS (SELECT id AS seq_id, n FROM key), {counted("h", "rr", "x").replace("FROM sizes LEFT JOIN", "FROM zz LEFT JOIN")},
+qb AS (SELECT split_part(seq_id, ':', 1)::BIGINT AS seq_id, split_part(seq_id, ':', 2) AS method, pk, wd FROM mx)"""
+
+
+SQL["candidate_search"] = f"{search_sql()} SELECT method, count(*) AS n, round(avg(pk), 6) + 0.0 AS pk, round(avg(wd), 6) + 0.0 AS wd FROM qb GROUP BY method"
+SQL["candidate_search_left_out"] = f"""{search_sql()}, lo AS (SELECT *, round((sum(pk) OVER q - pk) / (count(*) OVER q - 1), 9) AS p2, round((sum(wd) OVER q - wd) / (count(*) OVER q - 1), 9) AS w2 FROM qb WINDOW q AS (PARTITION BY method))
+SELECT seq_id, method, round(pk, 6) + 0.0 AS pk, round(wd, 6) + 0.0 AS wd FROM lo QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY p2, w2, method) = 1"""

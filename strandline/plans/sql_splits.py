@@ -112,9 +112,9 @@ CHUNKS = f"""c1 AS (SELECT seq_id, pos // 4 AS pos, {mean_sql("list(vec ORDER BY
 def minimum(out: str, src: str, least: int, scores: str | None = None) -> str:
     """Boundaries (seq_id, boundary) without those that make segments shorter than `least`, dropped one at a time."""
     weaker = "sc[b[i]] < sc[b[i - 1]]" if scores else "false"
-    listed = f", (SELECT list(coalesce(s.score, 0) ORDER BY g.pos) FROM v1 g LEFT JOIN {scores} s ON s.seq_id = g.seq_id AND s.boundary = g.pos WHERE g.seq_id = z.seq_id AND g.pos > 0) AS sc" if scores else ", []::DOUBLE[] AS sc"
+    listed = f"SELECT g.seq_id, list(coalesce(s.score, 0)::DOUBLE ORDER BY g.pos) AS sc FROM v1 g LEFT JOIN {scores} s ON s.seq_id = g.seq_id AND s.boundary = g.pos WHERE g.pos > 0 GROUP BY g.seq_id" if scores else "SELECT seq_id, []::DOUBLE[] AS sc FROM sizes"
     lengths = "list_transform(list_zip(list_append(b, n), list_prepend(0, b)), lambda z: z[1] - z[2])"
-    return f"""{out}_s AS (SELECT seq_id, n, list(boundary::BIGINT ORDER BY boundary) AS b{listed} FROM {src} JOIN sizes z USING (seq_id) GROUP BY seq_id, n),
+    return f"""{out}_l AS ({listed}), {out}_s AS (SELECT seq_id, n, list(boundary::BIGINT ORDER BY boundary) AS b, any_value(sc) AS sc FROM {src} JOIN sizes USING (seq_id) JOIN {out}_l USING (seq_id) GROUP BY seq_id, n),
 {out}_r AS (SELECT seq_id, n::BIGINT AS n, b, sc, 0 AS step FROM {out}_s
   UNION ALL SELECT seq_id, n, list_concat(b[1:j - 1], b[j + 1:]), sc, step + 1 FROM (
     SELECT *, CASE WHEN i = 1 THEN 1 WHEN i = len(b) + 1 THEN len(b) WHEN {weaker} THEN i ELSE i - 1 END AS j FROM (
@@ -219,6 +219,33 @@ nd AS (SELECT seq_id, k2 - 1 AS e, v - lag(v) OVER (PARTITION BY seq_id ORDER BY
 {named("cross_e5_gapvar", "SELECT seq_id, boundary FROM fm JOIN vk USING (seq_id) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, boundary) <= kv")}"""
 
 
+def keyed(counted, names: str = "h", refs: str = "rr", sizes: str = "zz") -> str:
+    """The members of pk and wd over sequences whose id holds a method too."""
+    return counted(names, refs).replace("FROM sizes LEFT JOIN", f"FROM {sizes} LEFT JOIN")
+
+
+def battery() -> str:
+    """All methods of the battery as one relation of hypotheses, and their metrics."""
+    from .q_metrics import BS, LISTS, counted, f1_sql
+
+    inner = optimal().split(f"{BASE}, ", 1)[1]
+    dp_members, dp_query = inner[: inner.index("SELECT seq_id, 'dp'")].rstrip(), inner[inner.index("SELECT seq_id, 'dp'") :]
+    it_members, it_query = passes("iterative_cross_e5", "ia", K7, "least(k, n - 1) * 3 + 2", 2, 0.5)
+    cos = "cs AS (SELECT seq_id, boundary, max(1 - score) OVER (o ROWS UNBOUNDED PRECEDING) + max(1 - score) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * (1 - score) AS score FROM og WINDOW o AS (PARTITION BY seq_id ORDER BY boundary))"
+    hyp = " UNION ALL ".join([
+        named("cosine", best("cs", "k - 1")), named("divisive", f"{ROWS} ba"), named("divisive_smooth9", f"{ROWS} bb"), dp_query, named("treeseg", f"{ROWS} bc"), named("depth", best("dp", "k - 1")), named("cross_e5_frac70", f"{ROWS} cb"),
+        named("cross_e5_frac70_minlen10", f"{ROWS} cm"), it_query, named("hierarchical", best("og", "least(greatest(2, round_even(0.3::DOUBLE * k, 0)), k) - 1")),
+    ])
+    methods = "['cosine', 'divisive', 'divisive_smooth9', 'dp', 'treeseg', 'depth', 'cross_e5_frac70', 'cross_e5_frac70_minlen10', 'iterative_cross_e5', 'hierarchical']"
+    swap = lambda x: x.replace("FROM hyp h", "FROM h h").replace("FROM refs r", "FROM rr r").replace("FROM sizes z", "FROM zz z").replace("LEFT JOIN refs r", "LEFT JOIN rr r").replace("FROM refs h LEFT JOIN hyp r", "FROM rr h LEFT JOIN h r")
+    return f"""{PAIR}, {splits("ba", "v1", "k")}, {splits("bb", "s1", "k")}, {splits("bc", "v1", "k", 32, 2, FALL)}, {dp_members}, {one_sided("o5", "v1", 5)}, {DEPTH}, {overlapping("og", "v1")}, {cos},
+{two("x", f"greatest(4 * {K7} + 2, least(k, n - 1) * 3 + 2)")}, {first("ca1", "x1", f"least(n - 1, 4 * {K7} + 2)")}, {first("ca2", "x2", f"least(n - 1, 4 * {K7} + 2)")}, {mean_maps("cam", ["ca1", "ca2"])}, cb AS ({best("cam", K7)}), {minimum("cm", "cb", 10)}, {it_members},
+every AS ({hyp}), h AS (SELECT seq_id::VARCHAR || ':' || method AS seq_id, boundary FROM every), ms AS (SELECT seq_id, n, unnest({methods}) AS method FROM sizes), zz AS (SELECT seq_id::VARCHAR || ':' || method AS seq_id, n FROM ms),
+rr AS (SELECT ms.seq_id::VARCHAR || ':' || method AS seq_id, boundary FROM refs JOIN ms USING (seq_id)), {keyed(counted)}, {swap(BS)}, {swap(LISTS)}, {f1_sql(2, "2")}
+SELECT split_part(seq_id, ':', 2) AS method, count(*) AS n, round(avg(pk), 6) + 0.0 AS pk, round(avg(wd), 6) + 0.0 AS wd, round(avg(bs), 6) + 0.0 AS bs, round(avg(CASE WHEN f2.p + f2.r > 0 THEN 2 * f2.p * f2.r / (f2.p + f2.r) ELSE 0 END), 6) + 0.0 AS f1
+FROM m JOIN bs USING (seq_id) JOIN f2 USING (seq_id) GROUP BY 1"""
+
+
 def tiles() -> str:
     words = "regexp_extract_all(lower(text), '([a-z'']+)', 1)"
     return f"""{T.with_("units")}, s AS (SELECT seq_id, pos, {words} AS w FROM units), z AS (SELECT seq_id, flatten(list(w ORDER BY pos)) AS w, len(flatten(list(w ORDER BY pos))) AS t, count(*) AS n FROM s GROUP BY seq_id),
@@ -229,7 +256,7 @@ d AS (SELECT l.seq_id, l.g, sum(l.c * r.c) AS d FROM l JOIN r USING (seq_id, g,
 q AS (SELECT seq_id, g, round(coalesce(d, 0) / (a * b), 9) AS s FROM nl JOIN nr USING (seq_id, g) LEFT JOIN d USING (seq_id, g)),
 e AS (SELECT seq_id, g, max(s) OVER (o ROWS UNBOUNDED PRECEDING) + max(s) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * s AS d FROM q WINDOW o AS (PARTITION BY seq_id ORDER BY g)),
 f AS (SELECT seq_id, g, round(coalesce((lag(d) OVER o + d + lead(d) OVER o) / 3, d), 9) AS x FROM e WINDOW o AS (PARTITION BY seq_id ORDER BY g)),
-h AS (SELECT seq_id, g FROM f QUALIFY x > 0 AND x >= lag(x) OVER o AND x > lead(x) OVER o WINDOW o AS (PARTITION BY seq_id ORDER BY g)),
+h AS (SELECT seq_id, g FROM f WINDOW o AS (PARTITION BY seq_id ORDER BY g) QUALIFY x > 0 AND x >= lag(x) OVER o AND x > lead(x) OVER o),
 u AS (SELECT seq_id, pos, sum(len(w)) OVER (PARTITION BY seq_id ORDER BY pos) AS e FROM s)
 SELECT DISTINCT seq_id, 'texttiling' AS method, boundary FROM (SELECT h.seq_id, h.g, any_value(n) AS n, min(u.pos)::BIGINT AS boundary FROM h JOIN x USING (seq_id) JOIN u ON u.seq_id = h.seq_id AND u.e >= least(h.g * b, t) GROUP BY h.seq_id, h.g) WHERE boundary > 0 AND boundary < n"""
 
@@ -292,4 +319,5 @@ SQL = {
     "grid_search": grid(),
     "min_segment_filter": shortest(False),
     "score_aware_min_segment": shortest(True),
+    "evaluation_battery": battery(),
 }
