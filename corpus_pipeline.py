@@ -25,7 +25,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates: texts whose five-word shingles have a similarity of 0.8 or more."""
+    """The document of smallest id of each group of near duplicates: texts whose five-word shingles have a similarity of 0.8 or more. SimHash anchors find the close
+    copies, bands of MinHash values those that no SimHash threshold reaches, and the shingles themselves confirm all."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = shingledup.near_groups(docs)
