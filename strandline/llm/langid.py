@@ -9,7 +9,8 @@ Defined results: `und` with score 0 for null or empty texts and texts without a
 single labelled row every text is `und`. `rejected` marks `und` and texts whose calibrated confidence is below the threshold.
 
 The threshold is set on rows held back from fitting and on junk made of them, their characters in random order, which keeps letters and lengths of
-words but no language: it rejects JUNK of that junk, unless this would cost more than COST of the held-back texts that are labelled rightly.
+words but no language: it rejects JUNK of that junk, unless this would cost more than COST of the held-back texts that are labelled rightly, or there are too few of
+these to tell.
 """
 
 from __future__ import annotations
@@ -131,13 +132,21 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: flo
     if held and len(langs) > 1:
         logits = lambda many: np.array([model.table[ids].sum(0, dtype=np.float64) / len(ids) + model.bias for ids in many if len(ids)]).reshape(-1, len(langs))
         z, y = logits(ids for ids, _, _ in held), np.array([y for _, y, _ in held])
-        loss = lambda s: -np.log(softmax(z * s)[np.arange(len(y)), y] + 1e-12).mean()
+        doubt = 0.5 / len(y)  # keeps the scale finite where all held-back rows are right
+
+        def loss(s: float) -> float:
+            p = np.log(softmax(z * s) + 1e-300)
+            return -((1 - doubt) * p[np.arange(len(y)), y] + doubt * p.mean(1)).mean()
+
         model.scale = float(min((0.25 * 1.25**k for k in range(20)), key=loss))
         p = softmax(z * model.scale)
         right = p.max(1)[p.argmax(1) == y]
         junk = softmax(logits(subwords("".join(rng.permutation(list(t)))) for _, _, t in held) * model.scale).max(1)
         if len(right) and len(junk):
-            model.threshold = float(min(np.quantile(junk, JUNK, method="higher") + 1e-9, np.quantile(right, COST, method="lower")))
+            # Fewer than 1 / COST rows can't show so small a cost: then the bound moves towards chance.
+            sure = min(1.0, np.sqrt(len(right) * COST))
+            most = 1 / len(langs) + sure * (np.quantile(right, COST, method="lower") - 1 / len(langs))
+            model.threshold = float(min(np.quantile(junk, JUNK, method="higher") + 1e-9, most))
             model.costs, model.catches = float((right < model.threshold).mean()), float((junk < model.threshold).mean())
     return model
 
