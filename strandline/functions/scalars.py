@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -123,3 +123,10 @@ def normal_cdf(z: Column) -> Column:
     poly = t * (a[0] + t * (a[1] + t * (a[2] + t * (a[3] + t * a[4]))))
     upper = 1 - F.exp(-0.5 * z * z) / (2 * 3.141592653589793) ** 0.5 * poly
     return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+def softmax(score: Column, by: list[str], temperature: float = 1.0) -> Column:
+    """Shares that sum to one over the rows of equal `by`."""
+    w = Window.partitionBy(*by)
+    x = F.exp((score - F.max(score).over(w)) / temperature)
+    return x / F.sum(x).over(w)

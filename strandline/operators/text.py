@@ -120,15 +120,15 @@ def hashed_counts(sentences: list[list[str]], dim: int = 32) -> np.ndarray:
     return out
 
 
-def accumulate(units: DataFrame, least_words: int = 25) -> DataFrame:
-    """Units joined until they have enough words: (seq_id, piece, first, last, text, n_words). A fold, since the count restarts at each cut."""
-    rows = units.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")).alias("n")))).alias("u"))
+def accumulate(units: DataFrame, least_words: int = 25, ends: str | None = None) -> DataFrame:
+    """Units joined until they have enough words, or, with `ends`, until a unit's end matches that expression: (seq_id, piece, first, last, text, n_words). A fold, since the count restarts at each cut."""
+    rows = units.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")).alias("n"), (F.rlike(F.trim("text"), F.lit(f"(?:{ends})$")) if ends else F.lit(False)).alias("end")))).alias("u"))
     start = F.struct(F.array().cast("array<struct<first:int,last:int,n:int>>").alias("done"), F.lit(-1).alias("first"), F.lit(0).alias("n"))
 
     def step(acc, x):
         first = F.when(acc["first"] < 0, x["pos"].cast("int")).otherwise(acc["first"])
         n = acc["n"] + x["n"]
-        full = n >= least_words
+        full = (n >= least_words) | x["end"]
         piece = F.struct(first.alias("first"), x["pos"].cast("int").alias("last"), n.alias("n"))
         return F.struct(F.when(full, F.array_append(acc["done"], piece)).otherwise(acc["done"]).alias("done"), F.when(full, -1).otherwise(first).alias("first"), F.when(full, 0).otherwise(n).alias("n"))
 

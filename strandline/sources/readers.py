@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 import pandas as pd
@@ -113,24 +114,44 @@ def xml_captions(body: Column) -> Column:
     return F.transform(zipped, lambda x: F.struct(x["s"].cast("double").alias("start"), (x["s"].cast("double") + F.greatest(F.lit(0.1), x["d"].cast("double"))).alias("end"), F.trim(F.regexp_replace(x["t"], r"\s+", " ")).alias("text")))
 
 
+MARKS = re.compile(r'["{}]')
+STRING_END = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
+
+
 def json_after(text: str | None, marker: str) -> str | None:
-    """The JSON object that follows a marker: braces matched outside strings."""
+    """The JSON object that follows a marker: braces matched outside strings. The search jumps from mark to mark and over strings."""
     at = (text or "").find(marker)
     start = text.find("{", at + len(marker)) if at >= 0 else -1
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text or "")) if start >= 0 else ():
-        c = text[i]
-        if quoted:
-            quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
+    depth, i = 0, start
+    while i >= 0 and (m := MARKS.search(text, i)):
+        i = m.end()
+        if m[0] == '"':
+            end = STRING_END.match(text, i)
+            if not end:
+                return None
+            i = end.end()
+        else:
+            depth += 1 if m[0] == "{" else -1
             if not depth:
-                return text[start : i + 1]
+                return text[start:i]
     return None
 
 
+def subtopics_of(answer: Column, start: Column, end: Column) -> Column:
+    """(start_sec, title) of the subtopics in an answer that holds a JSON object with them: times clamped to [start, end - 60], the first moved to the start; items without a time
+    or title drop out, and an answer without such an object gives none."""
+    from ..functions.scalars import seconds_of
+
+    body = F.regexp_extract(answer, r'(?s)(\{.*"subtopics".*\})', 1)
+    items = F.from_json(body, "subtopics array<struct<start:string,title:string>>")["subtopics"]
+    stamp = lambda x: F.when(F.rlike(F.trim(x), F.lit(r"^\d+(:\d+){0,2}(\.\d+)?$")), F.trim(x))
+    timed = F.transform(items, lambda x: F.struct(F.when(stamp(x["start"]).isNotNull(), seconds_of(stamp(x["start"]))).alias("t"), F.trim(x["title"]).alias("title")))
+    kept = F.filter(timed, lambda x: x["t"].isNotNull() & (F.coalesce(F.length(x["title"]), F.lit(0)) > 0))
+    at = lambda x, i: F.when(i == 0, start).otherwise(F.round(F.greatest(start, F.least(x["t"], end - 60)), 1))
+    none = F.array().cast("array<struct<start_sec:double,title:string>>")
+    return F.coalesce(F.transform(kept, lambda x, i: F.struct(at(x, i).cast("double").alias("start_sec"), x["title"].alias("title"))), none)
+
+
 def embedded_json(marker: str):
     """A column function for json_after; brace matching is beyond regular expressions, so it is an Arrow-batched function."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a rendered report may have; reports are over methods, of which there are few.
@@ -28,6 +28,19 @@ def tree_json(levels: DataFrame, path: str) -> None:
     levels.groupBy("seq_id").agg(of("chapter").alias("chapters"), F.array_sort(F.collect_list("boundary")).alias("subtopics")).write.mode("overwrite").json(path)
 
 
+def load_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, boundary, level) as tree_json wrote it: chapters, and subtopics that are no chapters."""
+    rows = spark.read.schema("seq_id long, chapters array<int>, subtopics array<int>").json(path)
+    level = F.when(F.array_contains("chapters", F.col("boundary")), "chapter").otherwise("subtopic").alias("level")
+    return rows.select("seq_id", "chapters", F.explode("subtopics").alias("boundary")).select("seq_id", "boundary", level)
+
+
+def load_features(spark: SparkSession, path: str, *modalities: str) -> DataFrame:
+    """(seq_id, pos, vec, modality) as features_parquet wrote it; only the folders of the asked modalities are read."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("modality").isin(*modalities)) if modalities else rows
+
+
 def features_parquet(features: DataFrame, path: str) -> None:
     """(seq_id, pos, modality, vec), a folder for each modality so that readers prune."""
     features.write.mode("overwrite").partitionBy("modality").parquet(path)

@@ -3,6 +3,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
+from strandline.functions import scalars
 from strandline.operators import text
 from strandline.sources import readers, sinks
 
@@ -73,3 +74,27 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "p")).first()["boundaries"] == [1, 3]
     sinks.release(cube, b, cube, str(tmp_path / "rel"))
     assert spark.read.parquet(str(tmp_path / "rel/boundaries")).count() == 2
+
+
+def test_trees_and_features_come_back(spark, tmp_path):
+    levels = spark.createDataFrame([(1, 4, "chapter"), (1, 9, "subtopic"), (2, 3, "chapter")], "seq_id long, boundary int, level string")
+    sinks.tree_json(levels, str(tmp_path / "t"))
+    assert sorted(map(tuple, sinks.load_tree(spark, str(tmp_path / "t")).collect())) == sorted(map(tuple, levels.collect()))
+    rows = spark.createDataFrame([(1, 0, "text", [1.0]), (1, 0, "shots", [2.0])], "seq_id long, pos int, modality string, vec array<double>")
+    sinks.features_parquet(rows, str(tmp_path / "f"))
+    assert sinks.load_features(spark, str(tmp_path / "f")).count() == 2
+    assert [r["vec"] for r in sinks.load_features(spark, str(tmp_path / "f"), "shots").collect()] == [[2.0]]
+
+
+def test_answers_and_shares(spark):
+    a = 'Sure: {"subtopics": [{"start": "01:00", "title": " A "}, {"start": "x", "title": "B"}, {"start": "99:00", "title": "C"}, {"start": "02:30", "title": ""}]} done'
+    df = spark.createDataFrame([(a,), ("none",), ('{"subtopics": [}',)], "a string").select(readers.subtopics_of(F.col("a"), F.lit(100.0), F.lit(1000.0)).alias("s"))
+    assert [[tuple(x) for x in r["s"]] for r in df.collect()] == [[(100.0, "A"), (940.0, "C")], [], []]
+    rows = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 5.0)], "k int, x double").select("k", scalars.softmax(F.col("x"), ["k"]).alias("p")).collect()
+    assert sorted(round(r["p"], 6) for r in rows) == [0.268941, 0.731059, 1.0]
+
+
+def test_accumulation_until_a_sentence_ends(spark):
+    units = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a b", "c d.", "e f", "g", "h?", "i"])], "seq_id long, pos int, text string")
+    got = text.accumulate(units, 30, r"[.!?]").orderBy("piece").collect()
+    assert [(r["first"], r["last"]) for r in got] == [(0, 1), (2, 4), (5, 5)]
