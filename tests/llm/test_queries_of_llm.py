@@ -43,11 +43,31 @@ def test_neighbours(spark):
     assert all(r["vec_id"] != r["query_id"] for r in rows)
 
 
-def test_urls_by_sql(spark):
-    got = sorted(map(tuple, queries.op3_urlfilter(spark, SF).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+@pytest.mark.parametrize("name", ["op3_urlfilter", "op11_filter_audit", "op13_fim"])
+def test_queries_by_sql(spark, name):
+    frame = queries.queries()[name](spark, SF)
+    got = sorted(map(tuple, frame.collect()), key=str)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
-    assert got == sorted(con.execute(queries.URL_SQL).fetchall(), key=str)
+    for table in ("pages", "documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    columns = ", ".join(frame.columns)
+    assert got and got == sorted(con.execute(f"SELECT {columns} FROM ({queries.oracle_sql()[name]})").fetchall(), key=str)
+
+
+def test_forest(spark, docs):
+    sets = {}
+    for i, t in docs.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if w else set()
+    least = {i: i for i in docs}
+    for i in sorted(docs):
+        for j in sorted(docs):
+            both = len(sets[i] & sets[j])
+            if j < i and both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((least[i], least[j]))
+                least = {k: a if x == b else x for k, x in least.items()}
+    rows = {r["doc_id"]: tuple(r)[1:] for r in queries.op12_lsh_forest(spark, SF).collect()}
+    assert rows == {i: (len(sets[i]), least[i], least[i] == i) for i in docs}
 
 
 def test_repeats(spark, docs):
