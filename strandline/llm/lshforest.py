@@ -151,7 +151,8 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", near:
     nodes = written(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "nodes")
     own = written(rows.where("digest is not null").withColumnRenamed("doc_id", "id").join(nodes.select("digest", "id"), ["digest", "id"]).dropDuplicates(["digest", "id"]).select("id", "shallow", "deep"), "own")
     groups = written(components(candidates(own)), "groups")
-    members = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(groups, "id")
+    # Texts are dealt out by id at every size of the table.
+    members = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(groups.hint("shuffle_hash"), "id")
     roots = components(confirmed(members, SHINGLE, near))
     named = written(nodes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("m"), "n"), "named")
     keyed = meet_least(rows.where("digest is not null").select("digest", "doc_id", "n_shingles"), named, "digest", rows.count())
