@@ -4,22 +4,27 @@ A text is cut into overlapping windows. Each window is compressed twice, with ei
 distance. Both dictionaries end with the same trained ordinary content, so that what both texts share costs the same at the same offsets; the toxic one
 has, in front of it, content trained on toxic text. Toxic texts consist of ordinary words for the most part, and dictionaries trained on whole
 texts of either class tell them apart badly (held-out AUC 0.72). So training sees those parts of the words of toxic texts whose character
-sequences speak for the class: a sequence's ratio of frequencies among toxic and ordinary texts must be over RATIO by two standard errors, so that
+sequences speak for the class: a sequence's ratio of frequencies among toxic and ordinary texts must be over a least one by two standard errors, so that
 wrong labels of some ordinary texts don't empty the dictionary. A text's largest distances
-and its windows above a calibrated threshold go through a logistic fit on whole labelled texts; null and empty texts have one empty window
-and are scored like any other.
+and its windows above a calibrated threshold go through a logistic fit on whole labelled texts.
 
-Defined results: without labelled rows of both classes each score is the share of the class there is (0 without any).
+Nothing is calibrated on texts that trained the dictionary it is used with. The labelled texts are dealt into two halves by a hash of their key; dictionaries trained on
+either half give the threshold and the distances of the other half's texts. The least ratio is the one of RATIOS whose logistic fit on these has the least loss. The
+final dictionaries are trained on both halves with that ratio and take over the threshold and the fit.
+
+Defined results: null and empty texts have one empty window and are scored like any other; very long texts are scored in windows, all of them; repeated rows and labels count as often as they
+stand there; without labelled rows of both classes each score is the share of the class there is (0 without any); other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +34,8 @@ from .quality import sigmoid
 
 #: Bytes of a window, of the step between windows, and of either dictionary.
 WINDOW, STEP, DICTIONARY = 96, 64, 16 << 10
-#: Bytes of the character sequences that select parts of words for the toxic dictionary, and the least ratio of their frequencies.
-GRAM, RATIO = 5, 6
+#: Bytes of the character sequences that select parts of words for the toxic dictionary, and the least ratios of their frequencies to choose from.
+GRAM, RATIOS = 5, (3, 6, 12)
 #: Bounds of the fitting sample: rows of a class, and characters of a row for the dictionaries.
 PER_CLASS, EXCERPT = 2500, 1500
 SCHEMA = "doc_id long, score double"
@@ -136,14 +141,20 @@ def sequences(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, float]:
     return out
 
 
-def train_dictionaries(rows: list[tuple[bytes, int]]) -> Model:
+def train_dictionaries(rows: list[tuple[bytes, int]], ratio: float = RATIOS[0]) -> Model:
     toxic, ordinary = [t for t, y in rows if y == 1], [t for t, y in rows if y != 1]
-    own = {g for g, r in sequences(toxic, ordinary).items() if r >= RATIO}
+    own = {g for g, r in sequences(toxic, ordinary).items() if r >= ratio}
     samples = [b"\0".join(part for w in t.split() for part in marked(w, own)) for t in toxic]  # no match runs across a border
-    model = Model(dictionary([w for t in ordinary for w in windows(t)]), dictionary(samples))
-    if ordinary:
-        model.threshold = max(1.0, float(np.quantile(model.distances([w for t in ordinary for w in windows(t)]), 0.999)) + 1)
-    return model
+    return Model(dictionary([w for t in ordinary for w in windows(t)]), dictionary(samples))
+
+
+def threshold(model: Model, ordinary: list[bytes]) -> float:
+    """A distance that hardly any window of these ordinary texts reaches."""
+    return max(1.0, float(np.quantile(model.distances([w for t in ordinary for w in windows(t)]), 0.999)) + 1) if ordinary else 1.0
+
+
+def half(key: int | None) -> int:
+    return xxhash.xxh64_intdigest(str(key), 9) & 1
 
 
 def train_scores(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
@@ -162,19 +173,37 @@ def train_scores(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
+def loss(model: Model, x: np.ndarray, y: np.ndarray) -> float:
+    if model.weights is None:
+        return float("inf")
+    p = np.clip(sigmoid(model.weights[0] + (x - model.mean) / model.spread @ model.weights[1:]), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", where: Column | None = None) -> Model:
-    """Train on about PER_CLASS labelled documents of each class. Only excerpts of them, and three numbers of each whole text, reach the driver."""
+    """Train on about PER_CLASS labelled documents of each class. Only excerpts of them, and three numbers of each whole text and ratio, reach the driver."""
     few = sampled_documents(docs.select(key, F.col(text).alias("t")), labels, label, key, PER_CLASS, where)
     order = lambda rows: sorted(rows, key=lambda r: (r["k"] is None, r["k"] or 0, r["y"]))
-    model = train_dictionaries([((r["t"] or "").encode(), r["y"]) for r in order(few.select("k", excerpt(F.col("t"), F.col("k"), EXCERPT).alias("t"), "y").collect())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = [(half(r["k"]), (r["t"] or "").encode(), r["y"]) for r in order(few.select("k", excerpt(F.col("t"), F.col("k"), EXCERPT).alias("t"), "y").collect())]
+    # For each ratio two models, trained on either half and calibrated on the other.
+    pairs = [[train_dictionaries([(t, y) for h, t, y in held if h == side], ratio) for side in (0, 1)] for ratio in RATIOS]
+    for pair in pairs:
+        limit = max(threshold(pair[side], [t for h, t, y in held if h != side and y != 1]) for side in (0, 1))
+        for model in pair:
+            model.threshold = limit
+    shared = docs.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(k=(b.column(0), pa.int64()), y=(b.column(1), pa.int32()), x=([shared.value.features(t or b"").tolist() for t in b.column(2).to_pylist()], pa.list_(pa.float64())))
+            x = [[z for pair in shared.value for z in pair[1 - half(k)].features(t or b"").tolist()] for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield batch(k=(b.column(0), pa.int64()), y=(b.column(1), pa.int32()), x=(x, pa.list_(pa.float64())))
 
     got = order(few.select(F.col("k").cast("long"), "y", F.col("t").cast("binary")).mapInArrow(run, "k long, y int, x array<double>").collect())
-    return train_scores(model, np.array([r["x"] for r in got]).reshape(len(got), 3), np.array([r["y"] for r in got], np.float64))
+    x, y = np.array([r["x"] for r in got]).reshape(len(got), len(RATIOS), 3), np.array([r["y"] for r in got], np.float64)
+    fits = [train_scores(Model(b"", b"", pair[0].threshold), x[:, i], y) for i, pair in enumerate(pairs)]
+    best = min(range(len(RATIOS)), key=lambda i: loss(fits[i], x[:, i], y))
+    whole = train_dictionaries([(t, y) for _, t, y in held], RATIOS[best])
+    return replace(fits[best], ordinary=whole.ordinary, toxic=whole.toxic)
 
 
 def score(rows: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

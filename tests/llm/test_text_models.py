@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import langid, quality, toxicity
 
@@ -107,6 +108,7 @@ def test_toxicity(spark, docs):
     assert b"zorgb" in model.toxic and b"zorgb" not in model.ordinary
     rows = toxicity.score(odd(spark), model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    assert toxicity.score(docs.limit(0), model).count() == 0
     none = toxicity.fit(docs, labels.limit(0), "toxic")
     assert {r["score"] for r in toxicity.score(docs.limit(3), none).collect()} == {0.0}
 
@@ -125,6 +127,25 @@ def test_toxicity_score_is_the_plain_one(spark, docs):
         assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_held_out_labels_are_never_read(spark, docs):
+    labels = docs.select("doc_id", "toxic")
+    where = labels.doc_id % 5 != 0
+    a = toxicity.fit(docs, labels, "toxic", where=where)
+    b = toxicity.fit(docs, labels.withColumn("toxic", F.when(where, F.col("toxic")).otherwise(1 - F.col("toxic"))), "toxic", where=where)
+    assert (a.toxic, a.ordinary, a.threshold) == (b.toxic, b.ordinary, b.threshold) and (a.weights == b.weights).all()
+
+
+def test_calibration_takes_no_text_with_its_own_dictionary(spark, docs, monkeypatch):
+    seen = []
+    plain = toxicity.train_dictionaries
+    monkeypatch.setattr(toxicity, "train_dictionaries", lambda rows, ratio: seen.append({t for t, _ in rows}) or plain(rows, ratio))
+    labels = docs.select("doc_id", "toxic")
+    toxicity.fit(docs, labels, "toxic")
+    pairs, whole = seen[:-1], seen[-1]
+    assert len(pairs) == 2 * len(toxicity.RATIOS) and all(a | b == whole for a, b in zip(pairs[::2], pairs[1::2], strict=True))
+    assert {toxicity.half(k) for k in range(100)} == {0, 1} and toxicity.half(None) in (0, 1)
+
+
 def test_wrong_labels_do_not_empty_the_dictionary():
     rng = random.Random(3)
     rows = []
