@@ -10,12 +10,12 @@ whose cells come up to the neighbour's cell gives the share to visit for a recal
 without any structure up to half of it. Neighbours in a sample lie farther off than in the table, so the share errs to the larger side.
 
 Neighbouring cells form blocks of bounded size, and a cell that holds more, even a third of all vectors, is split over several. A query goes once
-to each block in which it visits cells. A first round visits its nearest cells and so finds a bound; the second round leaves out the cells whose
+to each block in which it visits cells, and only vectors of blocks that a query visits are sent, once for each ASKS of a block's queries. A first round visits its nearest cells and so finds a bound; the second round leaves out the cells whose
 centroids and radii show that nothing in them can reach that bound, and a block gives back only what reaches it.
 
 Defined results: vectors that are null, of another length than most, zero, or with null or non-finite components take no part; equal
 scores go to the smaller id; an empty table gives no rows. Rows are told apart by place, not by id: a repeated row is a candidate as often as it stands
-there and, as a query, asks as often; a query leaves out one row of its own id and vector, itself.
+there and, as a query, asks as often; a query leaves out one row of its own id and vector, itself; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Bounds: vectors that fit the centroids, centroids of a half, vectors or queries of a block.
-SAMPLE, MOST_CENTROIDS, BLOCK = 20_000, 512, 4096
+#: Bounds: vectors that fit the centroids, centroids of a half, vectors of a block, queries that meet a block in one task, and those compared with centroids at a time.
+SAMPLE, MOST_CENTROIDS, BLOCK, ASKS, CHUNK = 20_000, 512, 4096, 16_384, 1024
 #: Recall that the share of visited vectors is measured for, and queries that measure it.
 TARGET, ASKED = 0.95, 256
 FOUND = "asked long, query_id long, row long, vec_id long, score double"
@@ -211,21 +211,41 @@ class Index:
         out.__dict__.update({k: v for k, v in self.__dict__.items() if k != "rows"})
         return out
 
-    def scan(self, visits: DataFrame, n_queries: int, top: int) -> DataFrame:
-        """The best of each block for each visit (asked, query_id, q, bound, low, high, block): at most `top` of the cells whose sum of distances is
-        over `low` and up to `high`, none below the visit's bound."""
+    def visited(self, visits: DataFrame) -> np.ndarray:
+        """In how many parts the queries of each block meet it: none for blocks that no query visits. One byte a block reaches the driver."""
+        found = visits.groupBy("block").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("n")).toArrow()
+        parts = np.zeros(int((self.start + self.parts).max()), np.int32)
+        parts[found["block"].to_numpy()] = found["n"].to_numpy()
+        return parts
+
+    def dealt(self, parts: np.ndarray) -> DataFrame:
+        """(row, vec_id, v, cell, block, part): the vectors of visited blocks, once for each part of a block's queries."""
         me = self.plain()
-        parts = max(1, math.ceil(n_queries / BLOCK))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cell = np.asarray(b.column(3))
                 # Equal rows share a block, so that a query meets all rows of its own id and vector in one.
                 block = me.start[cell] + np.asarray(b.column(1)) % me.parts[cell]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block, pa.int32())], names=["row", "vec_id", "v", "cell", "block"])
+                for part in range(int(parts[block].max(initial=0))):
+                    some = b.filter(pa.array(parts[block] > part))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(block[parts[block] > part], pa.int32()), pa.array(np.full(some.num_rows, part), pa.int32())], names=["row", "vec_id", "v", "cell", "block", "part"])
+
+        return self.rows.select("row", "vec_id", "v", "cell").mapInArrow(deal, "row long, vec_id long, v array<double>, cell int, block int, part int")
+
+    def scan(self, visits: DataFrame, top: int) -> DataFrame:
+        """The best of each block for each visit (asked, query_id, q, bound, low, high, block): at most `top` of the cells whose sum of distances is
+        over `low` and up to `high`, none below the visit's bound. `visits` is read twice."""
+        me, parts = self.plain(), self.visited(visits)
+        left = self.dealt(parts)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                asked, block = np.asarray(b.column(0)).astype(np.uint64), np.asarray(b.column(6))
+                mixed = asked * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((mixed % parts[block].astype(np.uint64)).astype(np.int32))], names=[*b.schema.names, "part"])
 
-        left = self.rows.select("row", "vec_id", "v", "cell").mapInArrow(deal, "row long, vec_id long, v array<double>, cell int, block int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        right = visits.withColumn("part", F.pmod(F.xxhash64("asked"), F.lit(parts)).cast("int"))
+        right = visits.select("asked", "query_id", "q", "bound", "low", "high", "block").mapInArrow(part, "asked long, query_id long, q array<double>, bound double, low double, high double, block int, part int")
 
         def best(vecs: pa.Table, asks: pa.Table) -> pa.Table:
             out = [[], [], [], [], []]
@@ -233,11 +253,12 @@ class Index:
                 row, ids, x, cell = vecs["row"].to_numpy(), vecs["vec_id"].to_numpy(), matrix(vecs["v"].combine_chunks(), me.dim), vecs["cell"].to_numpy()
                 q, qid, asked = matrix(asks["q"].combine_chunks(), me.dim), asks["query_id"].to_numpy(), asks["asked"].to_numpy()
                 bound, low, high = (asks[n].to_numpy() for n in ("bound", "low", "high"))
-                x1, x2 = halves(q, None)
-                d1, d2 = distances(x1, me.c1), distances(x2, me.c2)
                 i1, i2 = cell // len(me.c2), cell % len(me.c2)
                 for j in range(len(qid)):
-                    sums = d1[j][i1] + d2[j][i2]
+                    if j % CHUNK == 0:
+                        x1, x2 = halves(q[j : j + CHUNK], None)
+                        d1, d2 = distances(x1, me.c1), distances(x2, me.c2)
+                    sums = d1[j % CHUNK][i1] + d2[j % CHUNK][i2]
                     eps = 1e-9 * (1 + abs(high[j]))
                     there = np.flatnonzero((sums > low[j] - eps) & (sums <= high[j] + eps))
                     own = there[ids[there] == qid[j]]
@@ -272,10 +293,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, top: int = 20, ke
     asks = asks.select(F.monotonically_increasing_id().alias("asked"), "query_id", "q")
     enough = max(10 * top, math.ceil((index.share if share is None else share) * index.total))
     probes = written(index.probes(asks, enough, 10 * top), "probes")
-    n, low = probes.count(), F.lit(float("-inf"))
-    found = written(index.scan(probes.select("asked", "query_id", "q", low.alias("bound"), low.alias("low"), F.col("low").alias("high"), F.explode("blocks").alias("block")), n, top), "found")
+    low = F.lit(float("-inf"))
+    found = written(index.scan(probes.select("asked", "query_id", "q", low.alias("bound"), low.alias("low"), F.col("low").alias("high"), F.explode("blocks").alias("block")), top), "found")
     bound = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).groupBy("asked").agg(F.min("score").alias("s"), F.count("*").alias("n"))
     bounded = probes.join(bound, "asked", "left").select("asked", "query_id", "q", F.when(F.col("n") >= top, F.col("s")).otherwise(low).alias("bound"), "low", "high")
-    more = index.further(bounded).withColumn("block", F.explode("blocks")).drop("blocks")
-    both = found.union(index.scan(more, n, top)).dropDuplicates(["asked", "row"])
+    more = written(index.further(bounded).withColumn("block", F.explode("blocks")).drop("blocks"), "further")
+    both = found.union(index.scan(more, top)).dropDuplicates(["asked", "row"])
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -80,3 +80,22 @@ def test_clustered_vectors_visit_few(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = brute(np.arange(8000), x, np.arange(0, 8000, 200), 20)
     assert np.mean([len(got[q] & {a for a, _ in v}) / 20 for q, v in want.items()]) >= 0.9
+
+
+def test_vectors_are_sent_once_and_only_where_asked(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = (rng.standard_normal((30, 16)) * 4)[rng.integers(0, 30, 4000)] + rng.standard_normal((4000, 16)) * 0.2
+    rows = [(i, v.tolist(), "") for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    index = ann.Index(vectors, "vec_id", "embedding")
+    blocks = int((index.start + index.parts).max())
+    visits = spark.createDataFrame([(a, a % 3) for a in range(900)], "asked long, block int")  # of three blocks, 300 queries each
+    of = lambda asks: monkeypatch.setattr(ann, "ASKS", asks) or index.dealt(index.visited(visits)).groupBy("block").count().collect()
+    one, many = {r["block"]: r["count"] for r in of(1000)}, {r["block"]: r["count"] for r in of(100)}
+    assert blocks > 20 and one.keys() == {0, 1, 2} and many == {b: 3 * n for b, n in one.items()}
+    results = []
+    for asks in (1 << 14, 7):
+        monkeypatch.setattr(ann, "ASKS", asks)
+        results.append(sorted(map(tuple, ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0")).collect())))
+    assert results[0] == results[1] and len(results[0]) == 200 * 20
