@@ -3,13 +3,12 @@
 Candidates come from two nets. SimHash fingerprints of the five-word shingles meet at their anchors, as in `simhash`. At a similarity of 0.8 they differ in about a
 seventh of their bits, far beyond any threshold that anchors can cover, so texts that agree in a band of ROWS of their BANDS * ROWS MinHash values
 are candidates too: a pair of similarity s does so with probability 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8. Either net gives stars, and components of the stars
-are candidate groups. Every text of a group then meets the others with its set of shingles, and all pairs whose similarity reaches NEAR are linked,
-whether they shared an anchor or a band or not. A group of more than PART bytes of shingles is cut into parts, and each pair of parts is a task of its own, so
-that no task holds more than two parts, and no pair is left out.
+are candidate groups. `confirm` then links all texts of a group whose sets of shingles reach a similarity of NEAR, whether they shared an anchor or a band or not: a group
+first meets in parts that all hold its first set, and only what is not in its largest class then meets all parts.
 
 Defined results: words are lower-cased and split at white space; fewer words than a shingle has make one shingle; texts without words are copies of each
 other; null ids take no part. Texts of equal words are one class, of which one takes part. Rows that repeat an id stand for themselves, and share the component that is
-the smallest any of them reaches.
+the smallest any of them reaches. Other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,29 +24,20 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import batch, texts, written
 from .components import components, meet_least
+from .confirm import confirmed, mixed, shingled
 
 SHINGLE, BANDS, ROWS, NEAR = 5, 24, 6, 0.8
-#: Shingles that are hashed at a time, and bytes of the shingles of a part of a candidate group.
-CHUNK, PART = 1 << 15, 4 << 20
+#: Shingles that are hashed at a time.
+CHUNK = 1 << 15
 #: Bits in which the fingerprints of candidates may differ.
 BITS = 2
-ODD = np.random.default_rng(42).integers(0, 1 << 63, SHINGLE + BANDS * ROWS + ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PLACE, MIN, JOIN = ODD[:SHINGLE], ODD[SHINGLE : SHINGLE + BANDS * ROWS], ODD[-ROWS:]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ x >> np.uint64(33)
+ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS + ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIN, JOIN = ODD[: BANDS * ROWS], ODD[-ROWS:]
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
-    """64 bits of each shingle, in order."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = len(h) - SHINGLE + 1
-    if n < 1:
-        return mixed((h * PLACE[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
-    return mixed(sum(h[j : n + j] * PLACE[j] for j in range(SHINGLE)))
+    """64 bits of each shingle, in order; one for a text without words."""
+    return shingled(words, SHINGLE) if words else mixed(np.zeros(1, np.uint64))
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -118,72 +108,6 @@ def stars(rows: DataFrame) -> DataFrame:
     return found.where("b is not null").select("a", "b").union(ends.select("a", "b")).distinct()
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], near: float = NEAR) -> np.ndarray:
-    """For each text, the smallest index of those it is linked to directly or by others; ids rise, and equal ones are linked. Sets hold distinct shingles."""
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    order = np.argsort(code, kind="stable")
-    posted, ends = owner[order], np.cumsum(np.bincount(code))
-    begins = np.concatenate(([0], ends[:-1]))
-    first = np.cumsum(size) - size
-    label = np.searchsorted(ids, ids)
-    for h in range(len(sets)):
-        if not label.any():
-            break
-        if (label[h:] == label[h]).all():
-            continue
-        c = code[first[h] : first[h] + size[h]]
-        n = ends[c] - begins[c]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begins[c], n)
-        both = np.bincount(posted[at], minlength=len(sets))
-        good = both >= near * (size + size[h] - both) - 1e-9
-        if (joined := np.unique(label[good])).size > 1:
-            label[np.isin(label, joined)] = joined[0]
-    return label
-
-
-def confirmed(members: DataFrame) -> DataFrame:
-    """(a, b) from the smallest id of each linked set to its others, of members (root, id, t) of candidate groups. Links of groups in one part are whole sets."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingles(t.lower().split())).tobytes() for t in texts(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["root", "id", "s"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, sets = None, [], []
-
-        def out():
-            i = np.array(ids, np.int64)
-            least = i[linked(i, sets)]
-            return batch(a=(least[least != i], pa.int64()), b=(i[least != i], pa.int64()))
-
-        for b in batches:
-            for *group, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if group != last and ids:
-                    yield out()
-                    ids, sets = [], []
-                last = group
-                ids.append(i)
-                sets.append(np.frombuffer(s, np.uint64))
-        if ids:
-            yield out()
-
-    sets = written(members.select("root", "id", "t").mapInArrow(cut, "root long, id long, s binary"), "shingles")
-    size = sets.groupBy("root").agg(F.sum(F.octet_length("s")).alias("bytes")).select("root", F.ceil(F.col("bytes") / PART).cast("int").alias("parts"))
-    # Large groups are few: their members meet the number of parts where they lie, so no large group is shuffled to one task.
-    large = written(size.where("parts > 1"), "large")
-    total = sets.agg(F.sum(F.octet_length("s"))).first()[0] or 0
-    if large.count() <= max(1000, total // PART):  # each has more than PART bytes, so this holds; the broadcast is 16 bytes for each PART
-        large = F.broadcast(large)
-    sets = sets.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != mine)))
-    dealt = sets.withColumn("other", other).select("root", F.least(mine, "other").alias("p"), F.greatest(mine, "other").alias("q"), "id", "s")
-    return dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "id").mapInArrow(run, "a long, b long").distinct()
-
-
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) of each row: the smallest id reachable over links of similarity NEAR or more."""
     rows = written(sketches(docs, text, key), "sketches")
@@ -194,7 +118,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     anchored = simhash.links_of(same.select(F.col("m").alias("id"), "f0", none.alias("f1"), none.alias("f2")), BITS)
     alike = meet_least(own.select("f0", "id"), same.where("n > 1"), "f0", own.count()).select(F.col("m").alias("a"), F.col("id").alias("b"))
     groups = components(anchored.union(alike).union(stars(own.select("id", "keys"))))
-    members = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(groups, "id").distinct()
-    roots = components(confirmed(members))
+    members = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(groups, "id")
+    roots = components(confirmed(members, SHINGLE, NEAR))
     named = nodes.join(roots, "id", "left").select("d0", "d1", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")
