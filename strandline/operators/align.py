@@ -97,6 +97,19 @@ def assign_mean(units: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.select("seq_id", "pos", F.coalesce("n", F.lit(0)).alias("n_marks"), zero("m").alias("mean_value"), F.greatest(F.lit(0.0), zero("x")).alias("max_value"))
 
 
+def assign_vectors(units: DataFrame, marks: DataFrame, width: int) -> DataFrame:
+    """(seq_id, pos, n_marks, mean, max): element-wise means and maxima of the vectors (seq_id, event_id, us, vec) of each unit's marks; zeros without marks, and maxima start at 0.
+
+    Vectors are added up component by component where they lie and only sums are shuffled: 2 * width numbers for each unit a task has marks of."""
+    x = lambda i: F.col("vec")[i].cast("double")
+    got = assign_contained(units, marks).join(marks.select("seq_id", "event_id", "vec"), ["seq_id", "event_id"])
+    sums = got.groupBy("seq_id", "pos").agg(F.count("*").alias("n"), *(F.sum(x(i)).alias(f"s_{i}") for i in range(width)), *(F.max(x(i)).alias(f"x_{i}") for i in range(width)))
+    rows = units.select("seq_id", "pos").join(sums, ["seq_id", "pos"], "left")
+    mean = F.array(*(F.coalesce(F.col(f"s_{i}") / F.col("n"), F.lit(0.0)) for i in range(width)))
+    most = F.array(*(F.greatest(F.lit(0.0), F.coalesce(f"x_{i}", F.lit(0.0))) for i in range(width)))
+    return rows.select("seq_id", "pos", F.coalesce("n", F.lit(0)).alias("n_marks"), mean.alias("mean"), most.alias("max"))
+
+
 def overlapping(units: DataFrame, spans: DataFrame, bucket: int) -> DataFrame:
     """(seq_id, span, n_units, first_pos, last_pos): units that meet each span (seq_id, span, s, e). Time buckets make the range an equi join; a pair that
     shares several buckets counts in the first."""

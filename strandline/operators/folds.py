@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .select import best_first
@@ -122,3 +122,22 @@ def between_anchors(anchors: DataFrame, scores: DataFrame, k: int, min_len: int)
     n = anchors.groupBy("seq_id").agg(F.count("*").alias("_n"))
     extra = free.join(n, "seq_id", "left").withColumn("_r", F.row_number().over(best_first())).where(F.col("_r") <= k - F.coalesce("_n", F.lit(0)))
     return anchors.select("seq_id", "boundary").union(extra.select("seq_id", "boundary")).distinct()
+
+
+def peaks(scores: DataFrame, distance: int = 1, least: int | None = None) -> DataFrame:
+    """(seq_id, boundary, score): local maxima, a flat top counted once at its middle (the left of two), neither at the first nor at the last boundary of a sequence; of those
+    closer than `distance` the higher stays, the later one of equals. `least` keeps only so many of the highest, the later ones of equals."""
+    order = Window.partitionBy("seq_id").orderBy("boundary")
+    flat = F.sum(F.when(F.col("score") == F.lag("score").over(order), 0).otherwise(1)).over(order)
+    runs = scores.select("seq_id", F.col("boundary").cast("int").alias("boundary"), "score").withColumn("_at", F.row_number().over(order)).withColumn("_run", flat)
+    tops = runs.groupBy("seq_id", "_run").agg(F.first("score").alias("score"), F.min("_at").alias("_a"), F.max("_at").alias("_z"), F.sort_array(F.collect_list("boundary")).alias("_b"))
+    along = Window.partitionBy("seq_id").orderBy("_run")
+    middle = F.element_at("_b", F.floor((F.col("_a") + F.col("_z")) / 2).cast("int") - F.col("_a") + 1)
+    tops = tops.select("seq_id", middle.alias("boundary"), "score", ((F.col("score") > F.lag("score").over(along)) & (F.col("score") > F.lead("score").over(along))).alias("_top")).where("_top")
+    high = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("boundary")).alias("b")))).alias("_p")
+    rows = tops.groupBy("seq_id").agg(high).select("seq_id", F.transform("_p", lambda x: -x["b"]).alias("ranked"))
+    kept = fold(rows, lambda acc, b: apart(acc, b, distance, inclusive=False)).select("seq_id", F.explode("kept").alias("boundary"))
+    out = tops.select("seq_id", "boundary", "score").join(kept, ["seq_id", "boundary"])
+    if least is None:
+        return out
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("score"), F.desc("boundary")))).where(F.col("_r") <= least).drop("_r")

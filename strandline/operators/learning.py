@@ -1,12 +1,11 @@
-"""Learned selection: pipelines of Spark ML fitted with folds of sequences left out, and ridge regressions with each sequence or each domain left out.
-
-Ridge regressions for all methods come from one aggregation, that of their normal equations. What a regression without one row would predict for it follows from
-the full one, (fitted - h y) / (1 - h) with the row's leverage h, so leaving out every sequence in turn costs no further fit.
-"""
+"""Pipelines of Spark ML fitted with folds of sequences left out. The selectors of methods are in `selectors`, extremely randomised trees in `trees`."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -14,9 +13,11 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def estimator(kind: str, label: str, seed: int = 42, weight: str | None = None):
-    """ridge, forest (regression); logistic, boosted, forest_class (classification). Extremely randomised trees have no counterpart here; forests stand in."""
+    """ridge, forest (regression); logistic, boosted, forest_class (classification)."""
     more = {"weightCol": weight} if weight else {}
     return {
         "ridge": lambda: LinearRegression(featuresCol="x", labelCol=label, regParam=1.0, elasticNetParam=0.0, solver="normal"),
@@ -49,75 +50,8 @@ def by_fold(rows: DataFrame, features: list[str], label: str, kind: str, folds:
     return out.drop("_fold")
 
 
-#: Bounds of what reaches the driver: methods, and pairs of a method and a domain. Each has a matrix as wide as the features.
-MOST_METHODS, MOST_PAIRS = 500, 20_000
-#: Margins by which a choice must be better before it leaves the default.
-MARGINS = (-0.01, -0.005, 0.0, 0.0025, 0.005, 0.01, 0.02, 0.04, 0.08, 0.12)
-
-
-def ridge_left_out(features: DataFrame, columns: list[str], cube: DataFrame, metric: str = "pk", by: str | None = None, penalty: float = 1.0) -> DataFrame:
-    """(seq_id, method, predicted, value): each method's metric of a sequence, predicted by ridge regression over all other sequences, or, with `by`, over those of all
-    other values of that column of `features`. Features are standardised over all sequences; the intercept is not penalised."""
-    moments = features.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    scale = lambda i, c: (F.col(c) - F.lit(moments[f"m_{i}"] or 0.0)) / F.lit(moments[f"s_{i}"] or 1.0)
-    x = features.select("seq_id", *([F.col(by).alias("_g")] if by else []), F.array(F.lit(1.0), *[F.coalesce(scale(i, c), F.lit(0.0)) for i, c in enumerate(columns)]).alias("_x"))
-    rows = x.join(cube.select("seq_id", "method", F.col(metric).cast("double").alias("value")), "seq_id")
-    p, at = len(columns) + 1, lambda i: F.col("_x")[i]
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = [F.sum(at(i) * at(j)).alias(f"a_{i}_{j}") for i, j in pairs] + [F.sum(at(i) * F.col("value")).alias(f"b_{i}") for i in range(p)]
-    most = MOST_PAIRS if by else MOST_METHODS
-    normal = rows.groupBy("method", *(["_g"] if by else [])).agg(*sums).limit(most + 1).collect()
-    if len(normal) > most:
-        raise ValueError(f"more than {most} regressions")
-
-    def matrix(r) -> tuple[np.ndarray, np.ndarray]:
-        a = np.zeros((p, p))
-        for i, j in pairs:
-            a[i, j] = a[j, i] = r[f"a_{i}_{j}"]
-        return a, np.array([r[f"b_{i}"] for i in range(p)])
-
-    own = {(r["method"], r["_g"] if by else None): matrix(r) for r in normal}
-    ridge = penalty * np.diag([0.0] + [1.0] * (p - 1)) + 1e-9 * np.eye(p)
-    total: dict[str, list] = {}
-    for (m, _), (a, b) in own.items():
-        t = total.setdefault(m, [np.zeros((p, p)), np.zeros(p)])
-        t[0], t[1] = t[0] + a, t[1] + b
-    spark = features.sparkSession
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    if by:
-        fits = [(m, g, np.linalg.solve(total[m][0] - a + ridge, total[m][1] - b).tolist()) for (m, g), (a, b) in own.items()]
-        kind = dict(rows.dtypes)["_g"]
-        fits = spark.createDataFrame(fits, f"method string, _g {kind}, _w array<double>")
-        return rows.join(F.broadcast(fits), ["method", "_g"]).select("seq_id", "method", dot(F.col("_w"), F.col("_x")).alias("predicted"), "value")
-    fits = []
-    for m, (a, b) in total.items():
-        inverse = np.linalg.inv(a + ridge)
-        fits.append((m, (inverse @ b).tolist(), inverse.tolist()))
-    fits = spark.createDataFrame(fits, "method string, _w array<double>, _i array<array<double>>")
-    rows = rows.join(F.broadcast(fits), "method")
-    leverage = dot(F.transform("_i", lambda r: dot(r, F.col("_x"))), F.col("_x"))
-    return rows.select("seq_id", "method", ((dot(F.col("_w"), F.col("_x")) - leverage * F.col("value")) / F.greatest(1 - leverage, F.lit(1e-9))).alias("predicted"), "value")
-
-
-def chosen(predictions: DataFrame) -> DataFrame:
-    """(seq_id, method, predicted, value): the method of least prediction."""
-    return predictions.groupBy("seq_id").agg(F.min_by(F.struct("method", "predicted", "value"), F.struct("predicted", "method")).alias("b")).select("seq_id", "b.*")
-
-
-def guarded(predictions: DataFrame, cube: DataFrame, default: str, margins: tuple[float, ...] = MARGINS) -> DataFrame:
-    """(seq_id, method, threshold, margin, switched): the predicted best method where it beats the default by a margin, which is for each sequence the one that gives
-    all other sequences the least (pk + wd) / 2, then pk, to four digits, then the fewest switches. Margins of the others come from their own left-out predictions."""
-    known = cube.select("seq_id", "method", "pk", "wd")
-    base = predictions.where(F.col("method") == default).select("seq_id", F.col("predicted").alias("_d")).join(known.where(F.col("method") == default).select("seq_id", F.col("pk").alias("pk0"), F.col("wd").alias("wd0")), "seq_id")
-    rows = chosen(predictions).select("seq_id", "method", "predicted").join(known, ["seq_id", "method"]).join(base, "seq_id").withColumn("margin", F.col("_d") - F.col("predicted"))
-    each = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, margins)))).withColumn("_s", (F.col("margin") >= F.col("threshold")).cast("int"))
-    each = each.withColumn("_p", F.when(F.col("_s") == 1, F.col("pk")).otherwise(F.col("pk0"))).withColumn("_w", F.when(F.col("_s") == 1, F.col("wd")).otherwise(F.col("wd0")))
-    total = each.groupBy("threshold").agg(F.sum("_p").alias("_tp"), F.sum("_w").alias("_tw"), F.sum("_s").alias("_ts"), F.count("*").alias("_n"))
-    n = F.greatest(F.col("_n") - 1, F.lit(1))
-    pk, wd = (F.col("_tp") - F.col("_p")) / n, (F.col("_tw") - F.col("_w")) / n
-    best = each.join(F.broadcast(total), "threshold").groupBy("seq_id").agg(F.min_by("threshold", F.struct(F.round((pk + wd) / 2, 4), F.round(pk, 4), F.col("_ts") - F.col("_s"), F.col("threshold"))).alias("threshold"))
-    out = rows.join(best, "seq_id").withColumn("switched", (F.col("margin") >= F.col("threshold")) & (F.col("method") != default))
-    return out.select("seq_id", F.when(F.col("margin") >= F.col("threshold"), F.col("method")).otherwise(F.lit(default)).alias("method"), "threshold", "margin", "switched")
+#: A fit for each method and fold.
+MOST_METHODS = 500
 
 
 def select_methods(features: DataFrame, columns: list[str], cube: DataFrame, kind: str = "ridge", metric: str = "pk", folds: int = 5, margin: float = 0.0, default: str | None = None) -> DataFrame:
@@ -133,3 +67,119 @@ def select_methods(features: DataFrame, columns: list[str], cube: DataFrame, kin
         every = got if every is None else every.union(got)
     rank = F.col("predicted") - (F.when(F.col("method") == F.lit(default), margin).otherwise(0.0) if default else F.lit(0.0))
     return every.groupBy("seq_id").agg(F.min_by(F.struct("method", "predicted", "value"), F.struct(rank, "method")).alias("b")).select("seq_id", "b.*")
+
+
+#: Folds whose fits go on together, all folds, and steps of a fit at most.
+TOGETHER, MOST_FOLDS, STEPS = 1024, 100_000, 60
+
+
+def logistic_left_out(rows: DataFrame, features: list[str], label: str, by: str = "seq_id", strength: float = 0.35) -> DataFrame:
+    """The rows with `probability` of label 1, by logistic regressions each fitted without one value of `by`: classes weighted alike, features scaled by the training rows' means and deviations,
+    the L2 penalty 1 / (2 * strength), the intercept free.
+
+    All regressions go on together. A first fit over all rows gives, with one more pass in which each row adds to its own fold only, the second derivatives of every fold's loss at that
+    fit; from there each fold's weights take steps by these, and one pass a step gives the gradients of up to TOGETHER folds as one product of matrices. Folds lie so near the
+    first fit that few steps are needed. A fold whose training rows are of one class predicts its share.
+
+    Rows of null label or `by` take no part; null or non-finite features count as 0; an empty table gives no rows. What is on the driver grows with the folds, MOST_FOLDS at most."""
+    spark, p = rows.sparkSession, len(features)
+    clean = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(0.0)
+    rows = rows.where(F.col(by).isNotNull() & F.col(label).isNotNull())
+    base = stored(rows.withColumns({"_f": F.col(by).cast("string"), "_y": F.col(label).cast("double"), "_x": F.array(*map(clean, features))}), "examples")
+    x = lambda i: F.col("_x")[i]
+    about = base.agg(*[g(x(i)).alias(f"{n}_{i}") for i in range(p) for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    middle, scale = (np.array([about[f"{n}_{i}"] or (n == "s") * 1.0 for i in range(p)], float) for n in "ms")
+    z = lambda i: (x(i) - F.lit(float(middle[i]))) / F.lit(float(scale[i]))
+    found = base.groupBy("_f").agg(F.count_if(F.col("_y") == 1).alias("n1"), F.count_if(F.col("_y") != 1).alias("n0"), *(F.sum(z(i)).alias(f"a_{i}") for i in range(p)), *(F.sum(z(i) * z(i)).alias(f"b_{i}") for i in range(p))).orderBy("_f").limit(MOST_FOLDS + 1).collect()
+    if len(found) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds")
+    names = [r["_f"] for r in found]
+    own = np.array([[r["n0"], r["n1"]] for r in found], float).reshape(-1, 2)
+    n = own.sum(0) - own  # training rows of each class
+    sums, squares = (np.array([[r[f"{c}_{i}"] for i in range(p)] for r in found], float).reshape(-1, p) for c in "ab")
+    size = np.maximum(n.sum(1), 1)[:, None]
+    mean = (sums.sum(0) - sums) / size
+    var = (squares.sum(0) - squares) / size - mean**2
+    # In units of all rows' deviations the penalty on a weight is the fold's own variance.
+    penalty = np.column_stack((np.zeros(len(names)), np.where(var > 1e-12, var, 1.0))) / strength
+    weight = lambda k: np.where(k > 0, k.sum(-1, keepdims=True) / (2 * np.maximum(k, 1)), 0.0)
+    total = own.sum(0)
+    all_weight, all_penalty = weight(total), np.concatenate(([0.0], np.ones(p))) / strength
+
+    def matrices(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        v = (np.asarray(b.column(2).flatten(), float).reshape(-1, p) - middle) / scale
+        return np.column_stack((np.ones(len(v)), v)), np.asarray(b.column(1), float), b.column(0).to_pylist()
+
+    def sigmoid(v: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
+
+    def curves(w: np.ndarray, keys: bool):
+        """Sums of gradient and second derivatives over the rows of each class (and fold) at weights w."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {}
+            for b in batches:
+                a, y, f = matrices(b)
+                q = sigmoid(a @ w)
+                codes = np.array([at[k] for k in f]) * keys
+                for c in np.unique(codes * 2 + (y == 1)):
+                    mine = codes * 2 + (y == 1) == c
+                    g = (q[mine] - y[mine]) @ a[mine]
+                    h = (a[mine] * (q[mine] * (1 - q[mine]))[:, None]).T @ a[mine]
+                    held[int(c)] = held.get(int(c), 0.0) + np.concatenate((g, h.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["c", "v"])
+
+        at = {k: i for i, k in enumerate(names)} if keys else dict.fromkeys(names, 0)
+        parts = base.select("_f", "_y", "_x").mapInArrow(run, "c long, v array<double>")
+        width = (p + 1) * (p + 2)
+        return {r["c"]: np.array(r["v"]) for r in parts.groupBy("c").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(width))).alias("v")).collect()}
+
+    split = lambda v: (v[: p + 1], v[p + 1 :].reshape(p + 1, p + 1))
+    none = np.zeros((p + 1) * (p + 2))
+    w = np.zeros(p + 1)
+    if names and (total > 0).all():
+        for _ in range(STEPS):
+            got = curves(w, False)
+            g, h = split(sum(all_weight[c] * got.get(c, none) for c in (0, 1)))
+            step = np.linalg.solve(h + np.diag(all_penalty) + 1e-12 * np.eye(p + 1), g + all_penalty * w)
+            w = w - np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-4:  # a start for the folds
+                break
+    each = curves(w, True) if names else {}
+    both = [sum((v for c, v in each.items() if c % 2 == k), none) for k in (0, 1)]
+    fits = np.tile(w, (len(names), 1))
+    for start in range(0, len(names), TOGETHER):
+        folds = np.arange(start, min(start + TOGETHER, len(names)))
+        folds = folds[(n[folds] > 0).all(1)]
+        if not len(folds):
+            continue
+        class_weight = weight(n[folds])
+        inverse = np.linalg.inv(np.stack([split(sum(class_weight[i, k] * (both[k] - each.get(2 * int(f) + k, none)) for k in (0, 1)))[1] + np.diag(penalty[f]) for i, f in enumerate(folds)]) + 1e-12 * np.eye(p + 1))
+        place = {names[f]: i for i, f in enumerate(folds)}
+        for _ in range(STEPS):
+            shared = spark.sparkContext.broadcast((fits[folds], class_weight, place))
+
+            def gradients(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                u, k, at = shared.value
+                out = np.zeros_like(u)
+                for b in batches:
+                    a, y, f = matrices(b)
+                    r = (sigmoid(a @ u.T) - y[:, None]) * np.where((y == 1)[:, None], k[:, 1], k[:, 0])
+                    for i, name in enumerate(f):
+                        if name in at:
+                            r[i, at[name]] = 0.0
+                    out += r.T @ a
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out.tolist(), pa.list_(pa.float64()))], names=["i", "g"])
+
+            got = base.select("_f", "_y", "_x").mapInArrow(gradients, "i long, g array<double>").groupBy("i").agg(F.array(*(F.sum(F.col("g")[j]) for j in range(p + 1))).alias("g")).orderBy("i").collect()
+            g = np.array([r["g"] for r in got]) + penalty[folds] * fits[folds]
+            step = np.einsum("fij,fj->fi", inverse, g)
+            fits[folds] -= np.clip(step, -5, 5)
+            shared.unpersist()
+            if np.abs(step).max() < 1e-8:
+                break
+    share = n[:, 1] / np.maximum(n.sum(1), 1)
+    table = spark.createDataFrame([(k, float(s) if not (m > 0).all() else None, v.tolist()) for k, s, m, v in zip(names, share, n, fits, strict=True)], "_f string, _s double, _w array<double>")
+    raw = F.aggregate(F.zip_with(F.array(*(z(i) for i in range(p))), F.slice("_w", 2, p), lambda a, b: a * b), F.col("_w")[0], lambda s, v: s + v)
+    out = base.join(table, "_f").withColumn("probability", F.coalesce("_s", 1 / (1 + F.exp(-raw))))
+    return out.drop("_f", "_y", "_x", "_s", "_w")

@@ -21,8 +21,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.rollup("seq_id").agg(F.avg("pk").alias("pk"), F.avg("wd").alias("wd"), F.count("*").alias("n")))
 
 
-def battery(spark: SparkSession, sf_dir: str, methods: list[str] | None = None) -> DataFrame:
-    """(method, n, pk, wd, bs, f1): means over sequences. The method is part of the sequence key, so metrics of all methods are one pass."""
+def results(spark: SparkSession, sf_dir: str, methods: list[str] | None = None) -> DataFrame:
+    """(method, seq_id, pk, wd, bs, f1) of registry methods on each sequence: the result cube that portfolio and selector operators take."""
     methods = methods or DEFAULT
     units = T.two_models(spark, sf_dir)
     sizes, refs = T.sizes(units), T.references(units)
@@ -32,4 +32,9 @@ def battery(spark: SparkSession, sf_dir: str, methods: list[str] | None = None)
     every = lambda df: key(df.withColumn("method", F.explode(F.array(*map(F.lit, methods)))))  # noqa: E731  a short fixed list
     hyp, refs, sizes = key(hyp), every(refs), every(sizes)
     m = metrics.evaluate(hyp, refs, sizes, (2,)).withColumnRenamed("f1_t2", "f1")
-    return rounded(m.groupBy(F.col("seq_id.method").alias("method")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("pk", "wd", "bs", "f1")]))
+    return m.select("seq_id.method", "seq_id.seq_id", "pk", "wd", "bs", "f1")
+
+
+def battery(spark: SparkSession, sf_dir: str, methods: list[str] | None = None) -> DataFrame:
+    """(method, n, pk, wd, bs, f1): means over sequences. The method is part of the sequence key, so metrics of all methods are one pass."""
+    return rounded(results(spark, sf_dir, methods).groupBy("method").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("pk", "wd", "bs", "f1")]))

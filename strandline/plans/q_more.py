@@ -45,18 +45,6 @@ def good(s, d):
     return cube(s, d).where("error is null")
 
 
-def selector(s, d):
-    return rounded(learning.chosen(learning.ridge_left_out(sequence_features(s, d), COLUMNS, good(s, d))))
-
-
-def guarded(s, d):
-    return rounded(learning.guarded(learning.ridge_left_out(sequence_features(s, d), COLUMNS, good(s, d)), good(s, d), "dp"))
-
-
-def domain_out(s, d):
-    return rounded(learning.chosen(learning.ridge_left_out(sequence_features(s, d), COLUMNS, good(s, d), by="domain")))
-
-
 def forest(s, d):
     return rounded(learning.select_methods(sequence_features(s, d), COLUMNS, good(s, d), "forest", folds=3))
 
@@ -72,10 +60,7 @@ QUERIES = {
     "gap_features": lambda s, d: rounded(gap_features(s, d)),
     "gap_classifier": classifier("logistic"),
     "gap_classifier_boosted": classifier("boosted"),
-    "method_selector": selector,
     "method_selector_forest": forest,
-    "guarded_selector": guarded,
-    "selector_domain_out": domain_out,
     "region_rollup": revenue,
     "pause_sessions": lambda s, d: rounded(sessions.sessions(T.read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "2 hours").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")),
     "hashed_vectors": lambda s, d: rounded(text.hashed_vectors(T.turns(s, d), 8).select("seq_id", "pos", F.col("vec")[0].alias("v0"), F.col("vec")[7].alias("v7"))),

@@ -1,60 +1,9 @@
-"""Regressions with sequences left out against fits without them."""
+"""Numbering, spread choices and candidate features against plain forms."""
 
 import numpy as np
 import pytest
 
-from strandline.operators import candidates, learning, stats
-
-
-@pytest.fixture(scope="module")
-def tables(spark):
-    rng = np.random.default_rng(1)
-    f = [(i, float(a), float(b), i % 3) for i, (a, b) in enumerate(rng.standard_normal((30, 2)))]
-    c = [(i, m, float(0.4 + w * a - 0.05 * b + rng.normal() * 0.02), float(0.5 + w * a + rng.normal() * 0.02)) for i, a, b, _ in f for m, w in (("x", 0.1), ("y", -0.1), ("z", 0.0)) if (i, m) != (4, "y")]
-    return spark.createDataFrame(f, "seq_id long, a double, b double, g int"), spark.createDataFrame(c, "seq_id long, method string, pk double, wd double"), f, c
-
-
-def plain(f, c, left):
-    """Predictions of ridge regressions, each without the sequences that `left` gives for a sequence."""
-    x = np.array([r[1:3] for r in f])
-    x = np.column_stack((np.ones(len(x)), (x - x.mean(0)) / x.std(0)))
-    out = {}
-    for m in "xyz":
-        rows = [(r[0], r[2]) for r in c if r[1] == m]
-        for i, y in rows:
-            keep = [(j, v) for j, v in rows if j not in left(i)]
-            a, b = x[[j for j, _ in keep]], np.array([v for _, v in keep])
-            w = np.linalg.solve(a.T @ a + np.diag([0.0, 1.0, 1.0]), a.T @ b)
-            out[i, m] = x[i] @ w
-    return out
-
-
-def test_left_out_predictions(tables):
-    features, cube, f, c = tables
-    got = {(r["seq_id"], r["method"]): r["predicted"] for r in learning.ridge_left_out(features, ["a", "b"], cube).collect()}
-    want = plain(f, c, lambda i: {i})
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
-    got = {(r["seq_id"], r["method"]): r["predicted"] for r in learning.ridge_left_out(features, ["a", "b"], cube, by="g").collect()}
-    want = plain(f, c, lambda i: {j for j in range(30) if j % 3 == i % 3})
-    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
-
-
-def test_guarded_choice(tables):
-    features, cube, f, c = tables
-    predictions = learning.ridge_left_out(features, ["a", "b"], cube)
-    got = {r["seq_id"]: r for r in learning.guarded(predictions, cube, "z").collect()}
-    p = {(r["seq_id"], r["method"]): r["predicted"] for r in predictions.collect()}
-    value = {(r[0], r[1]): r[2:] for r in c}
-    best = {i: min((p[i, m], m) for m in "xyz" if (i, m) in p)[1] for i in range(30)}
-    margin = {i: p[i, "z"] - p[i, best[i]] for i in range(30)}
-    for i in range(30):
-        ranked = []
-        for t in learning.MARGINS:
-            rows = [value[j, best[j] if margin[j] >= t else "z"] for j in range(30) if j != i]
-            pk, wd = np.mean(rows, 0)
-            ranked.append((round((pk + wd) / 2, 4), round(pk, 4), sum(margin[j] >= t for j in range(30) if j != i), t))
-        t = min(ranked)[3]
-        assert got[i]["threshold"] == t and got[i]["method"] == (best[i] if margin[i] >= t else "z")
+from strandline.operators import candidates, stats
 
 
 def test_numbering_by_ranges(spark):
