@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gaps, grouped, metrics, select
+from ..operators import gaps, metrics, select
 from ..sources import tables as T
+from . import combinations
 from .common import fixed, rounded
 
 DEFAULT = ["cosine", "divisive", "divisive_smooth9", "dp", "treeseg", "depth", "cross_e5_frac70", "cross_e5_frac70_minlen10", "iterative_cross_e5", "hierarchical"]
@@ -27,7 +28,7 @@ def results(spark: SparkSession, sf_dir: str, methods: list[str] | None = None)
     units = T.two_models(spark, sf_dir)
     sizes, refs = T.sizes(units), T.references(units)
     k = refs.groupBy("seq_id").agg((F.count("*") + 1).cast("int").alias("k"))
-    hyp = grouped.run_methods(units, sizes.join(k, "seq_id", "left").select("seq_id", F.coalesce("k", F.lit(1)).alias("k")), methods)
+    hyp = combinations.run_methods(units, sizes.join(k, "seq_id", "left").select("seq_id", F.coalesce("k", F.lit(1)).alias("k")), methods)
     key = lambda df: df.withColumn("seq_id", F.struct("seq_id", "method")).drop("method")
     every = lambda df: key(df.withColumn("method", F.explode(F.array(*map(F.lit, methods)))))  # noqa: E731  a short fixed list
     hyp, refs, sizes = key(hyp), every(refs), every(sizes)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import gaps, grouped, metrics, select, text
 from ..operators import segmenters as S
 from ..sources import tables as T
-from . import registry, sql_splits
+from . import combinations, registry, sql_splits
 from .battery import battery
 from .common import fixed, rounded
 from .q_gaps import frame_sql, mean_sql
@@ -25,7 +25,7 @@ def wanted(s, d):
 
 
 def method(*names):
-    return lambda s, d: rounded(grouped.run_methods(units(s, d), wanted(s, d), list(names)))
+    return lambda s, d: rounded(combinations.run_methods(units(s, d), wanted(s, d), list(names)))
 
 
 def single(f):
@@ -81,7 +81,7 @@ QUERIES = {
     "combined_depth": method("cross_e5_combined_depth"),
     "iterative": method("iterative_cross_e5", "iterative_v2_frac75", "iterative_fw_e5base", "contrastive_e5base"),
     "constrained_vote": method("cross_e5_constrained_minlen10"),
-    "method_registry": lambda s, d: rounded(grouped.run_methods(units(s, d), wanted(s, d), registry.names())),
+    "method_registry": lambda s, d: rounded(combinations.run_methods(units(s, d), wanted(s, d), registry.names())),
     "method_catalogue": catalogue,
     "c99_lite": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["c99"])),
     "texttiling": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["texttiling"])),
