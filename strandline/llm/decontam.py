@@ -11,7 +11,8 @@ must both reach VERIFIED.
 An item's answer is its last sentence, or the last third of its words if it has but one sentence.
 
 Defined results: one row for each document and item that are verified, with the best overlaps found; null and empty texts and items without words
-give none. Items that repeat an id give a row each, and documents that repeat an id theirs. Items of which there are more than fit MOST_BYTES are indexed in several parts, each queried with all passages.
+give none. Items that repeat an id give a row each, and documents that repeat an id theirs. Items of which there are more than fit MOST_BYTES are indexed in several parts, each queried with all passages. Other columns are ignored, whatever their names; empty tables give no rows. The words of one text are held at a
+time, with a number for each of its passages and blocks, so very long texts cost some hundred bytes a word.
 """
 
 from __future__ import annotations

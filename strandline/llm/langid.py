@@ -11,6 +11,9 @@ single labelled row every text is `und`. `rejected` marks `und` and texts whose
 The threshold is set on rows held back from fitting and on junk made of them, their characters in random order, which keeps letters and lengths of
 words but no language: it rejects JUNK of that junk, unless this would cost more than COST of the held-back texts that are labelled rightly, or there are too few of
 these to tell.
+
+Repeated rows are predicted each, and count as often in fitting; other columns are ignored, whatever their names; an empty table gives no rows; very long texts are read in pieces. The fitting
+sample covers the 1,000 most frequent languages, PER_LANGUAGE rows of each, so rarer ones are never predicted.
 """
 
 from __future__ import annotations

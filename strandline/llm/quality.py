@@ -6,7 +6,8 @@ sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^
 scores are a logistic of the machine's output, calibrated on rows held back from fitting.
 
 Defined results: null and empty texts are scored from their statistics like any other; without a labelled row each score is 0.5.
-Labels of a document that has several rows with different values count once each.
+Labels of a document that has several rows with different values count once each. Documents' repeated rows are scored each, and count as often in fitting; other columns are
+ignored, whatever their names; an empty table gives no rows. The words of one text are held at a time, some 60 bytes each.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Only distinct fingerprints are replicated, with the smallest id of their class.
 smallest member of each linked set, so a dense group gives as many links as members, not pairs. Components then join the stars.
 
 Defined results: texts without words have fingerprint zero and link like any other; fewer words than a shingle has make one
-shingle; rows repeat as in the input; a null id takes no part in linking and gets the component of its fingerprint's class, if any.
+shingle; rows repeat as in the input; a null id takes no part in linking and gets the component of its fingerprint's class, if any; a bit set in exactly half of the
+shingles is 0; other columns are ignored, whatever their names; an empty table gives no rows; very long texts are hashed in blocks.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import sys
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from strandline.llm import lpf_dedup
@@ -69,6 +70,15 @@ def test_empty_table(spark, docs):
         assert stage(spark, rows, SF).count() == 0
 
 
+def test_clashing_columns_are_left_out(spark, docs):
+    rows = docs[0].where("doc_id < 50 or doc_id >= 10000")
+    for name in ("id", "t", "k", "root", "digest", "block", "part", "score", "spans", "kept"):
+        rows = rows.withColumn(name, F.lit("other"))
+    for _, stage in pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, SF)
+        assert rows.columns == pipeline.COLUMNS and rows.count() > 0
+
+
 def test_the_rest_imports_without_these_folders(tmp_path):
     code = textwrap.dedent("""
         import sys

@@ -87,6 +87,7 @@ def test_quality(spark, docs):
     assert np.mean([(got[k] >= 0.5) == v for k, v in want.items()]) > 0.95
     rows = quality.score(odd(spark), model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.score(docs.limit(0), model).count() == 0
     none = quality.fit(docs, labels.limit(0), "quality")
     assert {r["score"] for r in quality.score(docs.limit(3), none).collect()} == {0.5}
 

@@ -175,3 +175,10 @@ def test_ties_keep_the_earliest_start():
     count = tokencount.Counter(v)
     for t in ("a", "aa", "aaa", "aaaa", "b", "ab", "bb ab"):
         assert count(t) == len(exact.encode(t, add_special_tokens=False).ids), t
+
+
+def test_token_counts_of_empty_tables_and_very_long_words(spark):
+    vocabulary = [("\u2581", -1.0), ("a", -2.0), ("aa", -2.5), ("\u2581a", -1.5)]
+    docs = spark.createDataFrame([(1, "a" * 100_001, "x"), (2, "b" * 50_000, "y")], "doc_id long, text string, n_tokens string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(docs, vocabulary).collect()}
+    assert got == {1: 50_001, 2: 2} and tokencount.count_tokens(docs.limit(0), vocabulary).count() == 0
