@@ -1,7 +1,7 @@
 """The training-data pipeline: stages over the documents, each written and read again.
 
 Every stage works on all its predecessor kept. All but the last return the columns of documents; the last returns packed token sequences.
-Rows of null doc_id can't be named: the near-duplicate stage leaves them, as does suffix-array dedup, and they are packed like others.
+Columns that documents don't have are left out by the first stage. Rows of null doc_id can't be named: the near-duplicate stage leaves them, as does suffix-array dedup, and they are packed like others.
 SQL can express none of these models and codes, so ORACLE_SQL is None; tests hold each stage against a brute-force version.
 """
 
@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification, fit on the documents' own language labels, doesn't reject."""
+    """Documents that language identification, fit on the documents' own language labels, doesn't reject. Null texts, empty ones and those without a letter have no language and go."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     return langid.keep(docs, langid.fit(docs))
