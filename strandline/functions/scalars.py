@@ -130,3 +130,68 @@ def softmax(score: Column, by: list[str], temperature: float = 1.0) -> Column:
     w = Window.partitionBy(*by)
     x = F.exp((score - F.max(score).over(w)) / temperature)
     return x / F.sum(x).over(w)
+
+
+# Seconds and units that a segment is meant to have, by length asked for; bounds and weights of the estimate.
+LENGTHS = {"short": (270, 55), "medium": (390, 80), "long": (540, 115)}
+# Words that a title leaves out.
+STOP_WORDS = (
+    "the a an is are was were be been being have has had do does did will would could should may might shall can "
+    "so yet both either neither each few more most other some such no not only same than too very just it its this "
+    "that these those of in to for with on at from by about as into through during before after above below between out "
+    "off over under again then once i we you he she they but and or if because while although though"
+).split()
+# What speaks for a domain, in order of domains.
+DOMAIN_WORDS = {
+    "Mathematics": ["math", "calculus", "algebra", "equation", "proof", "integral", "derivative", "topology", "number theory"],
+    "Physics": ["physics", "quantum", "mechanics", "thermodynamics", "electromagnetism", "relativity", "optics", "wave"],
+    "Biology": ["bio", "cell", "protein", "gene", "dna", "neural", "evolution", "organism", "biochem", "genetics"],
+    "Computer Science": ["algorithm", "programming", "compute", "machine learning", "data structure", "deep learning", "software", "compiler", "network"],
+    "Philosophy": ["philos", "ethics", "logic", "argument", "socrates", "epistemology", "metaphysics", "kant", "plato"],
+}
+
+
+def chapters_for(n: Column) -> Column:
+    """Chapters of a sequence of n units without a reference."""
+    return F.greatest(F.lit(2), F.floor(n / 40)).cast("int")
+
+
+def subtopics_for(n: Column) -> Column:
+    return F.greatest(F.lit(3), F.floor(n / 20)).cast("int")
+
+
+def estimated_segments(n: Column, seconds: Column, length: str = "medium") -> Column:
+    """Segments of n units in so many seconds: 0.65 of the estimate by time and 0.35 of that by units, half-even, from 2 to 25."""
+    per_time, per_unit = LENGTHS[length]
+    by = lambda x, per: F.greatest(F.lit(2), F.bround(F.greatest(x, F.lit(1)) / per).cast("int") + 1)
+    return F.least(F.lit(25), F.greatest(F.lit(2), F.bround(F.round(0.65 * by(seconds, per_time) + 0.35 * by(n, per_unit), 9)).cast("int")))
+
+
+def section_title(texts: Column, number: Column, most: int = 6) -> Column:
+    """A title from the first `most` texts of a segment: of each text of four words or more the first clause's words but stop words and those of up to two letters; six of them, if they are three
+    or more and make 15 characters. The longest counts (up to 50 characters, the first on a tie), cut at 52; without one, the section's number."""
+    words = lambda t: F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")
+
+    def title(t: Column) -> Column:
+        kept = F.filter(words(F.split(F.trim(t), "[,;.!?]")[0]), lambda w: ~F.lower(w).isin(STOP_WORDS) & (F.length(w) > 2))
+        joined = F.lower(F.array_join(F.slice(kept, 1, 6), " "))
+        whole = F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 20))
+        return F.when((F.size(words(t)) >= 4) & (F.size(kept) >= 3) & (F.length(whole) >= 15), whole)
+
+    found = F.filter(F.transform(F.slice(texts, 1, most), title), lambda t: t.isNotNull())
+    longest = F.array_max(F.transform(found, lambda t: F.least(F.length(t), F.lit(50))))
+    best = F.element_at(F.filter(found, lambda t: F.least(F.length(t), F.lit(50)) == longest), 1)
+    return F.when(F.size(found) > 0, F.concat(F.substring(best, 1, 52), F.when(F.length(best) > 52, "\u2026").otherwise(""))).otherwise(F.concat(F.lit("Section "), number.cast("string")))
+
+
+def domain_votes(text: Column) -> Column:
+    """How many of each domain's words a text holds, as an array in order of domains."""
+    low = F.lower(text)
+    return F.array(*(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for words in DOMAIN_WORDS.values()))
+
+
+def voted_domain(text: Column) -> Column:
+    """The domain of most votes, the first on a tie; General without any."""
+    votes = domain_votes(text)
+    names = F.array(*map(F.lit, DOMAIN_WORDS))
+    return F.when(F.array_max(votes) > 0, F.element_at(names, F.array_position(votes, F.array_max(votes)).cast("int"))).otherwise(F.lit("General"))

@@ -144,3 +144,16 @@ def training_pairs(units: DataFrame, boundaries: DataFrame, most: int = 3) -> Da
     u = units.select("seq_id", "pos").join(marks, ["seq_id", "pos"], "left").withColumn("_b", F.coalesce("_b", F.lit(0))).withColumn("seg", F.sum("_b").over(w)).withColumn("prev", F.lag("pos").over(w)).where("prev is not null")
     r = F.row_number().over(Window.partitionBy("seq_id", "seg", "_b").orderBy("pos"))
     return u.withColumn("_r", r).where(F.col("_r") <= most).select("seq_id", F.col("prev").alias("a"), F.col("pos").alias("b"), (1 - F.col("_b")).alias("label"))
+
+
+def robustness(settings: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(setting, n, pk, wd, f1, is_best_pk, is_best_wd, is_best_balanced) of choices (seq_id, method, pk, wd, f1) under several settings, a short list, and which setting is best by (pk, wd),
+    (wd, pk) and ((pk + wd) / 2, pk); the first in order of names on a tie."""
+    rows = None
+    for name, choice in settings:
+        part = choice.agg(F.lit(name).alias("setting"), F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ("pk", "wd", "f1")))
+        rows = part if rows is None else rows.union(part)
+    pk, wd = F.round("pk", 9), F.round("wd", 9)
+    keys = {"is_best_pk": F.struct(pk, wd, "setting"), "is_best_wd": F.struct(wd, pk, "setting"), "is_best_balanced": F.struct(F.round((F.col("pk") + F.col("wd")) / 2, 9), pk, "setting")}
+    best = rows.agg(*(F.min_by("setting", k).alias(c) for c, k in keys.items()))
+    return rows.join(F.broadcast(best)).select("setting", "n", "pk", "wd", "f1", *((F.col("setting") == F.col(c)).alias(c) for c in keys))

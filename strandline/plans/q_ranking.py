@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align, folds, gaps, learning, maps, search
+from ..functions import scalars
+from ..operators import align, folds, gaps, learning, maps, metrics, search
 from ..operators import candidates as C
 from ..sources import tables as T
 from ..sources.stored import stored
@@ -87,7 +88,50 @@ def fusion(s, d):
     return rounded(m.groupBy("method").agg(F.count("*").alias("n"), F.avg("pk").alias("pk"), F.avg("wd").alias("wd")))
 
 
+def counts(s, d):
+    """Segments of each document without a reference; a word lasts half a second."""
+    u = T.text_units(s, d).withColumn("_w", F.size(F.split("text", r"\s+")))
+    g = u.groupBy("seq_id").agg(F.count("*").alias("n"), (F.sum("_w") / 2).alias("seconds"))
+    return g.select("seq_id", "n", scalars.chapters_for(F.col("n")).alias("chapters"), scalars.subtopics_for(F.col("n")).alias("subtopics"), *(scalars.estimated_segments(F.col("n"), F.col("seconds"), x).alias(x) for x in scalars.LENGTHS))
+
+
+def titles(s, d):
+    """(seq_id, number, title, domain): each ten units of a document are a section."""
+    u = T.text_units(s, d).withColumn("number", F.floor(F.col("pos") / 10) + 1)
+    g = u.groupBy("seq_id", "number").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("t"))
+    return g.select("seq_id", "number", scalars.section_title(F.col("t"), F.col("number")).alias("title"), scalars.voted_domain(F.array_join(F.slice("t", 1, 6), " ")).alias("domain"))
+
+
+def seven(s, d):
+    """The gap features with a pause and a shot score beside them."""
+    from .q_more import gap_features
+
+    both = ["seq_id", "boundary"]
+    pause, shot = Q.signal(s, d, ((F.col("pos") * 37) % 11) / 10.0), Q.signal(s, d, (F.col("pos") % 7 == 0).cast("double"))
+    return gap_features(s, d).join(pause.withColumnRenamed("score", "pause"), both).join(shot.withColumnRenamed("score", "shot"), both)
+
+
+def subtopics(s, d):
+    """(method, n, pk, wd, f1_t1, f1_t2, f1_t3, f1_t5): methods asked for as many segments as there are subtopics, against these; means to four digits, best first."""
+    from . import combinations
+
+    u = T.two_models(s, d)
+    refs = T.references(T.vectors(s, d))
+    k = refs.groupBy("seq_id").agg(F.greatest(F.lit(2), F.count("*").cast("int")).alias("k"))
+    z, methods = T.sizes(u).join(k, "seq_id").select("seq_id", "n"), ["cross_e5_frac70_minlen11", "cross_e5_frac70_minlen10", "divisive", "two_stage", "hierarchical"]
+    key = F.struct("seq_id", "method").alias("seq_id")
+    every = lambda df, c: df.select("*", F.explode(F.array(*map(F.lit, methods))).alias("method")).select(key, c)
+    hyp = combinations.run_methods(u, k, methods).select(key, "boundary")
+    m = metrics.evaluate(hyp, every(refs, "boundary"), every(z, "n"), (1, 2, 3, 5))
+    means = m.groupBy(F.col("seq_id.method").alias("method")).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in ("pk", "wd", "f1_t1", "f1_t2", "f1_t3", "f1_t5")))
+    return rounded(means)
+
+
 QUERIES = {
+    "count_heuristics": lambda s, d: rounded(counts(s, d)),
+    "section_titles": lambda s, d: rounded(titles(s, d)),
+    "gap_features_seven": lambda s, d: rounded(seven(s, d)),
+    "subtopic_evaluation": subtopics,
     "weight_search": weights,
     "fusion_grid": fusion,
     "candidate_ranker": lambda s, d: rounded(ranker(s, d)),
@@ -134,3 +178,21 @@ SELECT split_part(seq_id, ':', 2)::BIGINT AS point, count(*) AS n, round(avg(pk)
 SQL["weight_search"] = weights_sql()
 
 SQL["segment_function"] = q_segment.SQL["divisive"]
+
+WORDS = r"list_filter(string_split_regex(trim({t}), '\s+'), lambda w: w <> '')"
+STOP = "[" + ", ".join(f"'{w}'" for w in scalars.STOP_WORDS) + "]"
+SQL["count_heuristics"] = rf"""{T.with_("units")}, g AS (SELECT seq_id, count(*) AS n, sum(len(string_split_regex(text, '\s+'))) / 2 AS seconds FROM units GROUP BY seq_id)
+SELECT seq_id, n, greatest(2, n // 40)::BIGINT AS chapters, greatest(3, n // 20)::BIGINT AS subtopics, """ + ", ".join(
+    f"least(25, greatest(2, round_even(round(0.65::DOUBLE * greatest(2, round_even(greatest(seconds, 1) / {a}, 0) + 1) + 0.35::DOUBLE * greatest(2, round_even(greatest(n, 1) / {b}, 0) + 1), 9), 0)))::BIGINT AS {x}" for x, (a, b) in scalars.LENGTHS.items()
+) + " FROM g"
+SQL["section_titles"] = rf"""{T.with_("units")}, w AS (SELECT seq_id, pos // 10 + 1 AS number, pos, text FROM units), g AS (SELECT seq_id, number, list(text ORDER BY pos)[1:6] AS t FROM w GROUP BY seq_id, number),
+k AS (SELECT seq_id, number, t, list_transform(t, lambda x: struct_pack(n := len({WORDS.format(t="x")}), w := list_filter({WORDS.format(t="string_split_regex(trim(x), '[,;.!?]')[1]")}, lambda w: NOT list_contains({STOP}, lower(w)) AND length(w) > 2))) AS c FROM g),
+j AS (SELECT seq_id, number, t, list_filter(list_transform(c, lambda x: CASE WHEN x.n >= 4 AND len(x.w) >= 3 THEN upper(left(array_to_string(x.w[1:6], ' '), 1)) || lower(substr(array_to_string(x.w[1:6], ' '), 2)) END), lambda x: x IS NOT NULL AND length(x) >= 15) AS f FROM k),
+b AS (SELECT seq_id, number, lower(array_to_string(t, ' ')) AS low, list_filter(f, lambda x: least(length(x), 50) = list_max(list_transform(f, lambda y: least(length(y), 50))))[1] AS best FROM j),
+v AS (SELECT *, [{", ".join("(" + " + ".join(f"contains(low, '{w}')::INT" for w in words) + ")" for words in scalars.DOMAIN_WORDS.values())}] AS votes FROM b)
+SELECT seq_id, number::BIGINT AS number, CASE WHEN best IS NULL THEN 'Section ' || number ELSE left(best, 52) || CASE WHEN length(best) > 52 THEN '…' ELSE '' END END AS title,
+CASE WHEN list_max(votes) > 0 THEN [{", ".join(f"'{x}'" for x in scalars.DOMAIN_WORDS)}][list_position(votes, list_max(votes))] ELSE 'General' END AS domain FROM v"""
+
+from .q_more import SQL as MORE  # noqa: E402
+
+SQL["gap_features_seven"] = f"SELECT g.*, ((boundary * 37) % 11) / 10.0::DOUBLE AS pause, (boundary % 7 = 0)::INT::DOUBLE AS shot FROM ({MORE['gap_features']}) g"

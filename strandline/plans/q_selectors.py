@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gaps, selectors
+from ..operators import gaps, portfolio, selectors
 from ..sources import tables as T
+from ..sources.stored import stored
 from . import battery
 from .common import fixed, rounded
 
@@ -44,7 +45,15 @@ def domain_out_by_trees(s, d):
     return rounded(selectors.chosen(selectors.tree_predictions(sequence_features(s, d), COLUMNS, battery.results(s, d), "balanced", by="domain")))
 
 
+def robust(s, d):
+    """Choices from pools of the best 3, 5 and 8 methods and of all."""
+    features, cube = stored(sequence_features(s, d), "features"), stored(battery.results(s, d), "results")
+    pools = [(f"top_{top}", selectors.chosen(selectors.predictions(features, COLUMNS, cube, "balanced", top))) for top in (3, 5, 8, 80)]
+    return rounded(portfolio.robustness(pools))
+
+
 QUERIES = {
+    "selector_robustness": robust,
     "sequence_features": lambda s, d: rounded(sequence_features(s, d)),
     "method_selector": plainly,
     "method_selector_trees": by_trees,

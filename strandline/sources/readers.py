@@ -64,9 +64,12 @@ def info_chapters(info: Column) -> Column:
     return F.when(F.size(c) > 0, kept)
 
 
-def info_files(spark: SparkSession, root: str, pattern: str = "*.info.json") -> DataFrame:
-    """(path, duration, chapters, flags) of info files below a folder."""
-    rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("info"))
+def info_files(spark: SparkSession, root: str, pattern: str = "*.info.json", fallback: str | None = "*.json") -> DataFrame:
+    """(path, duration, chapters, flags) of info files below a folder: those of the pattern or, if there are none, those of the fallback; names that start with _ are left out."""
+    found = lambda p: spark.read.option("pathGlobFilter", p).option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("info"))
+    rows = found(pattern)
+    if fallback and not rows.inputFiles():
+        rows = found(fallback)
     d = F.get_json_object("info", "$.duration").cast("double")
     return rows.select("path", d.alias("duration"), info_chapters(F.col("info")).alias("chapters")).withColumn("flags", sanity(F.col("chapters.start_time"), F.col("duration")))
 
