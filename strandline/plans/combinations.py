@@ -114,6 +114,8 @@ def run_methods(units: DataFrame, k: DataFrame, methods: list[str]) -> DataFrame
             over_gaps.append(name)
         else:
             left.append(name)
+    if all(s["how"] == "first" for s in specs if "how" in s) and all("how" in s for s in specs):  # splits alone, which need no table of maps
+        left, specs = [*left, *(s["name"] for s in specs)], []
     parts = []
     if specs:
         parts.append(of_maps(units, k, specs))
