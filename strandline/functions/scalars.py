@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -167,31 +169,46 @@ def estimated_segments(n: Column, seconds: Column, length: str = "medium") -> Co
     return F.least(F.lit(25), F.greatest(F.lit(2), F.bround(F.round(0.65 * by(seconds, per_time) + 0.35 * by(n, per_unit), 9)).cast("int")))
 
 
+def simple_lower(text: Column) -> Column:
+    """Lower case character by character, without regard to a word's end or to characters that become two."""
+    return F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))
+
+
+def simple_upper(character: Column) -> Column:
+    """The one upper-case character of one character: itself where upper case has two, but for the sharp s, which has a capital of its own."""
+    whole, title = F.upper(character), F.initcap(character)
+    return F.when(character == "\u00df", F.lit("\u1e9e")).when(F.length(whole) == 1, whole).when(F.length(title) == 1, title).otherwise(character)
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
 def section_title(texts: Column, number: Column, most: int = 6) -> Column:
     """A title from the first `most` texts of a segment: of each text of four words or more the first clause's words but stop words and those of up to two letters; six of them, if they are three
-    or more and make 15 characters. The longest counts (up to 50 characters, the first on a tie), cut at 52; without one, the section's number."""
+    or more and make 15 characters. The longest counts (up to 50 characters, the first on a tie), cut at 52; without one, the section's number. Case changes character by character."""
     words = lambda t: F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")
 
     def title(t: Column) -> Column:
-        kept = F.filter(words(F.split(F.trim(t), "[,;.!?]")[0]), lambda w: ~F.lower(w).isin(STOP_WORDS) & (F.length(w) > 2))
-        joined = F.lower(F.array_join(F.slice(kept, 1, 6), " "))
-        whole = F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 20))
-        return F.when((F.size(words(t)) >= 4) & (F.size(kept) >= 3) & (F.length(whole) >= 15), whole)
+        kept = F.filter(words(F.split(F.trim(t), "[,;.!?]")[0]), lambda w: ~simple_lower(w).isin(STOP_WORDS) & (F.length(w) > 2))
+        whole = lambda j: F.concat(simple_upper(F.substring(j, 1, 1)), simple_lower(F.substring(j, 2, 1 << 20)))
+        long_enough = lambda k: F.when(F.size(k) >= 3, bound(whole(F.array_join(F.slice(k, 1, 6), " ")), lambda x: F.when(F.length(x) >= 15, x)))
+        return F.when(F.size(words(t)) >= 4, bound(kept, long_enough))
 
     found = F.filter(F.transform(F.slice(texts, 1, most), title), lambda t: t.isNotNull())
-    longest = F.array_max(F.transform(found, lambda t: F.least(F.length(t), F.lit(50))))
-    best = F.element_at(F.filter(found, lambda t: F.least(F.length(t), F.lit(50)) == longest), 1)
-    return F.when(F.size(found) > 0, F.concat(F.substring(best, 1, 52), F.when(F.length(best) > 52, "\u2026").otherwise(""))).otherwise(F.concat(F.lit("Section "), number.cast("string")))
+    shown = lambda t: F.least(F.length(t), F.lit(50))
+    best = bound(found, lambda f: bound(F.array_max(F.transform(f, shown)), lambda longest: F.try_element_at(F.filter(f, lambda t: shown(t) == longest), F.lit(1))))
+    cut = lambda t: F.concat(F.substring(t, 1, 52), F.when(F.length(t) > 52, "\u2026").otherwise(""))
+    return F.coalesce(bound(best, cut), F.concat(F.lit("Section "), number.cast("string")))
 
 
 def domain_votes(text: Column) -> Column:
     """How many of each domain's words a text holds, as an array in order of domains."""
-    low = F.lower(text)
-    return F.array(*(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for words in DOMAIN_WORDS.values()))
+    return bound(simple_lower(text), lambda low: F.array(*(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for words in DOMAIN_WORDS.values())))
 
 
 def voted_domain(text: Column) -> Column:
     """The domain of most votes, the first on a tie; General without any."""
-    votes = domain_votes(text)
     names = F.array(*map(F.lit, DOMAIN_WORDS))
-    return F.when(F.array_max(votes) > 0, F.element_at(names, F.array_position(votes, F.array_max(votes)).cast("int"))).otherwise(F.lit("General"))
+    return bound(domain_votes(text), lambda votes: F.when(F.array_max(votes) > 0, F.element_at(names, F.array_position(votes, F.array_max(votes)).cast("int"))).otherwise(F.lit("General")))
