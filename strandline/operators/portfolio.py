@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 
 #: Points that are compared with each other: means of methods.
 MOST_METHODS = 5000
@@ -61,8 +62,9 @@ def shortlist(cube: DataFrame, top: int = 25, share: float = 0.8) -> DataFrame:
 
 
 def pareto(points: DataFrame) -> DataFrame:
-    """(method, dominated_by): how many methods are as good in pk, wd and f1 and better in one. Points are a short list, MOST_METHODS at most."""
-    m = points.select("method", "pk", "wd", "f1")
+    """(method, dominated_by): how many methods are as good in pk, wd and f1 and better in one. Points are a short list, MOST_METHODS at most; they are computed once, as
+    means added up in another order differ in their last digit, and a method must not be better than itself."""
+    m = stored(points.select("method", "pk", "wd", "f1"), "points")
     if m.limit(MOST_METHODS + 1).count() > MOST_METHODS:
         raise ValueError(f"more than {MOST_METHODS} points")
     o = m.select(F.col("method").alias("m2"), F.col("pk").alias("p2"), F.col("wd").alias("w2"), F.col("f1").alias("g2"))
@@ -75,6 +77,7 @@ def pareto(points: DataFrame) -> DataFrame:
 def operating_points(points: DataFrame, deployable: str = "role <> 'oracle'") -> DataFrame:
     """(method, dominated_by, is_best_pk, is_best_wd, is_best_balanced, is_best_deployable, is_best_hits) of points (method, role, pk, wd, f1): which of them is best by
     (pk, wd), (wd, pk), ((pk + wd) / 2, pk), the same among deployable ones, and by f1."""
+    points = stored(points, "points")
     balance = (F.col("pk") + F.col("wd")) / 2
     keys = {"is_best_pk": F.struct("pk", "wd", "method"), "is_best_wd": F.struct("wd", "pk", "method"), "is_best_balanced": F.struct(balance, F.col("pk"), F.col("method")), "is_best_hits": F.struct(-F.col("f1"), F.col("method"))}
     best = points.agg(*[F.min_by("method", k).alias(n) for n, k in keys.items()], F.min_by("method", F.when(F.expr(deployable), F.struct(balance.alias("b"), F.col("pk"), F.col("method")))).alias("is_best_deployable"))
