@@ -26,6 +26,8 @@ from . import trees
 from .stats import before
 
 MOST_METHODS, MOST_PAIRS, MOST_SETS = 500, 20_000, 200
+#: Sequences that a task of trees holds; beyond that, or with missing features, each fold's rows are dealt out.
+MOST_LEFT_OUT = 100_000
 #: Sequences of a block, two of which meet in a task, and fits that are solved together.
 BLOCK, FITS = 256, 128
 MARGINS = (-0.01, -0.005, 0.0, 0.0025, 0.005, 0.01, 0.02, 0.04, 0.08, 0.12)
@@ -337,7 +339,11 @@ def training_rows(features: DataFrame, columns: list[str], cube: DataFrame, prim
     have, with the rows it trains on and those it is asked about; key is (seq_id, method, place, pk, wd, f1), x has missing features filled by the fold's medians.
 
     A fold reads all other rows, as leaving each sequence out is defined: n folds of n sequences each. Where that is too much, give `by` a column of a few groups."""
-    rows, missing = pooled(features, columns, cube, by)
+    return dealt(*pooled(features, columns, cube, by), columns, primary, top, by, baseline)
+
+
+def dealt(rows: DataFrame, missing: list[int], columns: list[str], primary: str, top: int, by: str | None, baseline: str | None) -> DataFrame:
+    """The training rows of pooled ones."""
     p, people, bases = problem(rows, missing, columns, primary, top, 10.0, by, baseline, fill=False)
     kind = dict(people.dtypes)["seq_id"]
 
@@ -375,8 +381,49 @@ def training_rows(features: DataFrame, columns: list[str], cube: DataFrame, prim
     return every.join(middle, "fold", "left").select("fold", "key", "train", F.concat(F.array(*filled), F.slice("x", after + 1, 4)).alias("x"), "y")
 
 
+def left_out_by_trees(rows: DataFrame, columns: list[str], primary: str, top: int, baseline: str | None, count: int, leaf: int, seed: int) -> DataFrame:
+    """Predictions by trees without each sequence, of pooled rows that miss no feature: some trees of all folds with the same candidates are one task's, which reads all sequences."""
+    p, people, bases = problem(rows, [], columns, primary, top, 10.0, None, baseline, fill=False)
+    key, m = dict(people.dtypes)["seq_id"], len(p.names)
+
+    def about(batches):
+        for b in batches:
+            u, has, values = arrays(p, b)
+            _, mean, part, place = candidates(p, bases["0"], has[:, None], values[:, None], has)
+            c = np.concatenate(((place / np.maximum(1, part.sum(1) - 1)[:, None])[..., None], mean), -1)
+            masks = ["".join("01"[int(x)] for x in one) for one in part]
+            found = np.where(has[..., None], values, np.nan).reshape(len(b), -1)
+            yield pd.DataFrame({"seq_id": b["seq_id"], "u": list(u), "v": list(found), "place": list(place.astype(np.int32)), "c": list(c.reshape(len(b), -1)), "mask": masks})
+
+    told = stored(people.mapInPandas(about, f"seq_id {key}, u array<double>, v array<double>, place array<int>, c array<double>, mask string"), "left_out")
+    masks = told.where(F.contains("mask", F.lit("1"))).select(F.col("mask").alias("m")).distinct()
+    chunks = -(-count // trees.CHUNK)
+    parts = told.crossJoin(masks).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(trees.PARTS, "m", "i")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        mask, first = part["m"].iloc[0], int(part["i"].iloc[0]) * trees.CHUNK
+        mine = np.flatnonzero([x == "1" for x in mask])
+        part = part.sort_values("seq_id")
+        table = lambda c, *shape: np.array(part[c].tolist(), float).reshape(len(part), *shape)
+        values, places, asked = table("v", m, 3)[:, mine], table("place", m)[:, mine], (part["mask"] == mask).to_numpy()
+        owner, kind = np.nonzero(~np.isnan(values[:, :, 0]))
+        y = p.target(values[owner, kind])
+        roots = trees.long_hash(seed, np.arange(first, min(count, first + trees.CHUNK)))
+        got = trees.left_out(table("u", len(columns)), table("c", m, 4)[:, mine], asked, owner, kind, y, roots, leaf)
+        at = np.flatnonzero(asked[owner])
+        o, k = owner[at], kind[at]
+        results = {c: values[o, k, i] for i, c in enumerate(METRICS)}
+        return pd.DataFrame({"seq_id": part["seq_id"].to_numpy()[o], "method": np.array(p.names, object)[mine[k]], "place": places[o, k].astype(np.int32), "s": got[at], "n": len(roots), **results})
+
+    found = parts.groupBy("m", "i").applyInPandas(run, f"seq_id {key}, method string, place int, s double, n int, pk double, wd double, f1 double")
+    return found.groupBy("seq_id", "method").agg(F.first("place").alias("place"), (F.sum("s") / F.sum("n")).alias("predicted"), *(F.first(c).alias(c) for c in METRICS))
+
+
 def tree_predictions(features: DataFrame, columns: list[str], cube: DataFrame, primary: str = "pk", top: int = 80, by: str | None = None, baseline: str | None = None, count: int = 500, leaf: int = 3, seed: int = 17) -> DataFrame:
     """As `predictions`, by extremely randomised trees in place of the regression."""
-    rows = training_rows(features, columns, cube, primary, top, by, baseline)
+    pool, missing = pooled(features, columns, cube, by)
+    if not by and not missing and not pool.isEmpty() and pool.select("seq_id").distinct().count() <= MOST_LEFT_OUT:
+        return left_out_by_trees(pool, columns, primary, top, baseline, count, leaf, seed)
+    rows = dealt(pool, missing, columns, primary, top, by, baseline)
     found = trees.extra_trees(rows, len(columns) + 4, count, leaf, seed)
     return found.select("key.seq_id", "key.method", "key.place", "predicted", *(f"key.{c}" for c in METRICS))

@@ -71,3 +71,22 @@ def test_folds_without_training_rows_and_empty_tables(spark):
     got = {r["fold"]: r["predicted"] for r in trees.extra_trees(frame, 1, 3).collect()}
     assert got[2] == 4.0 and (got[1] is None or got[1] != got[1])
     assert trees.extra_trees(frame.limit(0), 1, 3).count() == 0
+
+
+@pytest.mark.parametrize("held,seed", [(400_000, 0), (150, 1), (400_000, 2)])
+def test_trees_of_all_left_out_owners_equal_plain_ones(monkeypatch, held, seed):
+    monkeypatch.setattr(trees, "HELD", held)
+    rng = np.random.default_rng(seed)
+    n, m = 14, 4
+    u = np.column_stack((rng.normal(size=n), rng.integers(0, 3, n), np.full(n, 2.0)))
+    asked = np.arange(n) % 5 > 0
+    there = asked[:, None] | (rng.random((n, m)) < 0.6)  # owners that aren't asked about miss some kinds
+    c = np.stack((rng.permuted(np.tile(np.arange(m), (n, 1)), axis=1) if seed else np.tile(np.arange(m), (n, 1)), rng.random(m) + 0.01 * rng.random((n, m))), -1)
+    owner, kind = np.nonzero(there)
+    y = np.where(rng.random(len(owner)) < 0.2, 1.0, u[owner, 0] + 0.2 * kind + 0.1 * rng.normal(size=len(owner)))
+    roots = trees.long_hash(17, np.arange(6))
+    got = trees.left_out(u, c, asked, owner, kind, y, roots, 3)
+    for o in np.flatnonzero(asked):
+        x, own = np.column_stack((u[owner], c[o, kind])), owner == o
+        want = np.sum([plain(x[~own], y[~own], x[own], r, 3) for r in roots], 0)
+        assert got[own] == pytest.approx(want, abs=1e-9)
