@@ -90,3 +90,10 @@ def test_trees_of_all_left_out_owners_equal_plain_ones(monkeypatch, held, seed):
         x, own = np.column_stack((u[owner], c[o, kind])), owner == o
         want = np.sum([plain(x[~own], y[~own], x[own], r, 3) for r in roots], 0)
         assert got[own] == pytest.approx(want, abs=1e-9)
+
+
+def test_no_rows_are_written_for_each_tree_of_a_large_fold(spark, monkeypatch):
+    monkeypatch.setattr(trees, "stored", lambda *_: pytest.fail("rows written"))
+    x = F.array(F.rand(1), F.rand(2))
+    frame = spark.range(25_000).select(F.lit(1).alias("fold"), F.col("id").alias("key"), (F.col("id") > 9).alias("train"), x.alias("x"), F.when(F.col("id") > 9, F.col("id") % 7).cast("double").alias("y"))
+    assert trees.extra_trees(frame, 2, 2, leaf=5_000).count() == 10
