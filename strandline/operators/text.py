@@ -61,14 +61,24 @@ def discourse_boosted(scores: DataFrame, marked: DataFrame, sizes: DataFrame, bo
 
 
 def tf_cosine(units: DataFrame) -> DataFrame:
-    """(seq_id, boundary, similarity): cosine of the term counts of neighbouring units. Each term counts for its own boundary and for the next one, so two aggregations
-    give dot products and norms together; nothing is joined, and cost follows the terms."""
-    w = units.select("seq_id", "pos", F.explode_outer(X.words(F.col("text"))).alias("term"))
-    one = F.col("term").isNotNull().cast("long")
-    both = F.explode(F.array(F.struct(F.col("pos").alias("boundary"), one.alias("own"), F.lit(0).cast("long").alias("prev"), F.lit(1).alias("here")), F.struct((F.col("pos") + 1).alias("boundary"), F.lit(0).cast("long").alias("own"), one.alias("prev"), F.lit(0).alias("here"))))
-    t = w.select("seq_id", "term", both.alias("x")).groupBy("seq_id", "x.boundary", "term").agg(F.sum("x.own").alias("o"), F.sum("x.prev").alias("p"), F.max("x.here").alias("here"))
-    s = t.groupBy("seq_id", "boundary").agg(F.sum(F.col("o") * F.col("p")).alias("dot"), F.sqrt(F.sum(F.col("o") * F.col("o"))).alias("n1"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("n2"), F.max("here").alias("here"))
-    return s.where("here = 1 and boundary > 0").select("seq_id", "boundary", F.coalesce(F.try_divide("dot", F.col("n1") * F.col("n2")), F.lit(0.0)).alias("similarity"))
+    """(seq_id, boundary, similarity): cosine of the term counts of neighbouring units. A unit's words are sorted together with those of the unit before and counted
+    in one fold over both, so only the units are dealt out, never their words."""
+    rows = units.select("seq_id", "pos", X.words(F.col("text")).alias("_w")).withColumn("_p", F.lag("_w").over(in_order())).where("pos > 0")
+    both = F.array_sort(F.concat(F.transform("_w", lambda w: F.struct(w.alias("w"), F.lit(1).alias("o"))), F.transform("_p", lambda w: F.struct(w.alias("w"), F.lit(0).alias("o")))))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("string").alias("w"), zero.alias("o"), zero.alias("p"), zero.alias("dot"), zero.alias("n1"), zero.alias("n2"))
+    # With each word of a run the squares and the product grow by what the last count adds: (o + 1)^2 - o^2 = 2 o + 1, (o + 1) p - o p = p.
+
+    def step(a, x):
+        same, own = a["w"].eqNullSafe(x["w"]), x["o"] == 1
+        o, p = F.when(same, a["o"]).otherwise(zero), F.when(same, a["p"]).otherwise(zero)
+        return F.struct(
+            x["w"].alias("w"), F.when(own, o + 1).otherwise(o).alias("o"), F.when(own, p).otherwise(p + 1).alias("p"), (a["dot"] + F.when(own, p).otherwise(o)).alias("dot"),
+            (a["n1"] + F.when(own, 2 * o + 1).otherwise(zero)).alias("n1"), (a["n2"] + F.when(own, zero).otherwise(2 * p + 1)).alias("n2"),
+        )
+
+    cosine = lambda a: F.coalesce(F.try_divide(a["dot"], F.sqrt(a["n1"]) * F.sqrt(a["n2"])), F.lit(0.0))
+    return rows.select("seq_id", F.col("pos").alias("boundary"), F.aggregate(both, start, step, cosine).alias("similarity"))
 
 
 def jaccard_novelty(units: DataFrame) -> DataFrame:
