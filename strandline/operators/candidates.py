@@ -96,15 +96,19 @@ def features(sources: DataFrame, sizes: DataFrame, targets: DataFrame, names: li
     )
 
 
-def weighted(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(seq_id, boundary, score): a weighted sum of feature columns, min-maxed over the sequence."""
+def weighted_sum(weights: dict[str, float]) -> Column:
+    """A weighted sum of feature columns, rounded."""
     extra = {
         "centre": F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * F.col("edge")))),
         "early": F.when(F.col("place") < 0.04, 0.15).otherwise(0.0),
         "late": F.when(F.col("place") > 0.96, 0.10).otherwise(0.0),
     }
-    score = sum((w * extra.get(c, F.col(c)) for c, w in list(weights.items())[1:]), list(weights.values())[0] * F.col(next(iter(weights))))
-    return rows.select("seq_id", "boundary", F.round(score, 9).alias("score")).withColumn("score", scaled("score"))
+    return F.round(sum((w * extra.get(c, F.col(c)) for c, w in list(weights.items())[1:]), list(weights.values())[0] * F.col(next(iter(weights)))), 9)
+
+
+def weighted(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(seq_id, boundary, score): a weighted sum of feature columns, min-maxed over the sequence."""
+    return rows.select("seq_id", "boundary", weighted_sum(weights).alias("score")).withColumn("score", scaled("score"))
 
 
 def vote_scores(rows: DataFrame) -> DataFrame:
@@ -112,12 +116,10 @@ def vote_scores(rows: DataFrame) -> DataFrame:
 
 
 def score_families(rows: DataFrame) -> DataFrame:
-    """(seq_id, boundary, family, score) of the six hand-weighted families."""
-    out = None
-    for name, weights in FAMILIES.items():
-        part = weighted(rows, weights).select("seq_id", "boundary", F.lit(name).alias("family"), "score")
-        out = part if out is None else out.union(part)
-    return out
+    """(seq_id, boundary, family, score) of the six hand-weighted families, of one pass over the rows."""
+    every = rows.select("seq_id", "boundary", *(weighted_sum(w).alias(name) for name, w in FAMILIES.items()))
+    one = F.array(*(F.struct(F.lit(name).alias("family"), scaled(name).alias("score")) for name in FAMILIES))
+    return every.select("seq_id", "boundary", one.alias("s")).select("seq_id", "boundary", F.inline("s"))
 
 
 def blended(base: DataFrame, other: DataFrame, alpha: float, most: int) -> DataFrame:
