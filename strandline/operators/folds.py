@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bound
 from .select import best_first
 
 
@@ -84,15 +85,19 @@ def min_segment_filter(boundaries: DataFrame, sizes: DataFrame, least: int = 5,
     rows = boundaries.join(scores, ["seq_id", "boundary"], "left") if scores is not None else boundaries
     rows = rows.groupBy("seq_id").agg(F.array_sort(F.collect_set(pair)).alias("kept")).join(sizes, "seq_id")
 
-    def step(acc, _):
-        edges = F.concat(F.array(F.lit(0)), F.transform(acc, lambda x: x["b"]), F.array("n"))
-        lengths = F.transform(acc, lambda x, i: x["b"] - F.element_at(edges, i + 1))
-        lengths = F.array_append(lengths, F.col("n") - F.element_at(edges, F.size(acc) + 1))
-        short = F.array_min(lengths)
-        i = F.array_position(lengths, short).cast("int")  # from 1
+    def without_one(acc, lengths, i):
         weaker = F.element_at(acc, i)["s"] < F.element_at(acc, i - 1)["s"] if scores is not None else F.lit(False)
         drop = F.when(i == 1, 1).when(i == F.size(lengths), F.size(acc)).when(F.when((i > 1) & (i <= F.size(acc)), weaker).otherwise(False), i).otherwise(i - 1)
-        return F.when((F.size(acc) > 0) & (short < least), F.filter(acc, lambda x, j: j + 1 != drop)).otherwise(acc)
+        return bound(drop, lambda d: F.filter(acc, lambda x, j: j + 1 != d))
+
+    def shortened(acc, lengths):
+        found = lambda short: F.when((F.size(acc) > 0) & (short < least), bound(F.array_position(lengths, short).cast("int"), lambda i: without_one(acc, lengths, i))).otherwise(acc)
+        return bound(F.array_min(lengths), found)
+
+    def step(acc, _):
+        edges = F.concat(F.array(F.lit(0)), F.transform(acc, lambda x: x["b"]), F.array(F.col("n").cast("int")))
+        lengths = lambda e: F.transform(F.slice(e, 2, F.size(acc) + 1), lambda x, i: x - F.element_at(e, i + 1))
+        return bound(edges, lambda e: bound(lengths(e), lambda z: shortened(acc, z)))
 
     out = rows.withColumn("kept", F.aggregate(F.col("kept"), F.col("kept"), step))
     return out.select("seq_id", F.explode("kept.b").alias("boundary"))
