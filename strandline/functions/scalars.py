@@ -31,11 +31,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def count_in(text: Column, markers: list[str]) -> Column:
     """How many of the markers occur in a text."""
-    return F.aggregate(F.array(*[F.contains(text, F.lit(m)).cast("int") for m in markers]), F.lit(0), lambda s, x: s + x)
+    return bound(text, lambda t: sum((F.contains(t, F.lit(m)).cast("int") for m in markers), F.lit(0)))
 
 
 def starts_with_any(text: Column, markers: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, markers)), lambda m: F.startswith(text, m))
+    return bound(text, lambda t: F.exists(F.array(*map(F.lit, markers)), lambda m: F.startswith(t, m)))
 
 
 def seconds_of(stamp: Column) -> Column:
