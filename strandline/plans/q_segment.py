@@ -89,7 +89,7 @@ QUERIES = {
     "constrained_vote": method("cross_e5_constrained_minlen10"),
     "method_registry": lambda s, d: rounded(combinations.run_methods(units(s, d), wanted(s, d), registry.names())),
     "method_catalogue": catalogue,
-    "c99_lite": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["c99"])),
+    "c99_lite": lambda s, d: rounded(grouped.run_methods(worded(s, d), heuristics(s, d), ["c99"])),
     "texttiling": lambda s, d: rounded(grouped.run_methods(worded(s, d), heuristics(s, d), ["texttiling"])),
     "document_divisive": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["divisive_smooth9"])),
     "dp_select": lambda s, d: rounded(grouped.dp_select(select.top_k(GAP_SCORES(s, d), 24), T.sizes(T.vectors(s, d)), 6)),
