@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import gaps, grouped, metrics, portfolio, select
+from . import gaps, grouped, metrics, portfolio
 from . import segmenters as S
 from .folds import apart, fold, long_enough, ranked
 
@@ -32,8 +32,8 @@ FAMILIES = {
 MOST_POINTS = 10_000
 
 
-def within(by: str = "seq_id"):
-    return Window.partitionBy(by)
+def within(*by: str):
+    return Window.partitionBy(*(by or ("seq_id",)))
 
 
 def scaled(c: str) -> Column:
@@ -43,14 +43,15 @@ def scaled(c: str) -> Column:
 
 
 def gap_sources(units: DataFrame, model: str, targets: DataFrame) -> DataFrame:
-    """The max(8 t, 50) largest gaps of neighbours and of one-sided windows, min-maxed; `targets` is (seq_id, t)."""
-    out = None
-    for name, g in (("adj", gaps.gap_adjacent(units)), *((f"win{w}", gaps.gap_one_sided(units, w)) for w in GAP_WINDOWS)):
-        g = g.withColumn("score", F.round("score", 6)).withColumn("score", scaled("score")).join(targets, "seq_id")
-        best = select.top_k(g, F.greatest(8 * F.col("t"), F.lit(50)))
-        best = best.select("seq_id", "boundary", F.lit(f"{model}_{name}").alias("source"), F.lit(model).alias("model"), "score", F.lit(1).alias("votes"))
-        out = best if out is None else out.union(best)
-    return out
+    """The max(8 t, 50) largest gaps of neighbours and of one-sided windows, min-maxed; `targets` is (seq_id, t). All are columns of one pass, so vectors are read once a model."""
+    names = ["adj", *(f"win{w}" for w in GAP_WINDOWS)]
+    g = gaps.gaps_together(units, GAP_WINDOWS).select("seq_id", "boundary", *(F.round(n, 6).alias(n) for n in names))
+    g = g.select("seq_id", "boundary", *(scaled(n).alias(n) for n in names)).join(targets, "seq_id")
+    each = F.array(*(F.struct(F.lit(f"{model}_{n}").alias("source"), F.col(n).alias("score")) for n in names))
+    rows = g.select("seq_id", "boundary", "t", F.inline(each))
+    rank = F.row_number().over(within("seq_id", "source").orderBy(F.desc("score"), "boundary"))
+    best = rows.withColumn("_rank", rank).where(F.col("_rank") <= F.greatest(8 * F.col("t"), F.lit(50)))
+    return best.select("seq_id", "boundary", "source", F.lit(model).alias("model"), "score", F.lit(1).alias("votes"))
 
 
 def split_sources(units: DataFrame, model: str, targets: DataFrame) -> DataFrame:

@@ -61,6 +61,13 @@ def gap_one_sided(units: DataFrame, w: int) -> DataFrame:
     return boundaries_of(both, 1 - V.cosine(F.col("_l"), F.col("_r")))
 
 
+def gaps_together(units: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """(seq_id, boundary, adj, win<w> for each window): `gap_adjacent` and `gap_one_sided` as columns, whose frames share one sort of each sequence."""
+    rows = units.select("seq_id", "pos", "vec", F.lag("vec").over(in_order()).alias("_p"), *(f for w in windows for f in (frame("vec", -w, -1).alias(f"_l{w}"), frame("vec", 0, w - 1).alias(f"_r{w}"))))
+    each = [(1 - V.cosine(V.mean_of(F.col(f"_l{w}")), V.mean_of(F.col(f"_r{w}")))).alias(f"win{w}") for w in windows]
+    return rows.where("pos > 0").select("seq_id", F.col("pos").alias("boundary"), (1 - V.cosine(F.col("_p"), F.col("vec"))).alias("adj"), *each)
+
+
 def gap_cross_block(units: DataFrame, w: int) -> DataFrame:
     """Mean of all dot products between the w rows on either side: the dot product of the two means."""
     both = units.withColumn("_l", V.mean_of(frame("vec", -w, -1))).withColumn("_r", V.mean_of(frame("vec", 0, w - 1)))

@@ -45,3 +45,24 @@ def test_split_sources_and_features(spark):
         s = [want.get((f"m_div_w{w}", r["boundary"]), 0.0) for w in (1, 5, 9, 13)]
         near = min(abs(r["boundary"] - p) for i, p in enumerate(places) if i != k)
         assert r["mean_source"] == pytest.approx(np.mean([x for x in s if x > 0] or [0])) and r["source_std"] == pytest.approx(np.std(s)) and r["isolation"] == pytest.approx(near / 40)
+
+
+def test_gap_sources_are_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import gaps
+
+    rng = np.random.default_rng(6)
+    units = spark.createDataFrame([(s, i, rng.standard_normal(4).tolist()) for s, n in ((1, 90), (2, 60), (3, 1), (4, 2)) for i in range(n)], "seq_id long, pos int, vec array<double>")
+    t = spark.createDataFrame([(1, 7), (2, 3), (3, 1), (4, 1)], "seq_id long, t int")
+    got = candidates.gap_sources(units, "m", t)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # units and targets, each once
+    rows = {(r["seq_id"], r["source"], r["boundary"]): r["score"] for r in got.collect()}
+    want = {}
+    for name, g in (("adj", gaps.gap_adjacent(units)), *((f"win{w}", gaps.gap_one_sided(units, w)) for w in candidates.GAP_WINDOWS)):
+        for s, most in ((1, 56), (2, 50), (3, 50), (4, 50)):
+            mine = [(r["score"], r["boundary"]) for r in g.where(F.col("seq_id") == s).withColumn("score", F.round("score", 6)).collect()]
+            low, high = min(mine, default=(0.0, 0))[0], max(mine, default=(0.0, 0))[0]
+            for x, b in sorted(mine, key=lambda z: (-z[0], z[1]))[:most]:
+                want[s, f"m_{name}", b] = (x - low) / (high - low) if high > low else 0.0
+    assert rows == want
