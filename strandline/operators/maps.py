@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from . import grouped, metrics
 from . import segmenters as S
 from .folds import apart, fold, long_enough
@@ -43,9 +44,9 @@ def split_maps(units: DataFrame, most: DataFrame, windows: list[int], models: tu
 
 
 def scaled(a: Column) -> Column:
-    """Min-max of an array; flat is 0."""
-    lo, hi = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: F.when(hi > lo, F.round((x - lo) / (hi - lo), 9)).otherwise(0.0))
+    """Min-max of an array; flat is 0. The array and its ends are bound: inside a lambda they would be computed again for each element."""
+    one = lambda v, m: F.transform(v, lambda x: F.when(m["hi"] > m["lo"], F.round((x - m["lo"]) / (m["hi"] - m["lo"]), 9)).otherwise(0.0))
+    return V.let(a, lambda v: V.let(F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi")), lambda m: one(v, m)))
 
 
 def explode(values: list, name: str, kinds: list[str]) -> Column:
@@ -77,8 +78,8 @@ def fusion_grid(maps: DataFrame, sizes: DataFrame, wanted: DataFrame, signals: d
     rows = rows.withColumn("ask", ask)
     value = lambda x, m: F.when(x[f"r{m}"] < F.col("ask"), x[f"g{m}"])
     top = [F.coalesce(F.array_max(F.transform("d", lambda x: value(x, m))), F.lit(0.0)) for m in (1, 2)]  # noqa: B023
-    rows = rows.withColumn("t1", F.when(top[0] == 0, 1.0).otherwise(top[0])).withColumn("t2", F.when(top[1] == 0, 1.0).otherwise(top[1]))
-    base = F.transform("d", lambda x: (F.coalesce(value(x, 1), F.lit(0.0)) / F.col("t1") + F.coalesce(value(x, 2), F.lit(0.0)) / F.col("t2")) / 2)
+    tops = F.struct(*(V.let(t, lambda z: F.when(z == 0, 1.0).otherwise(z)).alias(f"t{m}") for m, t in enumerate(top, 1)))
+    base = V.let(tops, lambda t: F.transform("d", lambda x: (F.coalesce(value(x, 1), F.lit(0.0)) / t["t1"] + F.coalesce(value(x, 2), F.lit(0.0)) / t["t2"]) / 2))
     inside = F.transform("d", lambda x: (F.coalesce(x["r1"], F.col("n")) < F.col("ask")) | (F.coalesce(x["r2"], F.col("n")) < F.col("ask")))
     rows = rows.select("seq_id", "window", "n", "k", "share", "over", *(f"s_{x}" for x in signals), scaled(base).alias("base"), inside.alias("inside"))
     # Weights: the rankings.

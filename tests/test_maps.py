@@ -104,3 +104,17 @@ def test_methods_as_plans_equal_the_segmenters(tables):
     for name in names:
         assert [r for r in got if r[1] == name] == [r for r in want if r[1] == name], name
     assert all(registry.parse(n) for n in names)
+
+
+def test_scaled_arrays_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    made = F.transform("a", lambda x: x * 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(n).tolist()) for i, n in enumerate((1, 2, 50))] + [(3, []), (4, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "i int, a array<double>").select("i", maps.scaled(made).alias("s"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("* 2") == 1  # the array is made in one place, not for each element
+    for i, s in df.collect():
+        a = np.array(rows[i][1])
+        assert np.allclose(s, np.round((a - a.min()) / np.ptp(a), 9) if len(a) and np.ptp(a) else np.zeros(len(a)), atol=1e-9)
