@@ -69,8 +69,34 @@ def select_methods(features: DataFrame, columns: list[str], cube: DataFrame, kin
     return every.groupBy("seq_id").agg(F.min_by(F.struct("method", "predicted", "value"), F.struct(rank, "method")).alias("b")).select("seq_id", "b.*")
 
 
-#: Folds whose fits go on together, all folds, and steps of a fit at most.
+#: Folds whose fits go on together, all folds, and steps of a fit at most; rows that meet them at a time.
 TOGETHER, MOST_FOLDS, STEPS = 1024, 100_000, 60
+ROWS = 256
+
+
+def sigmoid(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
+
+
+def gradient(a: np.ndarray, y: np.ndarray, own: np.ndarray, u: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The gradient of each fold's loss at its weights u over rows a of labels y, by class weights k; a row takes no part in the fold `own`, if that is not negative. Rows meet
+    the folds in blocks, so that what is held is ROWS times folds, whatever the batch."""
+    out = np.zeros_like(u)
+    for i in range(0, len(a), ROWS):
+        b, one, mine = a[i : i + ROWS], y[i : i + ROWS] == 1, own[i : i + ROWS]
+        r = sigmoid(b @ u.T)
+        r -= one[:, None]
+        r *= np.where(one[:, None], k[:, 1], k[:, 0])
+        some = np.flatnonzero(mine >= 0)
+        r[some, mine[some]] = 0.0
+        out += r.T @ b
+    return out
+
+
+def vectors(held: list[np.ndarray], width: int) -> pa.Array:
+    """Rows of doubles as an Arrow list column, without a Python object for each number."""
+    flat = np.concatenate(held) if held else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * width, pa.int32()), pa.array(flat))
 
 
 def logistic_left_out(rows: DataFrame, features: list[str], label: str, by: str = "seq_id", strength: float = 0.35) -> DataFrame:
@@ -110,9 +136,6 @@ def logistic_left_out(rows: DataFrame, features: list[str], label: str, by: str
         v = (np.asarray(b.column(2).flatten(), float).reshape(-1, p) - middle) / scale
         return np.column_stack((np.ones(len(v)), v)), np.asarray(b.column(1), float), b.column(0).to_pylist()
 
-    def sigmoid(v: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
-
     def curves(w: np.ndarray, keys: bool):
         """Sums of gradient and second derivatives over the rows of each class (and fold) at weights w."""
 
@@ -127,7 +150,10 @@ def logistic_left_out(rows: DataFrame, features: list[str], label: str, by: str
                     g = (q[mine] - y[mine]) @ a[mine]
                     h = (a[mine] * (q[mine] * (1 - q[mine]))[:, None]).T @ a[mine]
                     held[int(c)] = held.get(int(c), 0.0) + np.concatenate((g, h.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["c", "v"])
+            codes, width = list(held), (p + 1) * (p + 2)
+            for i in range(0, len(codes), TOGETHER):
+                some = codes[i : i + TOGETHER]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), vectors([held.pop(c) for c in some], width)], names=["c", "v"])
 
         at = {k: i for i, k in enumerate(names)} if keys else dict.fromkeys(names, 0)
         parts = base.select("_f", "_y", "_x").mapInArrow(run, "c long, v array<double>")
@@ -164,12 +190,8 @@ def logistic_left_out(rows: DataFrame, features: list[str], label: str, by: str
                 out = np.zeros_like(u)
                 for b in batches:
                     a, y, f = matrices(b)
-                    r = (sigmoid(a @ u.T) - y[:, None]) * np.where((y == 1)[:, None], k[:, 1], k[:, 0])
-                    for i, name in enumerate(f):
-                        if name in at:
-                            r[i, at[name]] = 0.0
-                    out += r.T @ a
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out.tolist(), pa.list_(pa.float64()))], names=["i", "g"])
+                    out += gradient(a, y, np.array([at.get(name, -1) for name in f], int), u, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), vectors(list(out), p + 1)], names=["i", "g"])
 
             got = base.select("_f", "_y", "_x").mapInArrow(gradients, "i long, g array<double>").groupBy("i").agg(F.array(*(F.sum(F.col("g")[j]) for j in range(p + 1))).alias("g")).orderBy("i").collect()
             g = np.array([r["g"] for r in got]) + penalty[folds] * fits[folds]

@@ -66,3 +66,23 @@ def test_gap_sources_are_one_pass(spark):
             for x, b in sorted(mine, key=lambda z: (-z[0], z[1]))[:most]:
                 want[s, f"m_{name}", b] = (x - low) / (high - low) if high > low else 0.0
     assert rows == want
+
+
+def test_gradients_hold_blocks_of_rows_only():
+    import tracemalloc
+
+    from strandline.operators import learning
+
+    rng = np.random.default_rng(9)
+    n, folds, p = 10_000, 300, 6
+    a, y, own = rng.standard_normal((n, p)), (rng.random(n) < 0.3).astype(float), rng.integers(-1, folds, n)
+    u, k = rng.standard_normal((folds, p)) / 3, rng.random((folds, 2)) + 0.5
+    tracemalloc.start()
+    got = learning.gradient(a, y, own, u, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * folds / 4  # one matrix of all rows and folds takes 8 * n * folds
+    r = (1 / (1 + np.exp(-a @ u.T)) - y[:, None]) * np.where((y == 1)[:, None], k[:, 1], k[:, 0])
+    r[np.flatnonzero(own >= 0), own[own >= 0]] = 0.0
+    assert np.allclose(got, r.T @ a)
+    assert learning.vectors([np.arange(3.0), np.ones(3)], 3).to_pylist() == [[0, 1, 2], [1, 1, 1]] and len(learning.vectors([], 3)) == 0
