@@ -40,8 +40,9 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def by_fold(rows: DataFrame, features: list[str], label: str, kind: str, folds: int = 5, key: str = "seq_id", weight: str | None = None) -> DataFrame:
-    """Rows with an out-of-fold `prediction` (and `probability` of class 1 for classifiers). Sequences are dealt into folds by a hash, so none is in both sides."""
-    rows = rows.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    """Rows with an out-of-fold `prediction` (and `probability` of class 1 for classifiers). Sequences are dealt into folds by a hash, so none is in both sides.
+    Fits pass over the rows many times, so these are stored first and not made again for each pass."""
+    rows = stored(rows.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds))), "folds")
     out = None
     for f in range(folds):  # a fixed small number of fits
         model = pipeline(kind, features, label, weight).fit(rows.where(F.col("_fold") != f))

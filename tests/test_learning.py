@@ -86,3 +86,19 @@ def test_gradients_hold_blocks_of_rows_only():
     r[np.flatnonzero(own >= 0), own[own >= 0]] = 0.0
     assert np.allclose(got, r.T @ a)
     assert learning.vectors([np.arange(3.0), np.ones(3)], 3).to_pylist() == [[0, 1, 2], [1, 1, 1]] and len(learning.vectors([], 3)) == 0
+
+
+def test_folds_make_their_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import learning
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(60).select((F.col("id") % 12).alias("seq_id"), F.udf(counted, "double")((F.col("id") * 7 % 11).cast("double")).alias("a"), (F.col("id") % 2).cast("double").alias("y"))
+    got = learning.by_fold(rows, ["a"], "y", "logistic", 3).collect()
+    assert len(got) == 60 and made.value == 60
