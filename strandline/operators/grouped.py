@@ -18,20 +18,23 @@ from . import segmenters as S
 BOUNDARIES = "seq_id long, method string, boundary int"
 
 
-def run_methods(units: DataFrame, k: DataFrame, methods: list[str], most_units: int | None = None, side: DataFrame | None = None, shots: DataFrame | None = None, errors: bool = False) -> DataFrame:
-    """(seq_id, method, boundary) of units (seq_id, pos, vec1, vec2[, tokens]) with k (seq_id, k) segments asked for. Whole sequences take part, unless
+def run_methods(units: DataFrame, k: DataFrame | Callable[[int], int], methods: list[str], most_units: int | None = None, side: DataFrame | None = None, shots: DataFrame | None = None, errors: bool = False) -> DataFrame:
+    """(seq_id, method, boundary) of units (seq_id, pos, vec1, vec2[, tokens]) with k (seq_id, k) segments asked for, or as many as
+    a function gives for a sequence's number of units, which spares a pass. Whole sequences take part, unless
     `most_units` keeps the first so many units. `side` (prosody) and `shots` hold (seq_id, boundary, score). With `errors`, a failing method gives a row with its message."""
     parsed = {m: registry.parse(m) for m in methods}
     rows = units if most_units is None else units.where(F.col("pos") < most_units)
     tokens = "tokens" in units.columns
-    rows = rows.join(k.select("seq_id", F.col("k").alias("_k")), "seq_id")
+    count = k if callable(k) else None
+    if count is None:
+        rows = rows.join(k.select("seq_id", F.col("k").alias("_k")), "seq_id")
     for name, signal in (("_side", side), ("_shots", shots)):
         if signal is not None:
             rows = rows.join(signal.select("seq_id", F.col("boundary").alias("pos"), F.col("score").alias(name)), ["seq_id", "pos"], "left")
 
     def one(seq_id: int, pdf: pd.DataFrame) -> list[tuple]:
         x = registry.Input(
-            np.array(pdf["vec1"].tolist(), np.float64), np.array(pdf["vec2"].tolist(), np.float64), int(pdf["_k"].iloc[0]),
+            np.array(pdf["vec1"].tolist(), np.float64), np.array(pdf["vec2"].tolist(), np.float64), count(len(pdf)) if count else int(pdf["_k"].iloc[0]),
             pdf["_side"].fillna(0).to_numpy() if side is not None else None, [list(t) for t in pdf["tokens"]] if tokens else None,
             shots=pdf["_shots"].fillna(0).to_numpy() if shots is not None else None,
         )

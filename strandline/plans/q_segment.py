@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import gaps, grouped, metrics, select, text
@@ -33,10 +35,14 @@ def single(f):
 
 
 def documents(s, d):
-    """Text units with hashed vectors as both models and tokens, for the text segmenters."""
-    u = T.text_units(s, d)
-    v = text.hashed_vectors(u).withColumnRenamed("vec", "vec1").withColumn("vec2", F.col("vec1"))
-    return v.join(text.tokens(u).select("seq_id", "pos", "tokens"), ["seq_id", "pos"])
+    """Text units with hashed vectors, for segmenters of the first model alone: a constant stands in for the second, and tokens, which these don't look at, are left out."""
+    v = text.hashed_vectors(T.text_units(s, d))
+    return v.select("seq_id", "pos", F.col("vec").alias("vec1"), F.array(F.lit(1.0)).alias("vec2"))
+
+
+def by_root(n: int) -> int:
+    """The segments that `heuristics` asks for, of a number of units."""
+    return max(2, round(math.sqrt(n) / 3))
 
 
 def worded(s, d):
@@ -91,7 +97,7 @@ QUERIES = {
     "method_catalogue": catalogue,
     "c99_lite": lambda s, d: rounded(grouped.run_methods(worded(s, d), heuristics(s, d), ["c99"])),
     "texttiling": lambda s, d: rounded(grouped.run_methods(worded(s, d), heuristics(s, d), ["texttiling"])),
-    "document_divisive": lambda s, d: rounded(grouped.run_methods(documents(s, d), heuristics(s, d), ["divisive_smooth9"])),
+    "document_divisive": lambda s, d: rounded(grouped.run_methods(documents(s, d), by_root, ["divisive_smooth9"])),
     "dp_select": lambda s, d: rounded(grouped.dp_select(select.top_k(GAP_SCORES(s, d), 24), T.sizes(T.vectors(s, d)), 6)),
     "segment_f1": segment_matches,
     "evaluation_battery": battery,

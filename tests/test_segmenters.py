@@ -137,3 +137,18 @@ def test_registry_reads_every_name():
     assert (m.family, m.window, m.frac, m.min_seg) == ("cross", 11, 0.7, 12)
     with pytest.raises(ValueError):
         registry.parse("unknown_method")
+
+
+def test_document_divisive_reads_documents_once(spark, tmp_path):
+    from strandline.operators import grouped
+    from strandline.plans import q_segment as Q
+
+    words = ["alpha beta gamma delta", "one two three four", "sun moon star sky"]
+    rows = [(i, " ".join(f"{words[(i + j * j) % 3]} w{j % 5}." for j in range(n)), "en", "web", 0) for i, n in enumerate((1, 2, 30, 90))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Q.QUERIES["document_divisive"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    table = grouped.run_methods(Q.documents(spark, str(tmp_path)), Q.heuristics(spark, str(tmp_path)), ["divisive_smooth9"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, table.collect())) and got.count() > 0
+    n = spark.range(1, 3000).selectExpr("id", "greatest(2, cast(bround(sqrt(id) / 3) AS int)) AS k").collect()
+    assert all(Q.by_root(r["id"]) == r["k"] for r in n)
