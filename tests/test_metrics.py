@@ -93,3 +93,18 @@ def test_sessions_stream_like_a_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert batch == [(1, 3.0), (2, 3.0)] and spark.table("found_sessions").count() <= 2
+
+
+def test_relaxed_metrics_make_boundaries_once(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import metrics
+
+    hyp = spark.range(1, 21).select((F.col("id") % 2).alias("seq_id"), (F.col("id") * F.lit(2222) / 1111).cast("int").alias("boundary"))
+    ref = spark.range(1, 9).select((F.col("id") % 2).alias("seq_id"), (F.col("id") * 5).cast("int").alias("boundary"))
+    sizes = spark.createDataFrame([(0, 50, 500.0), (1, 50, 500.0), (2, 50, 500.0)], "seq_id long, n int, duration double")
+    starts = sizes.select("seq_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("pos")).withColumn("start", F.col("pos") * 10.0)
+    rows = metrics.relaxed(hyp, ref, sizes, starts)
+    assert "2222" not in rows._jdf.queryExecution().optimizedPlan().toString()  # what makes the boundaries is no part of the metrics' plan
+    got = rows.collect()
+    assert {(r["seq_id"], r["n_predicted"], r["n_reference"]) for r in got} == {(0, 10, 4), (1, 10, 4), (2, 0, 0)}
