@@ -363,11 +363,12 @@ def dealt(rows: DataFrame, missing: list[int], columns: list[str], primary: str,
     asked = people.mapInPandas(run, f"seq_id {kind}, fold string, out string, method string, place int, c array<double>")
     first = PRIMARY[primary][0]
     rows = rows.select("seq_id", F.col("g" if by else "seq_id").cast("string").alias("own"), "method", "u", (F.col("pk") * first[0] + F.col("wd") * first[1]).alias("y"), *METRICS)
-    # Rows of a method are many and methods few, so settings and rows also meet by blocks of folds.
+    # Rows of a method are many and methods few, so settings and rows also meet by blocks: of folds, or, where groups are few and their settings with them, of sequences. Only the other side is copied.
     blocks = -(-p.moments.sequences // BLOCK)
-    block = F.pmod(F.xxhash64("fold"), F.lit(blocks)).cast("int")
-    settings = asked.select("fold", "out", "method", "c", block.alias("b")).distinct()
-    train = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(settings, ["method", "b"]).where("own <> out")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    settings = asked.select("fold", "out", "method", "c").distinct().withColumn("b", each if by else block("fold"))
+    train = rows.withColumn("b", block("seq_id") if by else each).join(settings, ["method", "b"]).where("own <> out")
     key = lambda place: F.struct("seq_id", "method", place.alias("place"), *METRICS)
     x = F.concat("u", "c")
     train = train.select("fold", key(F.lit(None).cast("int")).alias("key"), F.lit(True).alias("train"), x.alias("x"), "y")

@@ -19,14 +19,14 @@ empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stored import dropped, stored
 
 #: Rows of a node that one task grows, and of all nodes that it holds at a time.
-LOCAL, HELD = 200_000, 400_000
+LOCAL, HELD = 1_000_000, 400_000
 #: Trees of a task, and parts that tasks are dealt into.
 CHUNK, PARTS = 4, 256
 # Constants of XXH64.
@@ -230,16 +230,17 @@ def extra_trees(rows: DataFrame, features: int, trees: int = 500, leaf: int = 3,
     """(fold, key, predicted) of rows (fold, key, train, x array<double>, y): the rows with train = false, predicted from those of their fold with train = true."""
     kinds = dict(rows.dtypes)
     shape = f"fold {kinds['fold']}, key {kinds['key']}, predicted double"
-    rows = rows.select("fold", "key", "train", "x", F.col("y").cast("double").alias("y"))
+    rows = rows.select("fold", F.when(~F.col("train"), F.col("key")).alias("key"), "train", "x", F.col("y").cast("double").alias("y"))  # training rows need no key
 
     def finish(root):
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            train = part["train"].to_numpy(bool)
-            x, y = np.array(part["x"].tolist(), float).reshape(len(part), features), part["y"].fillna(0.0).to_numpy(float)
+        def run(part: pa.Table) -> pa.Table:
+            train, y = part["train"].to_numpy(), np.nan_to_num(part["y"].to_numpy())
+            x = part["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(train), features)
             nodes = root(part)
-            most = max(1, HELD // len(part))
+            most = max(1, HELD // len(train))
             found = sum(grown(x, y, train, nodes[i : i + most], leaf) * len(nodes[i : i + most]) for i in range(0, len(nodes), most))
-            return pd.DataFrame({"fold": part["fold"][~train], "key": part["key"][~train], "predicted": found[~train], "n": len(nodes)})
+            asked = part.filter(pa.array(~train))
+            return pa.table({"fold": asked["fold"], "key": asked["key"], "predicted": found[~train], "n": np.full(len(asked), len(nodes), np.int32)})
 
         return run
 
@@ -247,8 +248,8 @@ def extra_trees(rows: DataFrame, features: int, trees: int = 500, leaf: int = 3,
     if largest <= LOCAL:  # some trees of a fold are one task's
         chunk = max(1, min(trees, 16))
         dealt = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(-(-trees // chunk) - 1))))
-        roots = lambda part: long_hash(seed, np.arange(c := int(part["c"].iloc[0]) * chunk, min(trees, c + chunk)))
-        found = dealt.repartition(PARTS, "fold", "c").groupBy("fold", "c").applyInPandas(finish(roots), shape + ", n int")
+        roots = lambda part: long_hash(seed, np.arange(c := part["c"][0].as_py() * chunk, min(trees, c + chunk)))
+        found = dealt.repartition(PARTS, "fold", "c").groupBy("fold", "c").applyInArrow(finish(roots), shape + ", n int")
         return found.groupBy("fold", "key").agg((F.sum(F.col("predicted")) / F.sum(F.col("n"))).alias("predicted"))
     state = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.xxhash64(F.lit(seed).cast("long"), F.col("tree").cast("long")))
     at, done, held = ["fold", "tree", "node"], [], []
@@ -261,7 +262,7 @@ def extra_trees(rows: DataFrame, features: int, trees: int = 500, leaf: int = 3,
         nodes = size.select(*at, "n", "s", big.alias("big"), (big & (F.col("y0") < F.col("y1"))).alias("open"), cuts.alias("cuts"), wide.alias("wide"))
         met = stored(state.join(nodes, at), "state")
         held.append(met)
-        small = met.where("not big").groupBy(*at).applyInPandas(finish(lambda part: part["node"].to_numpy(np.int64)[:1]), shape + ", n int")
+        small = met.where("not big").groupBy(*at).applyInArrow(finish(lambda part: part["node"].to_numpy()[:1]), shape + ", n int")
         done.append(small.drop("n"))
         left = [(F.col("x")[j] <= F.col("cuts")[j]) for j in range(features)]
         sums = met.where("open and train").groupBy(*at).agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("cuts").alias("cuts"), F.first("wide").alias("wide"), *[F.sum(left[j].cast("long")).alias(f"k_{j}") for j in range(features)], *[F.sum(F.when(left[j], F.col("y")).otherwise(0.0)).alias(f"s_{j}") for j in range(features)])

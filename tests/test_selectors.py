@@ -85,6 +85,26 @@ def test_groups_left_out_equal_refits(spark):
     assert best == {v: min((p, m) for (u, m), p in want.items() if u == v)[1] for v in features}
 
 
+def test_rows_of_groups_are_not_copied_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(selectors, "BLOCK", 4)
+    features, cube = made(40, gaps=0.0)
+    f, c = frames(spark, features, cube)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run = selectors.training_rows(f, COLUMNS, c, by="g")._jdf.queryExecution()
+        rows = run.toRdd().count()
+        made_of, left = [], [run.executedPlan()]
+        while left:
+            node = left.pop()
+            left += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Generate":
+                made_of.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert rows == 4 * len(cube) and sum(made_of) == 10 * 4 * 6
+
+
 @pytest.mark.parametrize("primary,top,block", [("pk", 80, 256), ("balanced", 3, 5)])
 def test_guarded_choice_equals_nested_refits(spark, monkeypatch, primary, top, block):
     monkeypatch.setattr(selectors, "BLOCK", block)

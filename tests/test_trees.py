@@ -65,6 +65,16 @@ def test_all_ways_give_the_same_trees(spark, monkeypatch, local, held):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_folds_of_several_hundred_thousand_rows_are_grown_in_tasks(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("levels write all rows once for each tree")
+
+    monkeypatch.setattr(trees, "stored", never)
+    x = F.array(F.col("id") % 7 * 1.0, F.col("id") % 11 * 1.0)
+    rows = spark.range(300_000).select(F.lit(1).alias("fold"), "id", (F.col("id") > 2).alias("train"), x.alias("x"), (F.col("id") % 7 * 2.0).alias("y")).withColumnRenamed("id", "key")
+    assert {r["key"] for r in trees.extra_trees(rows, 2, 2, 60_000).collect()} == {0, 1, 2}
+
+
 def test_folds_without_training_rows_and_empty_tables(spark):
     shape = "fold long, key long, train boolean, x array<double>, y double"
     frame = spark.createDataFrame([(1, 1, False, [1.0], None), (2, 1, True, [1.0], 4.0), (2, 2, False, [3.0], None)], shape)
