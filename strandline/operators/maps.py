@@ -110,6 +110,8 @@ def measured(hyp: DataFrame, methods: DataFrame, refs: DataFrame, sizes: DataFra
     return m.select("seq_id.seq_id", "seq_id.method", "pk", "wd")
 
 
+#: Rows of a task that combines maps, about.
+COMBINED = 250_000
 #: How many segments each family of combinations asks of its maps, as a multiple of the target, and the windows of several resolutions.
 OVER, RESOLUTIONS = 4, (7, 9, 11)
 
@@ -129,9 +131,21 @@ def combined(maps: DataFrame, sizes: DataFrame, wanted: DataFrame, specs: list[d
             rows.append((s["name"], s.get("how", "mean"), m, w, float(s["weights"][m - 1]) if s.get("weights") else 1.0 / len(pairs), len(pairs), s.get("share"), s.get("fewer", 0), s.get("over", OVER), s.get("threshold"), s.get("near", 0)))
     if len(rows) > MOST_POINTS:
         raise ValueError(f"{len(rows)} parts; at most {MOST_POINTS}")
-    spec = F.broadcast(spark.createDataFrame(rows, columns))
+    # Maps meet many specs each, so a task's rows after that, not before it, say how many tasks there are. Those with suppression go apart, else either kind would pass all windows.
+    counts = {(r["model"], r["window"]): r["count"] for r in maps.groupBy("model", "window").count().collect()}
+    facts, out = maps.join(sizes.join(wanted, "seq_id"), "seq_id"), None
+    for near in (False, True):
+        some = [r for r in rows if bool(r[-1]) == near]
+        if some:
+            parts = max(1, -(-sum(counts.get((r[2], r[3]), 0) for r in some) // COMBINED))
+            got = chosen(facts.repartition(parts, "seq_id").join(F.broadcast(spark.createDataFrame(some, columns)), ["model", "window"]), near)
+            out = got if out is None else out.union(got)
+    return out
+
+
+def chosen(met: DataFrame, near: bool) -> DataFrame:
+    """(seq_id, method, boundary) of maps that have met their specs, and lie in parts by sequence; `near`: with suppression or all without."""
     k = F.col("k")
-    met = maps.join(spec, ["model", "window"]).join(sizes, "seq_id").join(wanted, "seq_id")
     target = F.when(F.col("how") == "adaptive", k).when(F.col("share").isNotNull(), F.greatest(F.lit(2), F.bround(k * F.col("share")).cast("int"))).when(F.col("fewer") > 0, F.greatest(F.lit(2), k - F.col("fewer"))).otherwise(k)
     met = met.withColumn("target", target)
     share = F.greatest(F.lit(2), F.bround(k * F.coalesce("share", F.lit(1.0))).cast("int"))
@@ -156,7 +170,8 @@ def combined(maps: DataFrame, sizes: DataFrame, wanted: DataFrame, specs: list[d
     wide = F.greatest(F.lit(2), F.bround(k * F.when(cv > 0.65, 0.8).when(cv < 0.4, 0.6).otherwise(0.7)).cast("int"))
     take = F.when(F.col("how") == "threshold", many).when(F.col("how") == "adaptive", wide).otherwise(F.col("target"))
     g = g.withColumn("_take", take).withColumn("_r", rank)
-    plain = g.where((F.col("near") == 0) & (F.col("_r") <= F.col("_take"))).select("seq_id", "method", "boundary")
-    spaced = g.where("near > 0").groupBy("seq_id", "method", "near", "_take").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("boundary").alias("b")))), lambda x: x["b"]).alias("ranked"))
+    if not near:
+        return g.where(F.col("_r") <= F.col("_take")).select("seq_id", "method", "boundary")
+    spaced = g.groupBy("seq_id", "method", "near", "_take").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("boundary").alias("b")))), lambda x: x["b"]).alias("ranked"))
     kept = fold(spaced, lambda acc, b: apart(acc, b, F.col("near"), inclusive=False), F.col("_take"))
-    return plain.union(kept.select("seq_id", "method", F.explode("kept").alias("boundary")))
+    return kept.select("seq_id", "method", F.explode("kept").alias("boundary"))

@@ -84,7 +84,7 @@ def of_maps(units: DataFrame, k: DataFrame, specs: list[dict]) -> DataFrame:
         out = table.where("model = 1").join(wanted, ["seq_id", "window"]).where("rank < target").select("seq_id", "method", "boundary")
     rest = [s for s in specs if s.get("how") != "first"]
     if rest:
-        got = maps.combined(table, sizes, k, rest)
+        got = stored(maps.combined(table, sizes, k, rest), "combined")  # which three branches read
         plain = [s["name"] for s in rest if not s["least"]]
         kept = got.where(F.col("method").isin(plain)) if plain else None
         short = defaultdict(list)

@@ -1,5 +1,6 @@
 """Split maps, grids and weights over them, and methods as plans, against plain forms."""
 
+import re
 from itertools import product
 
 import numpy as np
@@ -118,3 +119,17 @@ def test_scaled_arrays_are_computed_once(spark):
     for i, s in df.collect():
         a = np.array(rows[i][1])
         assert np.allclose(s, np.round((a - a.min()) / np.ptp(a), 9) if len(a) and np.ptp(a) else np.zeros(len(a)), atol=1e-9)
+
+
+def test_combined_maps_are_dealt_out_by_their_rows_after_the_specs(spark, monkeypatch):
+    rows = [(s, m, 9, 1 + (7 * b + s * m) % 19, b, 1.0 / (b + m)) for s in range(12) for m in (1, 2) for b in range(1, 13)]
+    table = spark.createDataFrame(rows, "seq_id long, model int, window int, boundary int, rank int, gain double")
+    sizes, wanted = (spark.createDataFrame([(s, v) for s in range(12)], f"seq_id long, {c} int") for c, v in (("n", 20), ("k", 4)))
+    specs = [{"name": f"m{i}", "how": "mean", "windows": [9], "share": 0.5 + i / 10} for i in range(5)] + [{"name": "near", "how": "mean", "windows": [9], "near": 3}]
+    want = sorted(map(tuple, maps.combined(table, sizes, wanted, specs).collect()))
+    monkeypatch.setattr(maps, "COMBINED", 200, raising=False)
+    got = maps.combined(table, sizes, wanted, specs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # 288 rows meet five specs without suppression, which makes 8 parts, and one with, which makes 2.
+    assert "(seq_id#" in plan and {int(p) for p in re.findall(r"hashpartitioning\(seq_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)} == {8, 2}
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 50
