@@ -153,21 +153,22 @@ def fitted(p: Problem, base: Moments, u: np.ndarray, has: np.ndarray, values: np
     c = np.concatenate(((place / np.maximum(1, count - 1)[:, None])[..., None], mean), -1) * part[..., None]
     w = part * n
     total = w.sum(1)
-    gone = has & part[:, None, :]
+    gone = (has & part[:, None, :]).astype(float)
+    turned = u.transpose(0, 2, 1)
     target = p.target(values)
-    sx = part @ base.s - np.einsum("frm,frp->fp", gone, u)
-    xx = np.einsum("fm,mpq->fpq", part, base.a, optimize=True) - np.einsum("fr,frp,frq->fpq", gone.sum(2), u, u)
-    xy = part @ base.t - np.einsum("frm,frp->fp", gone * target, u)
-    xc = np.einsum("fmk,mp->fpk", c, base.s) - np.einsum("frm,fmk,frp->fpk", gone, c, u)
-    cc = np.einsum("fm,fmk,fml->fkl", w, c, c)
+    sx = part @ base.s - (turned @ gone.sum(2)[..., None])[..., 0]
+    xx = np.einsum("fm,mpq->fpq", part, base.a, optimize=True) - turned @ (gone.sum(2)[..., None] * u)
+    xy = part @ base.t - (turned @ (gone * target).sum(2)[..., None])[..., 0]
+    xc = base.s.T @ c - turned @ (gone @ c)
+    cc = c.transpose(0, 2, 1) @ (w[..., None] * c)
     ym = (p.target(base.y) - (gone * target).sum(1)) * part
     cy = np.einsum("fm,fmk->fk", ym, c)
-    # The medians stand for missing features.
-    fill = np.tile(np.concatenate((np.eye(d), np.zeros((d, u.shape[2] - d))), 1), (len(x), 1, 1))
-    if p.missing:
+    at = x
+    if p.missing:  # the medians stand for missing features
+        fill = np.tile(np.concatenate((np.eye(d), np.zeros((d, u.shape[2] - d))), 1), (len(x), 1, 1))
         fill[:, p.missing, d + np.arange(len(p.missing))] = medians(p, part, u, has)
-    sx, xy, xc, at = (np.einsum("fdp,fp...->fd...", fill, z) for z in (sx, xy, xc, x))
-    xx = np.einsum("fdp,fpq,feq->fde", fill, xx, fill, optimize=True)
+        sx, xy, xc, at = (np.einsum("fdp,fp...->fd...", fill, z) for z in (sx, xy, xc, x))
+        xx = np.einsum("fdp,fpq,feq->fde", fill, xx, fill, optimize=True)
     size = np.maximum(total, 1)[:, None]
     mu = np.concatenate((sx, np.einsum("fm,fmk->fk", w, c)), 1) / size
     whole = np.concatenate((np.concatenate((xx, xc), 2), np.concatenate((xc.transpose(0, 2, 1), cc), 2)), 1)
@@ -179,7 +180,7 @@ def fitted(p: Problem, base: Moments, u: np.ndarray, has: np.ndarray, values: np
     left = total[:, None, None] * cov / (scale[:, :, None] * scale[:, None, :]) + p.penalty * np.eye(mu.shape[1])
     weights = np.linalg.solve(left, right[..., None])[..., 0] / scale
     z = np.concatenate((np.broadcast_to(at[:, None, :], (*part.shape, d)), c), 2)
-    predicted = mean_y[:, None] + np.einsum("fmd,fd->fm", z - mu[:, None, :], weights)
+    predicted = mean_y[:, None] + ((z - mu[:, None, :]) @ weights[..., None])[..., 0]
     return np.where(part, predicted, np.inf), place
 
 

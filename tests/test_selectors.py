@@ -105,6 +105,22 @@ def test_rows_of_groups_are_not_copied_for_each_block(spark, monkeypatch):
     assert rows == 4 * len(cube) and sum(made_of) == 10 * 4 * 6
 
 
+def test_fits_make_no_product_of_three_arrays_in_a_plain_loop(monkeypatch):
+    rng, plain = np.random.default_rng(3), np.einsum
+
+    def einsum(how, *arrays, **options):
+        assert len(arrays) < 3 or options.get("optimize"), how
+        return plain(how, *arrays, **options)
+
+    u, has, values = rng.normal(size=(9, 3)), np.ones((9, 4), bool), rng.random((9, 4, 3))
+    y = values[..., 0]
+    every = selectors.Moments(has.sum(0), has.T @ u, plain("nm,np,nq->mpq", has, u, u), y.T @ u, values.sum(0), 9)
+    p = selectors.Problem(list("abcd"), list("xyz"), [], every, "pk", 80, 10.0)
+    monkeypatch.setattr(selectors.np, "einsum", einsum)
+    got, _ = selectors.fitted(p, every, u[:, None], has[:, None], values[:, None], u, has)
+    assert np.isfinite(got).all()
+
+
 @pytest.mark.parametrize("primary,top,block", [("pk", 80, 256), ("balanced", 3, 5)])
 def test_guarded_choice_equals_nested_refits(spark, monkeypatch, primary, top, block):
     monkeypatch.setattr(selectors, "BLOCK", block)
