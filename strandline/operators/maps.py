@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import grouped, metrics
 from . import segmenters as S
-from .folds import apart, fold, long_enough
+from .folds import apart, fold
 
 #: Points of a grid; their parameters are literals of the plan.
 MOST_POINTS = 10_000
+#: Gaps of a task of a grid, about, counted once for each point.
+GAPS = 500_000
 
 
 def split_maps(units: DataFrame, most: DataFrame, windows: list[int], models: tuple[str, ...] = ("vec1", "vec2")) -> DataFrame:
@@ -53,25 +55,34 @@ def explode(values: list, name: str, kinds: list[str]) -> Column:
     return F.explode(F.array(*(F.struct(*(F.lit(x).alias(k) for k, x in zip(kinds, v, strict=True))) for v in values))).alias(name)
 
 
-def fusion_grid(maps: DataFrame, sizes: DataFrame, wanted: DataFrame, signals: dict[str, DataFrame], windows: list[int], shares: list[float], overs: list[int], weights: dict[str, list[float]], lengths: list[int], suppressions: list[int], only_candidates: bool = False) -> DataFrame:
-    """(seq_id, method, boundary) of every point of a grid: split maps of two models (rank up to least(n - 1, over * share of k + 2) segments, each over its largest, their mean), signals added
-    by weight, and a greedy choice of the share of k with suppression and least length. `wanted` is (seq_id, k), signals are (seq_id, boundary, score).
+def grid_choices(maps: DataFrame, facts: DataFrame, signals: dict[str, DataFrame], windows: list[int], shares: list[float], overs: list[int], weights: dict[str, list[float]], lengths: list[int], suppressions: list[int], only_candidates: bool = False) -> DataFrame:
+    """(seq_id, n, method, kept) of every point of a grid, a row for each sequence and point, `kept` in rising order: split maps of two models (rank up to least(n - 1, over * share of k + 2)
+    segments, each over its largest, their mean), signals added by weight, and a greedy choice of the share of k with suppression and least length. `facts` is (seq_id, n, k), signals
+    are (seq_id, boundary, score). Other columns of `facts` go along.
 
     The grid is a lattice. Maps and signals of a window become one array over the sequence's gaps, the only shuffle; windows, shares and oversamplings give base scores, each of
-    these one ranking for each tuple of weights, and each ranking one choice for each length and suppression. So a ranking is made once, whatever follows it."""
+    these one ranking for each tuple of weights, and each ranking one choice for each length and suppression. So a ranking is made once, whatever follows it.
+    Gaps, maps and signals meet as a union: rows that are made here by exploding look small to the planner, which would broadcast them in joins."""
     n_points = len(windows) * len(shares) * len(overs) * len(lengths) * len(suppressions) * int(np.prod([len(w) for w in weights.values()]))
     if n_points > MOST_POINTS:
         raise ValueError(f"{n_points} points; at most {MOST_POINTS}")
-    key = ["seq_id", "window", "boundary"]
-    side = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c[0]}{m}")
-    table = maps.where(F.col("window").isin(windows)).groupBy(*key).agg(*(side(m, c) for m in (1, 2) for c in ("rank", "gain")))
-    rows = sizes.where("n > 1").join(wanted, "seq_id").select("seq_id", "n", "k", F.explode(F.array(*map(F.lit, windows))).alias("window")).withColumn("boundary", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
-    rows = rows.join(table, key, "left")
-    for name, signal in signals.items():
-        rows = rows.join(signal.select("seq_id", "boundary", F.col("score").alias(f"s_{name}")), ["seq_id", "boundary"], "left").withColumn(f"s_{name}", F.coalesce(f"s_{name}", F.lit(0.0)))
-    cells = F.struct("boundary", "r1", "g1", "r2", "g2", *(f"s_{x}" for x in signals))
-    rows = rows.groupBy("seq_id", "window", "n", "k").agg(F.array_sort(F.collect_list(cells)).alias("d"))
-    rows = rows.select("seq_id", "window", "n", "k", "d", *(scaled(F.col(f"d.s_{x}")).alias(f"s_{x}") for x in signals))
+    key, along = ["seq_id", "window"], [c for c in facts.columns if c not in ("seq_id", "n", "k")]
+    every = F.explode(F.array(*map(F.lit, windows))).alias("window")
+    at = F.col("boundary").cast("int").alias("boundary")
+    rows = facts.select("seq_id", every, F.lit(0).alias("boundary"), "n", "k", *along)
+    gaps = facts.where("n > 1").select("seq_id", every, "n").select(*key, F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("boundary"), F.lit(True).alias("gap"))
+    side = [F.when(F.col("model") == m, F.col(c)).alias(f"{c[0]}{m}") for m in (1, 2) for c in ("rank", "gain")]
+    scores = [signal.select("seq_id", every, at, F.col("score").alias(f"s_{name}")) for name, signal in signals.items()]
+    for more in [gaps, maps.where(F.col("window").isin(windows)).select(*key, at, *side), *scores]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    # Rows are few and small for what is made of them, so the points, not the rows, say how many tasks there are.
+    parts = max(1, -(-(facts.agg(F.sum("n")).first()[0] or 0) * n_points // GAPS))
+    most = lambda names: [F.max(c).alias(c) for c in names]
+    once = most(["n", "k"]) + [F.first(c, ignorenulls=True).alias(c) for c in along]
+    rows = rows.repartition(parts, *key).groupBy(*key, "boundary").agg(*once, *most(["gap", "r1", "g1", "r2", "g2", *(f"s_{x}" for x in signals)]))
+    cells = F.when(F.col("gap"), F.struct("boundary", "r1", "g1", "r2", "g2", *(F.coalesce(f"s_{x}", F.lit(0.0)).alias(f"s_{x}") for x in signals)))
+    rows = rows.groupBy(*key).agg(*once, F.array_sort(F.collect_list(cells)).alias("d")).where("n IS NOT NULL")
+    rows = rows.select(*key, "n", "k", *along, "d", *(scaled(F.col(f"d.s_{x}")).alias(f"s_{x}") for x in signals))
     # Shares and oversamplings: the base scores.
     rows = rows.select("*", explode(list(product(shares, overs)), "p", ["share", "over"])).select("*", "p.share", "p.over").drop("p")
     ask = F.least(F.col("n") - 1, F.greatest(F.lit(2), F.bround(F.col("k") * F.col("share")).cast("int")) * F.col("over") + 2)
@@ -81,7 +92,7 @@ def fusion_grid(maps: DataFrame, sizes: DataFrame, wanted: DataFrame, signals: d
     tops = F.struct(*(V.let(t, lambda z: F.when(z == 0, 1.0).otherwise(z)).alias(f"t{m}") for m, t in enumerate(top, 1)))
     base = V.let(tops, lambda t: F.transform("d", lambda x: (F.coalesce(value(x, 1), F.lit(0.0)) / t["t1"] + F.coalesce(value(x, 2), F.lit(0.0)) / t["t2"]) / 2))
     inside = F.transform("d", lambda x: (F.coalesce(x["r1"], F.col("n")) < F.col("ask")) | (F.coalesce(x["r2"], F.col("n")) < F.col("ask")))
-    rows = rows.select("seq_id", "window", "n", "k", "share", "over", *(f"s_{x}" for x in signals), scaled(base).alias("base"), inside.alias("inside"))
+    rows = rows.select("seq_id", "window", "n", "k", *along, "share", "over", *(f"s_{x}" for x in signals), scaled(base).alias("base"), inside.alias("inside"))
     # Weights: the rankings.
     names = list(weights)
     rows = rows.select("*", explode(list(product(*weights.values())), "w", names) if names else F.lit(None).alias("w"))
@@ -92,11 +103,19 @@ def fusion_grid(maps: DataFrame, sizes: DataFrame, wanted: DataFrame, signals: d
     order = F.transform(F.array_sort(F.transform("total", lambda s, i: F.struct((-s).alias("s"), (i + 1).alias("b")))), lambda x: x["b"])
     percent = lambda c: F.floor(F.col(c) * 100).cast("string")
     label = F.concat(F.lit("mm_w"), F.col("window"), F.lit("_frac"), percent("share"), F.lit("_over"), F.col("over"), *(x for name in names for x in (F.lit(f"_{name}"), percent(f"w.{name}"))))
-    rows = rows.select("seq_id", "n", F.greatest(F.lit(1), F.bround(F.col("k") * F.col("share")).cast("int")).alias("take"), label.alias("label"), order.alias("ranked"))
+    rows = rows.select("seq_id", "n", *along, F.greatest(F.lit(1), F.bround(F.col("k") * F.col("share")).cast("int")).alias("take"), label.alias("label"), order.alias("ranked"))
     # Lengths and suppressions: the choices.
-    rows = rows.select("*", explode(list(product(lengths, suppressions)), "c", ["least", "near"]))
-    kept = fold(rows, lambda acc, b: apart(acc, b, F.col("c.near"), inclusive=False) & long_enough(acc, b, F.col("c.least"), F.col("n")), F.col("take"))
-    return kept.select("seq_id", F.concat("label", F.lit("_min"), F.col("c.least"), F.lit("_nms"), F.col("c.near")).alias("method"), F.explode("kept").alias("boundary"))
+    rows = rows.select("*", explode([(x, y, max(x, y)) for x, y in product(lengths, suppressions)], "c", ["least", "near", "far"]))
+    # Suppression and least length ask for distances to what was accepted: the larger one says it, in one pass, and none once all are taken.
+    edges = lambda b: (b >= F.col("c.least")) & (F.col("n") - b >= F.col("c.least"))
+    kept = fold(rows, lambda acc, b: (F.size(acc) < F.col("take")) & edges(b) & apart(acc, b, F.col("c.far"), inclusive=False))
+    return kept.select("seq_id", "n", *along, F.concat("label", F.lit("_min"), F.col("c.least"), F.lit("_nms"), F.col("c.near")).alias("method"), "kept")
+
+
+def fusion_grid(maps: DataFrame, sizes: DataFrame, wanted: DataFrame, signals: dict[str, DataFrame], windows: list[int], shares: list[float], overs: list[int], weights: dict[str, list[float]], lengths: list[int], suppressions: list[int], only_candidates: bool = False) -> DataFrame:
+    """(seq_id, method, boundary) of every point of a grid, as `grid_choices` makes them; `wanted` is (seq_id, k)."""
+    kept = grid_choices(maps, sizes.join(wanted, "seq_id").select("seq_id", "n", "k"), signals, windows, shares, overs, weights, lengths, suppressions, only_candidates)
+    return kept.select("seq_id", "method", F.explode("kept").alias("boundary"))
 
 
 def measured(hyp: DataFrame, methods: DataFrame, refs: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ Sequences without a boundary on a side count too: results have a row for each se
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even
+from ..functions.vectors import let
 from ..sources.stored import stored
 
 
@@ -109,6 +110,23 @@ def evaluate(hyp: DataFrame, ref: DataFrame, sizes: DataFrame, tolerances: tuple
     return rows.select(*out)
 
 
+def expected(ref: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(seq_id, n, width, met): the metrics' window, and the reference's boundaries in each window (p, p + width], for `missed`."""
+    none = F.array().cast("array<int>")
+    rows = sizes.join(inside(ref, sizes).groupBy("seq_id").agg(F.collect_list("boundary").alias("ref")), "seq_id", "left").withColumn("ref", F.coalesce("ref", none))
+    rows = rows.withColumn("width", F.greatest(F.lit(1), half_even(F.col("n") / (F.size("ref") + 1) / 2).cast("int")))
+    starts = F.when(F.col("n") > F.col("width"), F.sequence(F.lit(0), F.col("n") - F.col("width") - 1)).otherwise(none)
+    return rows.select("seq_id", "n", "width", F.transform(starts, lambda p: F.size(F.filter("ref", lambda x: (x > p) & (x <= p + F.col("width"))))).alias("met"))
+
+
+def missed(hyp: Column, width: Column, met: Column) -> Column:
+    """(pk, wd) of distinct boundaries inside a sequence, equal to those of `pk_wd`. What the reference gives is made once by `expected`, however many hypotheses a sequence has."""
+    share = lambda w, wrong: F.coalesce(F.try_divide(F.size(F.filter(w, wrong)), F.size(w)), F.lit(0.0))
+    both = lambda w: F.struct(share(w, lambda x: (x["h"] > 0) != (x["r"] > 0)).alias("pk"), share(w, lambda x: x["h"] != x["r"]).alias("wd"))
+    seen = lambda h: F.transform(met, lambda r, p: F.struct(F.size(F.filter(h, lambda x: (x > p) & (x <= p + width))).alias("h"), r.alias("r")))
+    return let(hyp, lambda h: let(seen(h), both))
+
+
 def error_taxonomy(hyp: DataFrame, ref: DataFrame, sizes: DataFrame, tolerance: int = 2) -> DataFrame:
     """(seq_id, tp, near, fp, fn, over, under). Rising hypotheses: an exact hit is right and marks its reference; else the nearest unmarked reference
     within the tolerance makes a near miss, which is right too; else wrong. References left unmarked are missed."""

@@ -79,13 +79,13 @@ def fusion(s, d):
     from .q_segment import wanted
 
     u, two = T.vectors(s, d), T.two_models(s, d)
-    z, k = T.sizes(u), wanted(s, d)
-    most = z.join(k, "seq_id").select("seq_id", F.least(F.col("n") - 1, F.col("k") * max(GRID["overs"]) + 2).alias("m"))
-    table = stored(maps.split_maps(two, most, GRID["windows"]), "maps")
+    facts = stored(metrics.expected(T.references(u), T.sizes(u)).join(wanted(s, d), "seq_id"), "facts")
+    most = facts.select("seq_id", F.least(F.col("n") - 1, F.greatest(F.lit(2), "k") * max(GRID["overs"]) + 2).alias("m"))
+    table = maps.split_maps(two, most, GRID["windows"])
     signal = lambda a, b: Q.signal(s, d, ((F.col("pos") * a) % b) / float(b))
-    hyp = stored(maps.fusion_grid(table, z, k, {"ocr": signal(31, 17), "pros": signal(37, 11), "shot": signal(53, 7)}, **GRID), "grid")
-    m = maps.measured(hyp, hyp.select("method"), T.references(u), z)
-    return rounded(m.groupBy("method").agg(F.count("*").alias("n"), F.avg("pk").alias("pk"), F.avg("wd").alias("wd")))
+    kept = maps.grid_choices(table, facts, {"ocr": signal(31, 17), "pros": signal(37, 11), "shot": signal(53, 7)}, **GRID)
+    m = kept.select("method", metrics.missed(F.col("kept"), F.col("width"), F.col("met")).alias("m"))
+    return rounded(m.groupBy("method").agg(F.count("*").alias("n"), F.avg("m.pk").alias("pk"), F.avg("m.wd").alias("wd")))
 
 
 def counts(s, d):

@@ -133,3 +133,50 @@ def test_combined_maps_are_dealt_out_by_their_rows_after_the_specs(spark, monkey
     # 288 rows meet five specs without suppression, which makes 8 parts, and one with, which makes 2.
     assert "(seq_id#" in plan and {int(p) for p in re.findall(r"hashpartitioning\(seq_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)} == {8, 2}
     assert sorted(map(tuple, got.collect())) == want and len(want) > 50
+
+
+def test_grid_query_joins_nothing_that_it_explodes(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import metrics
+    from strandline.plans import q_ranking as Q
+    from strandline.sources import tables as T
+
+    monkeypatch.setattr(Q, "GRID", {"windows": [3, 5], "shares": [0.65], "overs": [2], "weights": {"ocr": [0.0, 0.3], "pros": [0.1], "shot": [0.1]}, "lengths": [3], "suppressions": [1, 5]})
+    monkeypatch.setattr(maps, "GAPS", 400, raising=False)
+    rng, d = np.random.default_rng(3), str(tmp_path)
+    # Three sequences of 50, the second without a reference (it is asked for two segments at least, so its maps too), and one of a single vector.
+    rows = [(i, rng.normal(size=64).tolist(), 5 if 50 <= i < 100 else i % 9) for i in range(151)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    got = Q.QUERIES["fusion_grid"](spark, d)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # The one join gives vectors their sequence's number of splits. Sequences times points are never a side, as their broadcast outgrows the driver.
+    assert len(re.findall(r"\bJoin ", plan)) == 1
+    # 151 vectors by 8 points, in parts of 400.
+    assert re.findall(r"hashpartitioning\(seq_id#\d+L, window#\d+, (\d+)\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString()) == ["4"]
+    u = T.vectors(spark, d)
+    z, k = T.sizes(u), Q.q_segment.wanted(spark, d)
+    table = maps.split_maps(T.two_models(spark, d), z.selectExpr("seq_id", "n - 1 AS m"), [3, 5])
+    signal = lambda a, b: Q.Q.signal(spark, d, ((F.col("pos") * a) % b) / float(b))
+    hyp = maps.fusion_grid(table, z, k, {"ocr": signal(31, 17), "pros": signal(37, 11), "shot": signal(53, 7)}, **Q.GRID).cache()
+    want = {}
+    for name in sorted({r["method"] for r in hyp.select("method").distinct().collect()}):
+        m = metrics.pk_wd(hyp.where(F.col("method") == name), T.references(u), z).agg(F.count("*"), F.avg("pk"), F.avg("wd")).first()
+        want[name] = (m[0], round(m[1], 6), round(m[2], 6))
+    assert {r["method"]: (r["n"], r["pk"], r["wd"]) for r in got.collect()} == want and len(want) == 8 and all(n == 4 for n, *_ in want.values())
+
+
+def test_metrics_of_windows_counted_once_equal_those_of_each_pair(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import metrics
+
+    rng = np.random.default_rng(12)
+    sizes = spark.createDataFrame([(i, n) for i, n in enumerate((1, 2, 3, 10, 33, 33))], "seq_id long, n int").cache()
+    some = lambda skip: {r["seq_id"]: sorted(rng.choice(np.arange(1, r["n"]), min(r["n"] - 1, 6), replace=False).tolist()) if r["seq_id"] != skip else [] for r in sizes.collect()}
+    hyp, ref = some(4), some(5)
+    flat = lambda x: spark.createDataFrame([(s, b) for s, bs in x.items() for b in bs], "seq_id long, boundary int")
+    rows = metrics.expected(flat(ref), sizes).join(spark.createDataFrame(list(hyp.items()), "seq_id long, kept array<int>"), "seq_id")
+    got = rows.select("seq_id", metrics.missed(F.col("kept"), F.col("width"), F.col("met")).alias("m")).select("seq_id", "m.pk", "m.wd")
+    want = metrics.pk_wd(flat(hyp), flat(ref), sizes).select("seq_id", "pk", "wd")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
