@@ -152,3 +152,14 @@ def test_document_divisive_reads_documents_once(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, table.collect())) and got.count() > 0
     n = spark.range(1, 3000).selectExpr("id", "greatest(2, cast(bround(sqrt(id) / 3) AS int)) AS k").collect()
     assert all(Q.by_root(r["id"]) == r["k"] for r in n)
+
+
+def test_document_divisive_makes_no_tokens(spark, monkeypatch):
+    from strandline.plans import q_segment as Q
+
+    units = spark.createDataFrame([(1, i, f"apple{i % 3} bread{i // 30} cake") for i in range(60)], "seq_id long, pos int, text string").repartition(3)
+    monkeypatch.setattr(Q.T, "text_units", lambda s, d: units)
+    pairs = lambda df: sorted((r["pos"], list(r["tokens"])) for r in df.collect())
+    assert pairs(Q.documents(spark, "")) == pairs(Q.text.tokens(units))
+    plan = Q.QUERIES["document_divisive"](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" not in plan and "first(" not in plan
